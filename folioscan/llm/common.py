@@ -20,6 +20,9 @@ NULL_ID = -(2**63)
 #: Rows of two longs up to which a table may be broadcast (about 16 MB); larger tables are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows that a Python worker holds as objects at once.
+SLICE = 256
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local runs)."""
@@ -87,7 +90,7 @@ def map_text(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             made = apply(batch.column(read.index(column)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(read.index(c)) for c in kept], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]],

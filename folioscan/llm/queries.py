@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, pii, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -17,7 +17,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded.select("doc_id", "ids"), path)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -26,11 +26,122 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.classify(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "rejected",
+    )
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = found.withColumn("base", F.filter("pii", lambda s: s["kind"].isin(*pii.BASE)))
+    return base.select(
+        "doc_id",
+        *[_count("base", kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"),
+    )
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = fingerprints.add_fingerprint(docs, "text", "own")
+    docs = fingerprints.with_next(docs, ["text", "own"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
+    docs = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
+    docs = fingerprints.add_fingerprint(docs, "edited", "edited_own")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_string("own").alias("fingerprint"),
+        fingerprints.as_string("edited_own").alias("edited_fingerprint"),
+        fingerprints.likeness("own", "edited_own").alias("near_edited"),
+        fingerprints.likeness("own", "next_own").alias("near_next"),
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Spark query by name.
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_mixing": op6_mixing,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_line_dedup": op9_line_dedup,
+}
+
+#: DuckDB SQL for the same rows, where SQL can say it.
+ORACLES = {
+    "op5_exact_dedup": r"""
+        with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+             g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
+        select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256
+        from n join g using (t)""",
+    "op6_mixing": r"""
+        with d as (select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as place,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+             s as (select source, sum(size)::bigint as source_size from d group by source),
+             w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight,
+                          source_size * 3 as most, sum(source_size) over () as budget from s),
+             o as (select *, budget - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as remains,
+                          sum(weight) over () - coalesce(sum(weight) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as shares from w),
+             p as (select *, most * shares < remains * weight as stops from o),
+             q as (select source, source_size, budget, weight, most, stops,
+                          budget - sum(case when stops then most else 0 end) over () as remains,
+                          sum(case when stops then 0 else weight end) over () as shares from p),
+             t as (select source, source_size, budget,
+                          case when stops then most::double else (weight * remains)::double / shares::double end as target from q),
+             e as (select d.*, t.source_size, t.target, t.budget,
+                          sum(size) over (partition by d.source order by place, doc_id, size rows between unbounded preceding and current row) as upto
+                   from d join t on d.source is not distinct from t.source),
+             c as (select doc_id, size, place, budget, pass, (pass * source_size + upto)::double / target as finish
+                   from e, range(3) r(pass) where size > 0 and pass * source_size + upto - size < target),
+             f as (select *, sum(size) over (order by finish, place, pass rows between unbounded preceding and current row) as total from c),
+             k as (select doc_id, sum(least(size, budget - (total - size)))::bigint as taken from f where total - size < budget group by doc_id)
+        select e.doc_id, e.size, e.source_size, e.target, coalesce(k.taken, 0)::bigint as taken
+        from e left join k on e.doc_id is not distinct from k.doc_id""",
+    "op9_line_dedup": r"""
+        with d as (select doc_id, coalesce(text, '') as text from documents),
+             l as (select doc_id, n, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+                   from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from d)),
+             g as (select key, max(doc_id) as keeper from l where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+             m as (select l.*, g.key is not null and l.doc_id <> g.keeper as lost from l left join g using (key))
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (lost)::bigint as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by n) filter (not lost), '')) as kept_sha256
+        from m group by doc_id""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_bpe": op1_bpe,
-    }
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
