@@ -3,12 +3,15 @@
 All n-grams have one global order, frequent ones last. Cutting that order into fragments cuts every document's set
 into pieces, and the intersection of two sets is the sum of the intersections of their pieces:
 
-1. Candidates. Two sets that are similar enough share an n-gram among the first n - ceil(t n) + 1 of either. These
-   prefixes go to the fragments of the order; there, sets that share an n-gram form a bucket. Each bucket proposes
-   pairs with one leader only (a star).
-2. Verification. Sets of proposed pairs are cut at fragment borders, each fragment counts partial overlaps, and the
+1. Counting. Each fragment counts by how many sets its n-grams are held, and how many n-grams of each piece are held
+   by another set too. Summed over the fragments that bounds every intersection: a set with fewer than the threshold
+   of its n-grams shared at all links with nothing. Only the others go on.
+2. Candidates. Two sets that are similar enough share an n-gram among the first of either in the order (the prefix).
+   Prefixes go to the fragments again; sets that share an n-gram there form a bucket. Each bucket proposes pairs with
+   one leader only (a star).
+3. Verification. Sets of proposed pairs are cut at fragment borders, each fragment counts partial overlaps, and the
    sums per pair are compared with the threshold.
-3. Components of the links found so far. Buckets whose sets are now in one component are done. The others propose
+4. Components of the links found so far. Buckets whose sets are now in one component are done. The others propose
    all pairs across their components, which are verified in the same way; after that no link can be missing.
 
 Equal sets are one node throughout, so exact copies cost one lookup each. A bucket that many sets share is cut into
@@ -32,11 +35,13 @@ from .components import components
 
 #: Contract values: words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 5, 75
-#: An n-gram is frequent if chunks of CHUNK n-grams in which LOCAL sets hold it add up to TOTAL sets; the MOST_FREQUENT
-#: most frequent of these come last in the order (this decides cost, not results).
-CHUNK, LOCAL, TOTAL, MOST_FREQUENT = 2_000_000, 4, 16, 1 << 18
-#: Prefix entries of a fragment, pieces of a set in verification, sets of a block, pairs of a verification bin.
-FRAGMENT, PIECES, BLOCK, BIN = 1_000_000, 4, 50_000, 4096
+#: Shingles that a Python worker holds before it passes them on, and entries of a fragment.
+CHUNK, FRAGMENT = 2_000_000, 4_000_000
+#: N-grams that FREQUENT sets hold are last in the order, most frequent last: the MOST_FREQUENT most frequent of them
+#: (this decides cost, not results).
+FREQUENT, MOST_FREQUENT = 8, 1 << 18
+#: Pieces of a set in verification, sets of a block, pairs of a verification bin.
+PIECES, BLOCK, BIN = 4, 50_000, 4096
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,8 +75,12 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """How many first n-grams of a set with ``n`` meet a similar set: with any partner, and with one that is not smaller.
+
+    A common n-gram lies in the longer prefix of the larger set and in the shorter prefix of the smaller one.
+    """
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -97,102 +106,168 @@ def _chunks(sets: Iterable[tuple[int, np.ndarray]]) -> Iterator[dict[int, np.nda
         yield held
 
 
-def summaries(docs: DataFrame, words: int) -> DataFrame:
-    """One row a document: (doc_id, n, node); and rows without doc_id: n sets of a chunk hold the n-gram ``node``."""
+def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+
+
+def _key(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    """What counting knows of an n-gram: its fragment and 32 bits. Others that fall together with it only make it look
+    more shared than it is."""
+    return (_fragment(hashes, fragments).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+
+
+def summaries(docs: DataFrame, words: int, fragments: int) -> DataFrame:
+    """Three kinds of rows. kind 0: a document (doc_id, its set ``node``, its size n). kind 1: in one fragment, n of the
+    n-grams of ``node`` are held by other sets too. kind 2: n sets hold the n-gram with the key ``node``."""
+
+    def emit(batches):
+        rows: list[tuple] = []
 
-    def run(batches):
         def passed():
             for i, s in _sets(batches, words):
                 rows.append((i, len(s), set_id(s)))
                 yield i, s
 
-        rows: list[tuple] = []
-        for held in _chunks(passed()):
-            values, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            often = counts >= LOCAL
-            yield _batch([*zip(*rows, strict=True)] or [[], [], []])
+        def documents():
+            out = [np.array(c, np.int64).tobytes() for c in zip(*rows, strict=True)]
             rows.clear()
-            yield _batch([[None] * int(often.sum()), counts[often], values[often].view(np.int64)])
-        if rows:
-            yield _batch([*zip(*rows, strict=True)])
+            return (-1 - xxhash.xxh3_64_intdigest(out[2]) % fragments, *out)
 
-    def _batch(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "node"])
+        def batch(blocks):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["fragment", "x", "y", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+        for held in _chunks(passed()):
+            nodes = np.fromiter(held, np.int64, len(held))
+            flat = np.concatenate(list(held.values()))
+            owners = np.repeat(np.arange(len(nodes)), [len(s) for s in held.values()])
+            fragment = _fragment(flat, fragments)
+            order = np.argsort(fragment * len(nodes) + owners, kind="stable")
+            flat, owners, fragment = (flat[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owners[order], fragment[order]
+            starts = np.searchsorted(fragment, np.arange(fragments + 1))
+            blocks = [documents()]
+            for f in range(fragments):
+                lo, hi = starts[f], starts[f + 1]
+                if lo < hi:
+                    who, counts = np.unique(owners[lo:hi], return_counts=True)
+                    blocks.append((f, flat[lo:hi].tobytes(), counts.astype(np.int32).tobytes(), nodes[who].tobytes()))
+            yield batch(blocks)
+        if rows:
+            yield batch([documents()])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["fragment"].iloc[0])
+        if f < 0:
+            ids, n, nodes = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in "xyz")
+            return pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "node": nodes})
+        counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["y"]])
+        nodes, owner = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["z"]]), return_inverse=True)
+        pairs = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["x"]]).astype(np.uint64) << np.uint64(32)
+        pairs |= np.repeat(owner.astype(np.uint64), counts)
+        pairs.sort()
+        if len(pairs):
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]  # a set may come from several chunks
+        grams = (pairs >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+        held = np.diff(np.r_[starts, len(grams)])
+        shared = np.bincount((pairs[np.repeat(held > 1, held)] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
+        often = np.flatnonzero(held >= FREQUENT)
+        often = often[np.argsort(-held[often], kind="stable")[:MOST_FREQUENT]]
+        keys = (np.uint64(f) << np.uint64(32) | grams[starts[often]].astype(np.uint64)).view(np.int64)
+        some = np.flatnonzero(shared)
+        return pd.concat(
+            [pd.DataFrame({"kind": 1, "doc_id": 0, "n": shared[some], "node": nodes[some]}), pd.DataFrame({"kind": 2, "doc_id": 0, "n": held[often], "node": keys})]
+        )
 
+    blocks = docs.mapInArrow(emit, "fragment int, x binary, y binary, z binary")
+    return blocks.groupBy("fragment").applyInPandas(count, "kind int, doc_id long, n long, node long")
 
-def _order(frequent: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _order(frequent: tuple[np.ndarray, np.ndarray], s: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     """The set in the global order, and for each n-gram how many sets hold it if that is frequent, else 0."""
     values, counts = frequent
     if not len(values):
         return s, np.zeros(len(s), np.int64)
-    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-    often = np.where(values[at] == s, counts[at], 0)
+    keys = _key(s, fragments)
+    at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+    often = np.where(values[at] == keys, counts[at], 0)
     order = np.argsort(often, kind="stable")
     return s[order], often[order]
 
 
-def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], entries: int) -> DataFrame:
-    """(leader, size, nodes, sizes): distinct buckets of at least two sets. nodes and sizes are packed, leader first."""
-    fragments = max(16, entries // FRAGMENT + 1)
+def set_pieces(docs: DataFrame, words: int) -> DataFrame:
+    """(node, n, piece, hashes): each document's set, cut into PIECES ranges of the hashes."""
+    borders = np.arange(1, PIECES, dtype=np.uint64) * np.uint64((1 << 64) // PIECES)
+
+    def cut(batches):
+        rows: list[tuple] = []
+        for _, s in _sets(batches, words):
+            if len(s):
+                node = set_id(s)
+                rows += [(node, len(s), i, x.tobytes()) for i, x in enumerate(np.split(s, np.searchsorted(s, borders)))]
+            if len(rows) >= 1024:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+    def _batch(rows):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "piece", "hashes"])
+
+    return docs.mapInArrow(cut, "node long, n long, piece int, hashes binary")
+
+
+def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], fragments: int, entries: int) -> DataFrame:
+    """(mark, leader, size, nodes, sizes): distinct buckets of at least two sets. nodes and sizes are packed, the leader
+    first; a size is twice the number of n-grams, plus one if the bucket's n-gram is in the shorter prefix."""
+    ranges = max(16, entries // (FRAGMENT // 4) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT rows at most
 
     def emit(batches):
         often = shared.value
         for held in _chunks(_sets(batches, words)):
-            keys, owners, nodes, sizes = [], [], [], []
+            keys, owners, marks, nodes, sizes = [], [], [], [], []
             for node, s in held.items():
-                ordered, counts = _order(often, s)
-                first = prefix_size(len(s), percent)
-                mine, blocks = ordered[:first], -(-counts[:first] // BLOCK)
-                if (many := blocks > 1).any():  # copies for each pair of blocks with the node's own
-                    extra = []
-                    for key, b in zip(mine[many], blocks[many], strict=True):
+                ordered, counts = _order(often, s, fragments)
+                first, inner = prefix_sizes(len(s), percent)
+                mine, flags, blocks = ordered[:first], np.arange(first) < inner, -(-counts[:first] // BLOCK)
+                if (many := blocks > 1).any():  # a copy for each pair of blocks with the node's own
+                    extra, more = [mine[~many]], [flags[~many]]
+                    for key, flag, b in zip(mine[many], flags[many], blocks[many], strict=True):
                         own, every = np.uint64(node % int(b)), np.arange(int(b), dtype=np.uint64)
                         pair = np.minimum(own, every) * np.uint64(b) + np.maximum(own, every)
                         extra.append((key ^ (pair + np.uint64(1)) * _M1) * _M2)
-                    mine = np.concatenate([mine[~many], *extra])
+                        more.append(np.full(int(b), flag))
+                    mine, flags = np.concatenate(extra), np.concatenate(more)
                 keys.append(mine)
+                marks.append(flags)
                 owners.append(np.full(len(mine), len(nodes), np.int64))
                 nodes.append(node)
                 sizes.append(len(s))
-            keys, owners, nodes, sizes = np.concatenate(keys), np.concatenate(owners), np.array(nodes, np.int64), np.array(sizes, np.int32)
-            fragment = ((keys >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((owners, fragment))
-            keys, owners, fragment = keys[order], owners[order], fragment[order]
-            starts = np.searchsorted(fragment, np.arange(fragments + 1))
+            keys, owners, marks = np.concatenate(keys), np.concatenate(owners), np.concatenate(marks)
+            nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
+            place = _fragment(keys, ranges)
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(ranges + 1))
             rows = []
-            for f in range(fragments):
-                lo, hi = starts[f], starts[f + 1]
-                if lo < hi:
-                    who, counts = np.unique(owners[lo:hi], return_counts=True)
-                    rows.append((f, keys[lo:hi].tobytes(), nodes[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["fragment", "keys", "nodes", "sizes", "counts"])
+            for f in range(ranges):
+                at = order[starts[f] : starts[f + 1]]
+                if len(at):
+                    rows.append((f, keys[at].tobytes(), nodes[owners[at]].tobytes(), (2 * sizes[owners[at]] + marks[at]).astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["fragment", "keys", "nodes", "sizes"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        counts = [np.frombuffer(x, np.int32) for x in pdf["counts"]]
-        nodes = np.concatenate([np.repeat(np.frombuffer(x, np.int64), c) for x, c in zip(pdf["nodes"], counts, strict=True)])
-        sizes = np.concatenate([np.repeat(np.frombuffer(x, np.int32), c) for x, c in zip(pdf["sizes"], counts, strict=True)])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        again = np.zeros(len(keys), bool)
-        same = keys[1:] == keys[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        order, keys = order[again], keys[again]
-        inner = np.lexsort((nodes[order], keys))
-        order, keys = order[inner], keys[inner]
-        nodes, sizes = nodes[order], sizes[order]
+        keys, nodes, sizes = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
+        order = np.lexsort((nodes, keys))
+        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
         new = np.ones(len(keys), bool)  # a set may come from several chunks
         new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
         keys, nodes, sizes = keys[new], nodes[new], sizes[new]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(keys)].astype(np.int64) if len(keys) else starts
-        mixed = nodes.view(np.uint64) * _M1
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = np.r_[starts[1:], len(keys)]
+        mixed = (nodes.view(np.uint64) * np.uint64(2) + (sizes & 1).astype(np.uint64)) * _M1
         mixed ^= mixed >> np.uint64(31)
-        mark = np.add.reduceat(mixed * _M2, starts) if len(keys) else np.zeros(0, np.uint64)
+        mark = np.add.reduceat(mixed * _M2, starts)
         several = np.flatnonzero(ends - starts > 1)
         several = several[np.unique(mark[several], return_index=True)[1]]
         return pd.DataFrame(
@@ -205,13 +280,14 @@ def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarra
             }
         )
 
-    blocks = docs.mapInArrow(emit, "fragment int, keys binary, nodes binary, sizes binary, counts binary")
+    blocks = docs.mapInArrow(emit, "fragment int, keys binary, nodes binary, sizes binary")
     return blocks.groupBy("fragment").applyInPandas(meet, "mark long, leader long, size long, nodes binary, sizes binary")
 
 
 def _fits(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return np.minimum(x, y).astype(np.int64) * 100 >= np.maximum(x, y).astype(np.int64) * percent
+    """Whether sets of these (marked) sizes can be similar enough, and meet first where they do now."""
+    small, large = np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
+    return ((small >> 1) * 100 >= (large >> 1) * percent) & (((small & 1) == 1) | ((small >> 1 == large >> 1) & ((large & 1) == 1)))
 
 
 def star_pairs(found: DataFrame, percent: int) -> DataFrame:
@@ -227,13 +303,13 @@ def star_pairs(found: DataFrame, percent: int) -> DataFrame:
                 starts = np.cumsum(np.r_[0, counts[:-1]])
                 a, na = np.repeat(nodes[starts], counts), np.repeat(sizes[starts], counts)
                 keep = (a != nodes) & _fits(na, sizes, percent)
-                yield pd.DataFrame({"a": a[keep], "b": nodes[keep], "na": na[keep], "nb": sizes[keep]}).drop_duplicates()
+                yield pd.DataFrame({"a": a[keep], "b": nodes[keep], "na": na[keep] >> 1, "nb": sizes[keep] >> 1}).drop_duplicates()
 
     return found.select("size", "nodes", "sizes").mapInPandas(run, "a long, b long, na int, nb int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets are similar enough: overlaps counted by pieces and summed."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, na, nb) whose sets are similar enough: overlaps counted by pieces and summed."""
     total = pairs.count()
     if not total:
         return pairs.select("a", "b")
@@ -241,19 +317,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     bins = max(12, math.ceil(total / BIN))
     binned = pairs.join(sized_broadcast(hot), "a", "left")  # total / BIN rows at most
     binned = materialize(binned.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a", F.pmod("b", F.coalesce("parts", F.lit(1)))), F.lit(bins)).alias("bin")), "pairs")
-    places = binned.select(F.explode(F.array("a", "b")).alias("node"), "bin").distinct()
-    wanted = classes.join(places.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
-
-    def cut(batches):
-        for i, s in _sets(batches, words):
-            if not len(s):
-                continue
-            edges = np.searchsorted(s, np.arange(1, PIECES, dtype=np.uint64) * np.uint64((1 << 64) // PIECES))
-            node = set_id(s)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(s, edges)], pa.binary())], names=["node", "piece", "hashes"])
-
-    sets = docs.join(sized_broadcast(wanted), "doc_id", "left_semi").mapInArrow(cut, "node long, piece int, hashes binary")
-    dealt = sets.join(places, "node")
+    places = binned.select(F.explode(F.array("a", "b")).alias("node"), F.col("bin").alias("place")).distinct()
+    dealt = sets.select("node", "piece", "hashes").join(places, "node").withColumnRenamed("place", "bin")
     spread = binned.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -280,20 +345,21 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in each open bucket. ``members``: (mark, node, n, root)."""
+    """Pairs across components in each open bucket. ``members``: (mark, node, n, root), n as a marked size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         node, n, root = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy()
         out = []
         for i in range(len(node)):  # by size, so partners are one slice
-            hi = np.searchsorted(n, n[i] * 100 // percent, "right")
-            j = i + 1 + np.flatnonzero(root[i + 1 : hi] != root[i])
-            out.append(np.stack([np.full(len(j), i), j]))
+            hi = np.searchsorted(n, 2 * ((n[i] >> 1) * 100 // percent) + 1, "right")
+            j = i + 1 + np.flatnonzero((root[i + 1 : hi] != root[i]) & _fits(n[i], n[i + 1 : hi], percent))
+            if len(j):
+                out.append(np.stack([np.full(len(j), i), j]))
         i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": node[i], "b": node[j], "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
+        return pd.DataFrame({"a": node[i], "b": node[j], "na": (n[i] >> 1).astype(np.int32), "nb": (n[j] >> 1).astype(np.int32)})
 
     return members.groupBy("mark").applyInPandas(run, "a long, b long, na int, nb int").distinct()
 
@@ -309,21 +375,30 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     read. No cap is set on buckets, partners or candidates.
     """
     docs = docs.select(sid(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = materialize(summaries(docs, words), "ngram-summaries")
-    rows = found.filter("doc_id is not null")
-    classes = materialize(rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")), "ngram-classes")
-    often = found.filter("doc_id is null").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= TOTAL)
-    often = often.orderBy(F.desc("n"), "node").limit(MOST_FREQUENT).toArrow()
+    n_words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    fragments = max(12, int(n_words) // 6 // FRAGMENT + 1)  # a word and its space are six characters or so
+    found = materialize(summaries(docs, words, fragments), "ngram-summaries")
+    rows = found.filter("kind = 0").select("doc_id", "n", "node")
+    classes = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"))
+    shared = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("shared"))
+    classes = materialize(classes.join(shared, "node", "left").withColumn("open", F.coalesce(F.col("shared") * 100 >= F.col("n") * percent, F.lit(False))), "ngram-classes")
+    often = found.filter("kind = 2").select("node", "n").orderBy(F.desc("n"), "node").limit(MOST_FREQUENT).toArrow()
     values, counts = often.column("node").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(values)
-    entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    met = materialize(buckets(docs, words, percent, (values[order], counts[order]), int(entries)), "ngram-buckets")
+    going = classes.filter("open")
+    entries = going.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    some = docs.join(sized_broadcast(going.select("doc_id").distinct()), "doc_id", "left_semi")
+    some = some if entries else docs.limit(0)
+    met = materialize(buckets(some, words, percent, (values[order], counts[order]), fragments, int(entries)), "ngram-buckets")
     pairs = materialize(star_pairs(met, percent).distinct(), "ngram-stars")
-    links = materialize(verified(pairs, docs, classes, words, percent), "ngram-links")
+    met_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(_members(met.filter("size > 2")).select("node")).distinct()
+    wanted = going.join(met_nodes, "node", "left_semi").select("doc_id").distinct()
+    sets = materialize(set_pieces(docs.join(sized_broadcast(wanted), "doc_id", "left_semi"), words).dropDuplicates(["node", "piece"]), "ngram-sets")
+    links = materialize(verified(pairs, sets, percent), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
-    again = _open_pairs(met, links, roots, percent)
+    again = _open_pairs(met, roots, percent)
     if again is not None:
-        more = materialize(verified(again, docs, classes, words, percent), "ngram-links")
+        more = materialize(verified(again, sets, percent), "ngram-links")
         if more.limit(1).count():
             roots = materialize(components(links.unionByName(more)), "ngram-roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -336,31 +411,33 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return full.select(plain(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(own("class_id")).alias("class_id"), plain(own("component_id")).alias("component_id"))
 
 
-def _open_pairs(met: DataFrame, links: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs across components in buckets that hold several, without those linked already."""
+def _members(met: DataFrame) -> DataFrame:
+    """(mark, leader, node, n) of each member of the buckets."""
 
     def spread(frames):
         for pdf in frames:
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000]
-                nodes = np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]])
-                sizes = np.concatenate([np.frombuffer(x, np.int32) for x in part["sizes"]])
                 counts = part["size"].to_numpy()
-                yield pd.DataFrame({"mark": np.repeat(part["mark"].to_numpy(), counts), "node": nodes, "n": sizes})
+                yield pd.DataFrame(
+                    {
+                        "mark": np.repeat(part["mark"].to_numpy(), counts),
+                        "leader": np.repeat(part["leader"].to_numpy(), counts),
+                        "node": np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]]),
+                        "n": np.concatenate([np.frombuffer(x, np.int32) for x in part["sizes"]]),
+                    }
+                )
+
+    return met.mapInPandas(spread, "mark long, leader long, node long, n int")
 
-    def spokes(frames):
-        for pdf in frames:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
-                counts = part["size"].to_numpy()
-                nodes = np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]])
-                yield pd.DataFrame({"leader": np.repeat(part["leader"].to_numpy(), counts), "node": nodes}).drop_duplicates()
 
+def _open_pairs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs across components in buckets that hold several."""
     root = roots.select("node", "root")
-    edges = met.filter("size > 2").select("leader", "size", "nodes").mapInPandas(spokes, "leader long, node long").distinct()
+    large = met.filter("size > 2")  # a star is all pairs of two
+    spokes = _members(large).filter("leader <> node").select("leader", "node").distinct()
     apart = (
-        edges.filter("leader <> node")
-        .join(root, "node", "left")
+        spokes.join(root, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
         .join(root.select(F.col("node").alias("leader"), F.col("root").alias("leading")), "leader", "left")
         .filter(F.col("root") != F.coalesce("leading", "leader"))
@@ -368,9 +445,9 @@ def _open_pairs(met: DataFrame, links: DataFrame, roots: DataFrame, percent: int
         .distinct()
     )
     apart = materialize(apart, "ngram-open")
-    still = met.filter("size > 2").join(sized_broadcast(apart), "leader", "left_semi").select("mark", "size", "nodes", "sizes").dropDuplicates(["mark"])
-    members = still.mapInPandas(spread, "mark long, node long, n int").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members, "ngram-members")
+    still = large.join(sized_broadcast(apart), "leader", "left_semi").dropDuplicates(["mark"])
+    members = _members(still).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialize(members.select("mark", "node", "n", "root"), "ngram-members")
     several = members.groupBy("mark").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("mark")
     pairs = materialize(_across(members.join(sized_broadcast(several), "mark", "left_semi"), percent), "ngram-pairs")
     return pairs if pairs.limit(1).count() else None
