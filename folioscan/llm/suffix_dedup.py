@@ -3,7 +3,7 @@
 Sorting all suffixes of a corpus at once is neither possible in one task nor needed: only strings of ``length`` bytes
 that occur twice matter.
 
-1. Anchors. In every window of ``length`` bytes the GRAM-byte string with the smallest hash is an anchor, so equal
+1. Anchors. In every window of ``length`` bytes the ``gram_size``-byte string with the smallest hash is an anchor, so equal
    windows have equal anchors at equal places. An anchor's block has all windows that contain it.
 2. Anchors that occur once are done. Blocks that are equal as a whole are copies of each other throughout.
 3. The different blocks of an anchor are cut out of the texts. Blocks of one anchor meet in one task, which sorts
@@ -27,11 +27,16 @@ from pyspark.sql import types as T
 
 from .common import SLICE, map_text, materialize, sid, sized_broadcast, skew_safe_left_join
 
-#: Bytes of an anchor; fewer than ``length``.
-GRAM = 128
 #: Bytes of a text that are looked at together, of blocks in a task, and blocks of an anchor that make a part.
 STRETCH, BIN_BYTES, PART = 1 << 20, 1 << 21, 2000
 
+
+
+def gram_size(length: int) -> int:
+    """Bytes of an anchor: long enough to be rare, short enough that anchors are far apart."""
+    return max(1, length * 8 // 25)
+
+
 _random = np.random.default_rng(20)
 _BYTE = _random.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -77,7 +82,7 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, Hashes]:
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, Hashes]:
     """Start and hash of each anchor of ``data`` (at least ``length`` bytes), and its hashes."""
     hashes = Hashes(data)
     starts = np.arange(len(data) - gram + 1)
@@ -89,7 +94,7 @@ def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
     return chosen, grams[chosen], hashes
 
 
-def blocks(data: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
+def blocks(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Columns anchor, block hash, start, end, number of anchors: places of one anchor whose blocks touch are one block."""
     found = []
     for at in range(0, max(1, len(data) - length + 1), STRETCH):
@@ -116,7 +121,10 @@ def blocks(data: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
 
 
 class Suffixes:
-    """Suffixes of ``data`` sorted by their first ``depth`` bytes or more (beyond the end: zeros)."""
+    """Suffixes of ``data`` sorted by their first ``depth`` bytes or more (beyond the end: zeros).
+
+    Ranks by the first 8 bytes give ranks by the first 24, and so on: three ranks of 21 bits make one sort key.
+    """
 
     def __init__(self, data: np.ndarray, depth: int, starts: np.ndarray | None = None):
         self.data = data
@@ -128,23 +136,27 @@ class Suffixes:
         self.levels, width = [], 8
         while True:
             ordered, inverse = np.unique(key, return_inverse=True)
-            rank = np.r_[inverse.astype(np.int32) + 1, np.zeros(width, np.int32)]
+            times = 3 if len(ordered) < (1 << 21) - 1 else 2
+            rank = np.r_[inverse.astype(np.uint32) + np.uint32(1), np.zeros(2 * width, np.uint32)]
             self.levels.append((width, rank))
             if width * 2 > depth:
                 break
-            key = rank[:n].astype(np.uint64) << np.uint64(32) | rank[width : n + width].astype(np.uint64)
-            width *= 2
+            key = rank[:n].astype(np.uint64)
+            for k in range(1, times):
+                key = key << np.uint64(21 if times == 3 else 32) | rank[k * width : n + k * width]
+            width *= times
         starts = np.arange(n) if starts is None else starts
         width, rank = self.levels[-1]
         tail = np.minimum(starts + max(depth - width, 0), n)
-        self.array = starts[np.lexsort((starts, rank[tail], rank[starts]))]
+        self.array = starts[np.lexsort((starts, rank[tail].astype(np.uint64) | rank[starts].astype(np.uint64) << np.uint64(32)))]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes, up to almost twice the last level."""
         n, out = len(self.data), np.zeros(len(a), np.int64)
-        for width, rank in reversed(self.levels):
-            i, j = np.minimum(a + out, n), np.minimum(b + out, n)
-            out += width * ((rank[i] == rank[j]) & (rank[i] > 0))
+        for k, (width, rank) in enumerate(reversed(self.levels)):
+            for _ in range(1 if k == 0 else 2):
+                i, j = np.minimum(a + out, n), np.minimum(b + out, n)
+                out += width * ((rank[i] == rank[j]) & (rank[i] > 0))
         live = np.ones(len(a), bool)
         for _ in range(7):
             i, j = a + out, b + out
@@ -181,19 +193,33 @@ def longest_previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.maximum(above, below)
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int, earlier_only: bool) -> np.ndarray:
-    """Those ``starts`` whose next ``length`` bytes also begin at another of them (or at one before, by ``order``)."""
-    suffixes = Suffixes(data, length, starts)
+def repeated(data: np.ndarray, starts: np.ndarray, length: int, earlier_only: bool) -> np.ndarray:
+    """Those ``starts`` (ascending) whose next ``length`` bytes also begin at another of them (or at one before).
+
+    Only stretches whose hash repeats are sorted: the others can have no match of that length.
+    """
+    hashes = Hashes(data).of(starts, starts + length)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(starts), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    kept = starts[again]
+    if not len(kept):
+        return kept
+    lo, hi = _spans(kept, length)
+    base = np.r_[0, np.cumsum(hi - lo)[:-1]]
+    shift = np.repeat(lo - base, np.diff(np.r_[np.searchsorted(kept, lo), len(kept)]))
+    suffixes = Suffixes(np.concatenate([data[a:b] for a, b in zip(lo, hi, strict=True)]), length, kept - shift)
     sa = suffixes.array
-    common = np.r_[0, suffixes.common(sa[1:], sa[:-1])] if len(sa) else np.zeros(0, np.int64)
+    common = np.r_[0, suffixes.common(sa[1:], sa[:-1])]
     long = common >= length
-    near = long | np.r_[long[1:], False] if len(sa) else long  # others have no match of this length
+    near = long | np.r_[long[1:], False]  # others have no match of this length
     sa, common = sa[near], np.where(long, common, 0)[near]
-    place = order[np.searchsorted(starts, sa)]
-    found = longest_previous(place, common) >= length
+    found = longest_previous(sa, common) >= length
     if not earlier_only:
-        found |= longest_previous(-place, common) >= length
-    return np.sort(sa[found])
+        found |= longest_previous(-sa, common) >= length
+    return np.sort(kept[np.searchsorted(kept - shift, sa[found])])
 
 
 def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +251,7 @@ def _meet(length: int, earlier_only: bool):
             end += len(body)
         data = np.concatenate(pieces)
         starts = np.concatenate([np.arange(s, s + n - length + 1) for s, _, _, n in segments])
-        hit = repeated(data, starts, np.arange(len(starts)), length, earlier_only)
+        hit = repeated(data, starts, length, earlier_only)
         begins = np.array([s[0] for s in segments])
         which = np.searchsorted(begins, hit, "right") - 1
         out = []
@@ -249,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
                 for i, x in enumerate(part.column(2).to_pylist()):
                     data = np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8)
                     if len(data) >= length:
-                        made.append(blocks(data, length))
+                        made.append(blocks(data, length, gram_size(length)))
                         owner.append(np.full(made[-1].shape[1], i))
                 if made:
                     anchor, block, lo, hi, n = np.concatenate(made, axis=1).view(np.int64)
@@ -311,10 +337,10 @@ def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool =
     empty, a null doc_id comes first, rows that repeat a doc_id are documents of their own (equal ones are copies of
     each other and lose the same bytes). Other columns pass through; those named like an output are replaced.
     """
-    marked = docs.withColumn("_uid", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
-    spans = repeated_spans(marked.select(F.col("_uid").alias("uid"), sid(doc_id).alias("doc_id"), F.col(text).alias("text")), length, keep_first)
-    spans = materialize(spans, "suffix-spans").withColumnRenamed("uid", "_uid")
-    joined = marked.join(sized_broadcast(spans, limit=200_000), "_uid", "left").withColumn("_pair", F.struct(F.col(text).alias("text"), F.col("spans")))
+    marked = docs.withColumn("__uid", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+    spans = repeated_spans(marked.select(F.col("__uid").alias("uid"), sid(doc_id).alias("doc_id"), F.col(text).alias("text")), length, keep_first)
+    spans = materialize(spans, "suffix-spans").select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"))
+    joined = marked.join(sized_broadcast(spans, limit=200_000), "__uid", "left").withColumn("__pair", F.struct(F.col(text).alias("text"), F.col("__spans").alias("spans")))
 
     def make():
         def one(pair: dict) -> tuple[bytes, int, int, int]:
@@ -334,4 +360,4 @@ def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool =
     names = ["kept", "n_bytes", "n_removed", "n_spans"]
     out = [T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in names]
     kept = [c for c in docs.columns if c not in names]
-    return map_text(joined.select(*kept, "_pair"), make, "_pair", out).drop("_pair")
+    return map_text(joined.select(*kept, "__pair"), make, "__pair", out).drop("__pair")
