@@ -63,11 +63,11 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], c
     """
     least = F.lit(max(1000, groups.agg(F.sum(count)).first()[0] or 0) // share)
     values = [c for c in groups.columns if c not in on]
-    hot = F.broadcast(groups.filter(F.col(count) > least).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(groups.filter(F.col(count) > least).withColumn("__hot", F.lit(True)))
     marked = rows.join(hot, list(on), "left")
-    near = marked.filter("_hot").drop("_hot")
+    near = marked.filter("__hot").drop("__hot")
     cold = groups.filter(F.col(count) <= least)
-    far = marked.filter("_hot is null").drop("_hot", *values).join(cold, list(on), "left")
+    far = marked.filter("__hot is null").drop("__hot", *values).join(cold, list(on), "left")
     return near.unionByName(far)
 
 

@@ -87,10 +87,10 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat doc_id and text, one stays."""
     dropped = exact_duplicates(docs, doc_id, text, bucket_keys).select("doc_id", "text_sha256", "kept", "group_size")
     dropped = materialize(dropped.filter("group_size > 1"), "dedup-dropped")
-    gone = dropped.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_s", F.sha2(normalised(text), 256))
-    rest = marked.join(sized_broadcast(gone), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_anti")
+    gone = dropped.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    marked = docs.withColumn("__s", F.sha2(normalised(text), 256))
+    rest = marked.join(sized_broadcast(gone), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_anti")
     again = dropped.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
     if again:  # rows that repeat an id and a text
-        rest = rest.dropDuplicates([doc_id, "_s"])
-    return rest.drop("_s")
+        rest = rest.dropDuplicates([doc_id, "__s"])
+    return rest.drop("__s")

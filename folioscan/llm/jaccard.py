@@ -170,7 +170,7 @@ def summaries(docs: DataFrame, words: int, fragments: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
         held = np.diff(np.r_[starts, len(grams)])
         shared = np.bincount((pairs[np.repeat(held > 1, held)] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
-        often = np.flatnonzero(held >= FREQUENT)
+        often = np.flatnonzero(held >= least)
         often = often[np.argsort(-held[often], kind="stable")[:MOST_FREQUENT]]
         keys = (np.uint64(f) << np.uint64(32) | grams[starts[often]].astype(np.uint64)).view(np.int64)
         some = np.flatnonzero(shared)
@@ -178,6 +178,7 @@ def summaries(docs: DataFrame, words: int, fragments: int) -> DataFrame:
             [pd.DataFrame({"kind": 1, "doc_id": 0, "n": shared[some], "node": nodes[some]}), pd.DataFrame({"kind": 2, "doc_id": 0, "n": held[often], "node": keys})]
         )
 
+    least = FREQUENT
     blocks = docs.mapInArrow(emit, "fragment int, x binary, y binary, z binary")
     return blocks.groupBy("fragment").applyInPandas(count, "kind int, doc_id long, n long, node long")
 
@@ -221,7 +222,7 @@ def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarra
     """(mark, leader, size, nodes, sizes): distinct buckets of at least two sets. nodes and sizes are packed, the leader
     first; a size is twice the number of n-grams, plus one if the bucket's n-gram is in the shorter prefix."""
     ranges = max(16, entries // (FRAGMENT // 4) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT rows at most
+    shared, block = docs.sparkSession.sparkContext.broadcast(frequent), BLOCK  # MOST_FREQUENT rows at most
 
     def emit(batches):
         often = shared.value
@@ -230,7 +231,7 @@ def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarra
             for node, s in held.items():
                 ordered, counts = _order(often, s, fragments)
                 first, inner = prefix_sizes(len(s), percent)
-                mine, flags, blocks = ordered[:first], np.arange(first) < inner, -(-counts[:first] // BLOCK)
+                mine, flags, blocks = ordered[:first], np.arange(first) < inner, -(-counts[:first] // block)
                 if (many := blocks > 1).any():  # a copy for each pair of blocks with the node's own
                     extra, more = [mine[~many]], [flags[~many]]
                     for key, flag, b in zip(mine[many], flags[many], blocks[many], strict=True):

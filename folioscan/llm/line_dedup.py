@@ -147,8 +147,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     document with the largest doc_id (``keep='first'``: the smallest). Rows are the documents; a null doc_id sorts
     before all others, and rows that share a doc_id all keep the line if it is theirs. Other columns pass through.
     """
-    lost = repeated_lines(docs, min_chars, min_docs, keep, doc_id, text).withColumnRenamed("doc_id", "_id")
-    joined = docs.withColumn("_id", sid(doc_id)).join(lost, "_id", "left").withColumn("_pair", F.struct(F.col(text).alias("text"), F.col("keys")))
+    lost = repeated_lines(docs, min_chars, min_docs, keep, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
+    joined = docs.withColumn("__id", sid(doc_id)).join(lost, "__id", "left").withColumn("__pair", F.struct(F.col(text).alias("text"), F.col("__keys").alias("keys")))
 
     def make():
         def one(pair: dict) -> tuple[int, int, str]:
@@ -163,4 +163,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
 
     out = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(text, T.StringType())]
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text)]
-    return map_text(joined.select(*kept, "_pair"), make, "_pair", out).drop("_pair")
+    return map_text(joined.select(*kept, "__pair"), make, "__pair", out).drop("__pair")

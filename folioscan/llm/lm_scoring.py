@@ -135,6 +135,6 @@ def score(docs: DataFrame, models: dict[str, dict[str, np.ndarray]], text: str =
 
 def score_by_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Scores with the documents that any label row marks 1 as the target. Null ids are never the target."""
-    good = labels.filter(F.col(label) == 1).select(F.col(doc_id).alias("_good")).distinct()
-    marked = docs.join(sized_broadcast(good), F.col(doc_id) == F.col("_good"), "left").withColumn("target", F.col("_good").isNotNull())
-    return score(docs, counts(marked.select(F.col(text).alias("text"), "target")), text)
+    good = labels.filter(F.col(label) == 1).select(F.col(doc_id).alias("__good")).distinct()
+    marked = docs.join(sized_broadcast(good), F.col(doc_id) == F.col("__good"), "left").select(F.col(text).alias("text"), F.col("__good").isNotNull().alias("target"))
+    return score(docs, counts(marked), text)

@@ -119,6 +119,6 @@ def mix(
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with one row for each copy taken. Rows with the same doc_id are taken alike."""
-    mixed = mix(docs, **options).filter("copies > 0").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).agg(F.max("copies").alias("_copies"))
+    mixed = mix(docs, **options).filter("copies > 0").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).agg(F.max("copies").alias("__copies"))
     key = F.coalesce(F.col(options.get("doc_id", "doc_id")).cast("long"), F.lit(NULL_ID))
-    return docs.withColumn("_id", key).join(mixed, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return docs.withColumn("__id", key).join(mixed, "__id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -95,14 +95,14 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "pii") ->
     kinds = (*BASE, *ADDED)
     none = F.expr("cast(array() as array<string>)")
     found = docs.withColumns(
-        {f"_m_{k}": F.when(body.contains(NEEDS[k]) if k in NEEDS else F.lit(True), F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in kinds}
+        {f"__m_{k}": F.when(body.contains(NEEDS[k]) if k in NEEDS else F.lit(True), F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in kinds}
     )
-    found = found.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(body, PATTERNS[k], -1)) for k in kinds})
-    found = found.withColumns({f"_l_{k}": F.when(F.size(f"_m_{k}") > 0, F.zip_with(F.slice(f"_g_{k}", 1, F.size(f"_m_{k}")), f"_m_{k}", lambda g, m: (F.length(g) + F.length(m)).cast("long"))) for k in kinds})
-    found = found.withColumns({f"_e_{k}": F.when(F.size(f"_m_{k}") > 0, running_ends(F.col(f"_l_{k}"))) for k in kinds})
+    found = found.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(body, PATTERNS[k], -1)) for k in kinds})
+    found = found.withColumns({f"__l_{k}": F.when(F.size(f"__m_{k}") > 0, F.zip_with(F.slice(f"__g_{k}", 1, F.size(f"__m_{k}")), f"__m_{k}", lambda g, m: (F.length(g) + F.length(m)).cast("long"))) for k in kinds})
+    found = found.withColumns({f"__e_{k}": F.when(F.size(f"__m_{k}") > 0, running_ends(F.col(f"__l_{k}"))) for k in kinds})
 
     def spans(kind: str) -> Column:
-        matches, gaps, ends = F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), F.col(f"_e_{kind}")
+        matches, gaps, ends = F.col(f"__m_{kind}"), F.col(f"__g_{kind}"), F.col(f"__e_{kind}")
 
         def one(m: Column, i: Column) -> Column:
             near = F.concat_ws(" ", F.right(F.get(gaps, i), F.lit(BEFORE)), F.left(F.get(gaps, i + 1), F.lit(AFTER)))

@@ -1,0 +1,567 @@
+"""The training-data operators against brute force on small tables, and on awkward ones."""
+
+import hashlib
+import os
+import re
+import struct
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from folioscan.llm import bpe, exact_dedup, fingerprints, jaccard, line_dedup, lm_scoring, mixing, pii, suffix_dedup, toxicity
+from folioscan.llm import queries as Q
+from folioscan.llm.components import components
+
+DATA = "/root/testdata/sf0.001"
+WS = r"[\x20\x09-\x0D]"
+PATH, PATTERN = public_tokenizers.path(Q.VOCABULARY), public_tokenizers.PATTERN
+LINE = "a line that several of the documents hold"
+AWKWARD = [
+    (1, None, None, None),
+    (2, "", "en", "a"),
+    (3, "one two  three\nfour five six seven " * 3, "fr", "b"),
+    (4, "one two three four five six seven " * 3, None, "b"),
+    (4, "one two three four five six seven " * 3, None, "b"),
+    (5, "x" * 70_000 + " 1.2.3.4 " + "ab " * 3000 + "a@b.co", "en", "a"),
+    (6, f"{LINE}\nb\n{LINE} ", "en", "a"),
+    (7, f"  {LINE.upper()}\nc", "en", None),
+    (8, LINE, "de", "c"),
+    (9, "é" * 250 + " café +33 1 23 45 67 89", "fr", "c"),
+    (10, "é" * 250 + " thé", "fr", "c"),
+    (None, "no id at all, but some words to speak of", "en", "a"),
+    (None, None, None, None),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keys int, __x int"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(*r, None, "s", 1, 2) for r in AWKWARD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet' order by 1").fetchall()
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
+    return con
+
+
+def sha(data) -> str:
+    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", list(Q.ORACLES))
+def test_sql(spark, db, name):
+    got, want = Q.QUERIES[name](spark, DATA).toPandas(), db.sql(Q.ORACLES[name]).df()
+    got, want = (x[sorted(x.columns)].sort_values(["doc_id"]).reset_index(drop=True) for x in (got, want))
+    assert list(got.columns) == list(want.columns) and (got == want).all().all()
+
+
+# Byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def coder():
+    with open(PATH, "rb") as f:
+        own = bpe.BytePairEncoder(bpe.load_ranks(f.read()), PATTERN)
+    return own, tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+
+
+def test_bpe_query(spark, docs, coder):
+    got = {r.doc_id: r for r in Q.op1_bpe(spark, DATA).collect()}
+    for i, t in docs:
+        ids = coder[1].encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(t))
+
+
+def test_every_token_encodes_to_itself(coder):
+    own = coder[0]
+    assert all(own.encode_piece(b) == [i] and own.merged(b) == [i] for b, i in list(own.ranks.items())[::7])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab'srelvdmt  \n\t\r\x1c\x85é1٣²,.!中😀", max_size=50), st.integers(0, 50), st.text(alphabet="ab 'é\n", max_size=6))
+def test_bpe_texts_appends_and_edits(coder, text, at, new):
+    own, other = coder
+    ids = other.encode_ordinary(text)
+    assert own.encode(text) == ids and own.decode(ids) == text.encode()
+    assert bpe._PackedText(own, True)(text) == np.array(ids, "<u4").tobytes()
+    state = bpe.TextState(own, text[:at])
+    for c in text[at:]:
+        state.append(c)
+    assert state.ids() == ids
+    data = text.encode()
+    table = bpe.PrefixTable(own, data)
+    table.replace(min(at, len(data)), min(at + 3, len(data)), new.encode())
+    assert table.ids() == own.merged(table.data) if table.data else True
+
+
+def test_bpe_awkward(spark, awkward, empty, coder):
+    out = bpe.encode(awkward, PATH, PATTERN, ids="score")  # replaces a column
+    rows = bpe.decode(out, PATH, ids="score").collect()
+    assert len(rows) == len(AWKWARD) and all(bytes(r.decoded).decode() == (r.text or "") for r in rows)
+    assert bpe.encode(empty, PATH, PATTERN).count() == 0
+
+
+# N-gram Jaccard join
+
+
+def linked(docs, words=5, percent=75):
+    sets = []
+    for _, t in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(rf"[^{WS[1:-1]}]+", low)
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    low = lambda i: -1 if i is None else i
+    least = defaultdict(lambda: 1 << 60)
+    for k, (i, _) in enumerate(docs):
+        least[find(k)] = min(least[find(k)], low(i))
+    return Counter((i, len(sets[k]), None if least[find(k)] == -1 else least[find(k)]) for k, (i, _) in enumerate(docs))
+
+
+def components_of(df):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+
+
+def test_jaccard_query(spark, docs):
+    assert components_of(Q.op2_jaccard(spark, DATA)) == linked(docs)
+
+
+def test_jaccard_awkward(spark, awkward, empty):
+    assert components_of(jaccard.link_components(awkward)) == linked([r[:2] for r in AWKWARD])
+    assert jaccard.link_components(empty).count() == 0
+
+
+def test_jaccard_groups(spark, monkeypatch):
+    """Chains of near copies, shared passages, and n-grams so frequent that their buckets are cut into blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "BIN", 16)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    base, passage, rows = [word() for _ in range(60)], " ".join(word() for _ in range(12)), []
+    for i in range(40):  # a chain: each differs from the last in one word
+        base[int(rng.integers(60))] = word()
+        rows.append((1000 - i, " ".join(base)))
+    for i in range(40):
+        rows.append((i, passage + " " + " ".join(word() for _ in range(int(rng.integers(1, 12))))))
+    got = components_of(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == linked(rows) and len({c for _, _, c in got}) > 3
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7)] + [(200, x) for x in range(201, 260)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys((100, 101, 102), 100), **dict.fromkeys(range(200, 260), 200)}
+
+
+# Toxicity
+
+
+def test_toxicity_query(spark):
+    found = Q.op3_toxicity(spark, DATA.replace("0.001", "0.01")).toPandas()
+    labels = duckdb.sql(f"select doc_id, toxic from '{DATA.replace('0.001', '0.01')}/labels.parquet'").df().merge(found, on="doc_id")
+    held = labels[labels.held_out]
+    assert found.score.between(0, 1).all() and len(held) > 40
+    toxic, clean = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
+    auc = (toxic[:, None] > clean[None]).mean() if len(toxic) and len(clean) else 1.0
+    assert auc > 0.75 and ((held.predicted == 1) == (held.toxic == 1)).mean() > 0.9  # some 50 toxic rows to learn from
+
+
+def test_toxicity_scoring_equals_training_features():
+    rng = np.random.default_rng(0)
+    docs = [list(map(int, rng.integers(1, toxicity.STEMS * 99, n))) for n in (0, 1, 2, 40, 70_000)]
+    model = toxicity.train([np.array(d, np.int64) for d in docs[1:4]] * 4, np.array([0, 1, 0] * 4), steps=5)
+
+    def plain(doc):
+        ids = np.array([*doc, *[0] * toxicity.PAD])
+        x = model.embed[ids // toxicity.STEMS] + model.stems[ids % toxicity.STEMS]
+        n = max(1, len(doc))
+        best = [sum(x[o : o + n] @ w[o] for o in range(len(w))).max(0) for w in model.filters]
+        hidden = np.maximum(np.concatenate(best) + model.bias, 0)
+        return 1 / (1 + np.exp(-(hidden @ model.out + model.out_bias)))
+
+    assert np.allclose(model.score(docs), [plain(d) for d in docs], atol=1e-4)
+
+
+def test_toxicity_awkward(spark, awkward, empty):
+    labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (6, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(awkward, labels)
+    rows = toxicity.classify(awkward, model).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 and r.rejected is not None for r in rows)
+    none = toxicity.fit(empty, labels.limit(0))
+    assert none.constant == 0.0 and {r.score for r in toxicity.classify(awkward, none).collect()} == {0.0}
+    assert toxicity.classify(empty, model).count() == 0
+
+
+# Personal data
+
+
+def luhn(d):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, p in patterns.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_query(spark, docs):
+    for r in Q.op4_pii(spark, DATA).collect():
+        want = base_spans(dict(docs)[r.doc_id])
+        assert r.base_sha256 == sha(",".join(want)) and r.n_email == sum(x.startswith("email") for x in want)
+        assert [x for x in r.spans.split(",") if x and not x.startswith("iban")] == want
+
+
+def test_pii_cases(spark):
+    texts = [
+        "a@b.c_d@e.f x@y z.z@q.r.s@t.u", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-11112222 5500005555555559 4",
+        "+1 (212) 555-0100 +12 +1234567 ++4912345678 +1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6", "é" * 5 + "a@b.co é 10.0.0.1", "9" * 50_000, "a" * 50_000 + "@", "a@b" + ".c" * 20_000, "1 " * 20_000, "+1" + "-" * 5000 + "2",
+        " ".join(f"u{i}@h{i}.org" for i in range(1500)), "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE88370400440532013000", None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_personal_data(df).withColumn("base", F.filter("pii", lambda s: s["kind"] != "iban")).select("doc_id", "pii", pii.joined(F.col("base")).alias("b")).collect()
+    for r in rows:
+        assert [x for x in r.b.split(",") if x] == base_spans(texts[r.doc_id]), texts[r.doc_id] and texts[r.doc_id][:60]
+    assert [texts[11][s.start : s.end] for s in rows[11].pii if s.kind == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    near = {r.doc_id: [round(s.score, 3) for s in r.pii] for r in pii.find_personal_data(spark.createDataFrame([(0, "write to a@b.co"), (1, "see a@b.co")], df.schema)).collect()}
+    assert near == {0: [0.9], 1: [0.7]}
+
+
+def test_pii_awkward(awkward, empty):
+    rows = pii.find_personal_data(awkward, out="score").collect()
+    assert Counter((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.score)) for r in rows) == Counter((r[0], ",".join(base_spans(r[1]))) for r in AWKWARD)
+    assert pii.find_personal_data(empty).count() == 0
+
+
+# Exact dedup
+
+
+def test_exact_dedup_awkward(spark, awkward, empty):
+    rows = exact_dedup.exact_duplicates(awkward).collect()
+    groups = defaultdict(list)
+    for i, t, *_ in AWKWARD:
+        groups[re.sub(f"{WS}+", " ", t or "")].append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        want.update((i, keep, len(ids), i == keep, sha(t)) for i in ids)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows) == want
+    left = exact_dedup.drop_exact_duplicates(awkward)
+    assert left.columns == awkward.columns and sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == sorted((i is None, i) for i in (1, 3, 5, 6, 7, 8, 9, 10, None))
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_directory_splits(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.lit(1).alias("rows"))
+    found = exact_dedup.directory(keys, 500).collect()
+    slots = Counter((r.key >> (64 - exact_dedup.MAX_DEPTH)) % (1 << exact_dedup.MAX_DEPTH) for r in keys.collect())
+    held = Counter()
+    for r in found:
+        held[r.bucket] += slots[r.slot]
+    assert len(found) == 1 << exact_dedup.MAX_DEPTH and max(held.values()) <= 500 and {r.depth for r in found} <= {3, 4, 5}
+
+
+# Mixing
+
+
+def test_mixing_awkward(awkward, empty):
+    rows = mixing.mix(awkward).collect()
+    assert len(rows) == len(AWKWARD) and mixing.mix(empty).count() == 0
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size and r.target <= 3 * r.source_size
+    size = Counter()
+    for i, t, _, s in AWKWARD:
+        size[s] += len((t or "").split())
+    assert {r.source: r.source_size for r in rows} == dict(size)
+    assert sum(r.taken for r in rows) <= sum(size.values())
+    assert Counter(map(tuple, mixing.mix(awkward).collect())) == Counter(map(tuple, rows))
+    assert mixing.take(awkward).columns == awkward.columns
+
+
+def test_mixing_targets_and_take(spark):
+    rows = [(i, " ".join("w" * (i % 7 + 1)), "abc"[min(i % 9, 2)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 3 * 7 for s in target) and sum(taken.values()) == sum(r.size for r in got)
+    copies = Counter(r.doc_id for r in mixing.take(df).collect())
+    assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+# Language-model scores
+
+
+def test_scores(spark, awkward, empty):
+    rows = [(i, "red green blue " * 5 if i % 2 else "one two three " * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_scoring.score_by_quality(df, labels).collect()}
+    assert all((got[i].score > 0) == (i % 2 == 1) and got[i].n_words == 15 for i in got)
+
+    def loss(texts, text):
+        known = lm_scoring._Ids()
+        words, contexts, pairs = Counter(), Counter(), Counter()
+        for t in texts:
+            ids = lm_scoring.word_ids(t, known)
+            words.update(ids[1:].tolist())
+            contexts.update(ids[:-1].tolist())
+            pairs.update(lm_scoring.pair_ids(ids).tolist())
+        total, out, ids = sum(words.values()), 0.0, lm_scoring.word_ids(text, known)
+        for a, b, p in zip(ids[:-1].tolist(), ids[1:].tolist(), lm_scoring.pair_ids(ids).tolist(), strict=True):
+            word = (words[b] + 1 / lm_scoring.VOCABULARY) / (total + 1)
+            out -= np.log((pairs[p] + 2 * word) / (contexts[a] + 2))
+        return out / (len(ids) - 1)
+
+    assert abs(got[0].background_loss - loss([t for _, t in rows], rows[0][1])) < 1e-4
+    assert abs(got[0].target_loss - loss([t for i, t in rows if i % 2], rows[0][1])) < 1e-4
+    scored = lm_scoring.score_by_quality(awkward, labels)
+    assert scored.count() == len(AWKWARD) and {r.score for r in scored.filter("n_words = 0").collect()} == {0.0}
+    assert lm_scoring.score_by_quality(empty, labels).count() == 0
+
+
+# Fingerprints
+
+
+def edited(docs):
+    ordered = sorted(docs)
+    out = {}
+    for k, (i, t) in enumerate(ordered):
+        half, after = len(t) // 2, ordered[(k + 1) % len(ordered)][1]
+        out[i] = (t[: len(t) - half] + after[:half], after)
+    return out
+
+
+def anchors(text):
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    pack = lambda n: struct.pack("<q", n)
+
+    def chain(values):  # Spark's xxhash64 of several longs: each is hashed with the last result as its seed
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(pack(v), seed)
+        return signed(seed)
+
+    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)]
+    k, s = fingerprints.K, fingerprints.S
+    if len(words) < k:
+        return {(chain(words), 0)} if words else set()
+    inner = [chain(words[i : i + s]) for i in range(len(words) - s + 1)]
+    found = {}
+    for i in range(len(words) - k + 1):
+        part = inner[i : i + k - s + 1]
+        if min(part) in (part[0], part[-1]):
+            found.setdefault(chain(part), i)
+    return set(sorted(found.items())[: fingerprints.MOST])
+
+
+def test_fingerprints_query(spark, docs):
+    rows, want = Q.op8_fingerprints(spark, DATA).collect(), edited(docs)
+    assert len(rows) == len(docs)
+    for r in rows:
+        text = dict(docs)[r.doc_id]
+        assert r.n_chars == len(text) and r.edited_sha256 == sha(want[r.doc_id][0])
+        for got, of in ((r.fingerprint, text), (r.edited_fingerprint, want[r.doc_id][0])):
+            assert got == ",".join(f"{h % (1 << 64):x}:{p:x}" for h, p in sorted(anchors(of)))
+        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 and (text != want[r.doc_id][1] or r.near_next == 1)
+    long = [r for r in rows if r.n_chars > 1500 and dict(docs)[r.doc_id] != want[r.doc_id][1]]
+    assert np.mean([r.near_edited for r in long]) > 0.35 > 0.2 > np.mean([r.near_next for r in long])
+
+
+def test_neighbours_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    ids = [*range(0, 300, 3), *range(10_000, 10_050), None, -5, 10**12]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, ["text"]).collect()}
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
+def test_fingerprints_awkward(awkward, empty):
+    made = fingerprints.add_fingerprint(awkward, "text", "score")
+    assert made.count() == len(AWKWARD)
+    after = fingerprints.with_next(awkward.withColumn("text", F.coalesce("text", F.lit(""))), ["text"])
+    assert after.count() == len(AWKWARD) and after.filter("next_text is null").count() == 0
+    assert fingerprints.with_next(empty, ["text"]).count() == 0
+
+
+# Lines
+
+
+def test_lines_awkward(awkward, empty):
+    lines = defaultdict(set)
+    low = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s.strip(" \t\n\x0b\f\r"))
+    ident = lambda i: -1 if i is None else i
+    for k, (i, t, *_) in enumerate(AWKWARD):
+        for x in (t or "").split("\n"):
+            if len(low(x)) >= 20:
+                lines[low(x)].add((k, ident(i)))
+    want = Counter()
+    for i, t, *_ in AWKWARD:
+        parts = (t or "").split("\n")
+        keep = [x for x in parts if len(lines[low(x)]) < 3 or ident(i) == max(o for _, o in lines[low(x)])]
+        want[(i, len(parts), len(parts) - len(keep), "\n".join(keep))] += 1
+    got = line_dedup.drop_repeated_lines(awkward)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == want and sum(k[2] for k in want) == 3
+    assert {"keys", "score", "__x"} <= set(got.columns)
+    first = {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(awkward, keep="first").collect()}
+    assert (first[6], first[7], first[8]) == (0, 1, 1)
+    assert line_dedup.drop_repeated_lines(empty).count() == 0
+
+
+def test_filters_merge_in_steps(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FAN_IN", 2)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(df).collect()}
+    monkeypatch.undo()
+    assert got == {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(df.coalesce(1)).collect()}
+
+
+# Suffix arrays
+
+
+def removed(docs, length, first=False):
+    data = [(t or "").encode() for _, t in docs]
+    seen, order = defaultdict(list), sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0))
+    for k in order:
+        for a in range(len(data[k]) - length + 1):
+            seen[data[k][a : a + length]].append((k, a))
+    out = []
+    for k, d in enumerate(data):
+        mask = bytearray(len(d))
+        for a in range(len(d) - length + 1):
+            places = seen[d[a : a + length]]
+            if len(places) > 1 and not (first and places[0] == (k, a)):
+                mask[a : a + length] = b"\1" * length
+        out.append((docs[k][0], len(d), sum(mask), len(re.findall(b"\1+", bytes(mask))), bytes(c for c, m in zip(d, mask, strict=True) if not m)))
+    return out
+
+
+def test_suffix_query(spark, docs):
+    want = {i: (n, r, s, sha(kept)) for i, n, r, s, kept in removed(docs, 400)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op10_suffix_dedup(spark, DATA).collect()} == want
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_suffix_cases(spark, monkeypatch, first):
+    """Short strings, self-overlaps, passages in many surroundings, parts and bins, the first copy kept or not."""
+    monkeypatch.setattr(suffix_dedup, "PART", 5)
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghij é"), n))
+    passage, rows = word(70), []
+    for i in range(30):
+        rows.append((i, word(int(rng.integers(0, 90))) + passage[int(rng.integers(0, 15)) : int(rng.integers(40, 70))] + word(int(rng.integers(0, 40)))))
+    rows += [(100, "ab" * 60), (101, "x" * 49), (102, "x" * 51), (103, "x" * 300), (104, rows[3][1]), (105, None), (106, "q" + word(60) * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.drop_repeated_strings(df, 40, first)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == sorted(removed(rows, 40, first))
+
+
+def test_long_texts_are_cut_into_stretches(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    whole = suffix_dedup.blocks(data, 60, 20)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    assert sorted(map(tuple, whole.T.tolist())) == sorted(map(tuple, suffix_dedup.blocks(data, 60, 20).T.tolist()))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=80).map(lambda b: bytes(97 + c % 3 for c in b)))
+def test_longest_previous_factors(data):
+    array = np.frombuffer(data, np.uint8)
+    s = suffix_dedup.Suffixes(array, 400)
+    common = np.r_[0, s.common(s.array[1:], s.array[:-1])]
+    got = dict(zip(s.array.tolist(), suffix_dedup.longest_previous(s.array, common).tolist(), strict=True))
+    for i in range(len(data)):
+        match = lambda j: next((k for k in range(len(data) - i) if data[i + k] != data[j + k]), len(data) - i)  # noqa: E731, B023
+        assert got[i] == max((match(j) for j in range(i)), default=0)
+
+
+def test_suffix_awkward(awkward, empty):
+    out = suffix_dedup.drop_repeated_strings(awkward)
+    want = Counter((i, n, r, s, kept) for i, n, r, s, kept in removed([r[:2] for r in AWKWARD], 400))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()) == want
+    assert suffix_dedup.drop_repeated_strings(empty).count() == 0
+
+
+# Pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = [{r.doc_id: r.text for r in docs.collect()}]
+    frame = docs
+    for k, (_, stage) in enumerate(P.STAGES):
+        frame = stage(spark, frame, DATA)
+        frame.write.parquet(str(tmp_path / str(k)))
+        frame = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert frame.columns == docs.columns
+            kept.append({r.doc_id: r.text for r in frame.collect()})
+    labels = dict(duckdb.sql(f"select doc_id, toxic from '{DATA}/labels.parquet'").fetchall())
+    gone = set(kept[0]) - set(kept[1])
+    assert len(gone) < 0.3 * len(kept[0]) and sum(labels.get(i) == 0 for i in gone) <= 5
+    first = {}
+    for i, t in sorted(kept[1].items()):
+        first.setdefault(re.sub(f"{WS}+", " ", t), i)
+    assert set(kept[2]) == set(first.values())
+    assert set(kept[3]) == {c for _, _, c in linked(sorted(kept[2].items()))}
+    stage3 = spark.read.parquet(str(tmp_path / "2"))
+    copies = Counter(r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).select("doc_id").collect())
+    assert copies == Counter({r.doc_id: r.copies for r in mixing.mix(stage3).collect() if r.copies})
+    last = frame.collect()
+    assert Counter(r.doc_id for r in last) == copies
+    with open(PATH, "rb") as f:
+        token = {i: b for b, i in bpe.load_ranks(f.read()).items()}
+    assert all(b"".join(token[i] for i in np.frombuffer(bytes(r.ids), "<u4")).decode() == kept[3][r.doc_id] and len(r.ids) == 4 * r.n_tokens for r in last)
+
+
+def test_nothing_else_imports_the_operators():
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for folder, _, names in os.walk(f"{top}/folioscan"):
+        for n in names:
+            if n.endswith(".py") and "llm" not in folder:
+                with open(f"{folder}/{n}") as f:
+                    assert "llm" not in f.read(), n
