@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -71,6 +72,12 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], c
     return near.unionByName(far)
 
 
+def release() -> None:
+    """Give memory of a finished task back: workers are kept, and other stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[list], Sequence]],
@@ -96,6 +103,8 @@ def map_text(
                 [*[batch.column(read.index(c)) for c in kept], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]],
                 names=[*kept, *[f.name for f in outputs]],
             )
+        del apply
+        release()
 
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 
