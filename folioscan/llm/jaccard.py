@@ -30,18 +30,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialize, sid, sized_broadcast, skew_safe_left_join
+from .common import NULL_ID, materialize, release, sid, sized_broadcast, skew_safe_left_join
 from .components import components
 
 #: Contract values: words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: Shingles that a Python worker holds before it passes them on, and entries of a fragment.
-CHUNK, FRAGMENT = 2_000_000, 4_000_000
+CHUNK, FRAGMENT = 1_000_000, 2_000_000
 #: N-grams that FREQUENT sets hold are last in the order, most frequent last: the MOST_FREQUENT most frequent of them
 #: (this decides cost, not results).
 FREQUENT, MOST_FREQUENT = 8, 1 << 18
 #: Pieces of a set in verification, sets of a block, pairs of a verification bin.
 PIECES, BLOCK, BIN = 4, 50_000, 4096
+#: Ranges of the hashes in which a set's n-grams are counted, to bound intersections before pairs are made.
+RANGES = 64
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -49,7 +51,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         out = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = out
         return out
 
@@ -90,6 +92,8 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int,
             part = batch.slice(at, 256)
             for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 yield i, shingles(x, words, known)
+    del known
+    release()
 
 
 def _chunks(sets: Iterable[tuple[int, np.ndarray]]) -> Iterator[dict[int, np.ndarray]]:
@@ -196,7 +200,8 @@ def _order(frequent: tuple[np.ndarray, np.ndarray], s: np.ndarray, fragments: in
 
 
 def set_pieces(docs: DataFrame, words: int) -> DataFrame:
-    """(node, n, piece, hashes): each document's set, cut into PIECES ranges of the hashes."""
+    """(node, n, piece, hashes, counts): each document's set, cut into PIECES ranges of the hashes; with the first
+    piece, how many n-grams are in each of RANGES ranges."""
     borders = np.arange(1, PIECES, dtype=np.uint64) * np.uint64((1 << 64) // PIECES)
 
     def cut(batches):
@@ -204,7 +209,8 @@ def set_pieces(docs: DataFrame, words: int) -> DataFrame:
         for _, s in _sets(batches, words):
             if len(s):
                 node = set_id(s)
-                rows += [(node, len(s), i, x.tobytes()) for i, x in enumerate(np.split(s, np.searchsorted(s, borders)))]
+                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32).tobytes()
+                rows += [(node, len(s), i, x.tobytes(), None if i else counts) for i, x in enumerate(np.split(s, np.searchsorted(s, borders)))]
             if len(rows) >= 1024:
                 yield _batch(rows)
                 rows = []
@@ -212,16 +218,16 @@ def set_pieces(docs: DataFrame, words: int) -> DataFrame:
             yield _batch(rows)
 
     def _batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "piece", "hashes"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "piece", "hashes", "counts"])
 
-    return docs.mapInArrow(cut, "node long, n long, piece int, hashes binary")
+    return docs.mapInArrow(cut, "node long, n long, piece int, hashes binary, counts binary")
 
 
 def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], fragments: int, entries: int) -> DataFrame:
     """(mark, leader, size, nodes, sizes): distinct buckets of at least two sets. nodes and sizes are packed, the leader
     first; a size is twice the number of n-grams, plus one if the bucket's n-gram is in the shorter prefix."""
-    ranges = max(16, entries // (FRAGMENT // 4) + 1)
+    ranges = max(16, entries // (FRAGMENT // 2) + 1)
     shared, block = docs.sparkSession.sparkContext.broadcast(frequent), BLOCK  # MOST_FREQUENT rows at most
 
     def emit(batches):
@@ -346,17 +352,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in each open bucket. ``members``: (mark, node, n, root), n as a marked size."""
+    """Pairs across components in each open bucket. ``members``: (mark, node, n, root, counts), n as a marked size.
+
+    Sizes and counts by range bound the intersection of a pair; those that can't be similar enough are not made.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         node, n, root = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy()
+        counts = np.stack([np.frombuffer(x, np.int32) for x in pdf["counts"]])
         out = []
         for i in range(len(node)):  # by size, so partners are one slice
             hi = np.searchsorted(n, 2 * ((n[i] >> 1) * 100 // percent) + 1, "right")
             j = i + 1 + np.flatnonzero((root[i + 1 : hi] != root[i]) & _fits(n[i], n[i + 1 : hi], percent))
-            if len(j):
-                out.append(np.stack([np.full(len(j), i), j]))
+            for at in range(0, len(j), 4096):
+                k = j[at : at + 4096]
+                most = np.minimum(counts[k], counts[i]).sum(1, dtype=np.int64)
+                k = k[most * 100 >= ((n[k] >> 1).astype(np.int64) + (n[i] >> 1) - most) * percent]
+                if len(k):
+                    out.append(np.stack([np.full(len(k), i), k]))
         i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -397,7 +411,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = materialize(set_pieces(docs.join(sized_broadcast(wanted), "doc_id", "left_semi"), words).dropDuplicates(["node", "piece"]), "ngram-sets")
     links = materialize(verified(pairs, sets, percent), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
-    again = _open_pairs(met, roots, percent)
+    again = _open_pairs(met, roots, sets, percent)
     if again is not None:
         more = materialize(verified(again, sets, percent), "ngram-links")
         if more.limit(1).count():
@@ -432,7 +446,7 @@ def _members(met: DataFrame) -> DataFrame:
     return met.mapInPandas(spread, "mark long, leader long, node long, n int")
 
 
-def _open_pairs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+def _open_pairs(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Pairs across components in buckets that hold several."""
     root = roots.select("node", "root")
     large = met.filter("size > 2")  # a star is all pairs of two
@@ -450,5 +464,6 @@ def _open_pairs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame | N
     members = _members(still).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = materialize(members.select("mark", "node", "n", "root"), "ngram-members")
     several = members.groupBy("mark").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("mark")
-    pairs = materialize(_across(members.join(sized_broadcast(several), "mark", "left_semi"), percent), "ngram-pairs")
+    counted = members.join(sized_broadcast(several), "mark", "left_semi").join(sets.filter("piece = 0").select("node", "counts"), "node")
+    pairs = materialize(_across(counted, percent), "ngram-pairs")
     return pairs if pairs.limit(1).count() else None
