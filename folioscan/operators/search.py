@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.snippet import snippet_column
@@ -33,6 +33,11 @@ def parse_query(text: str, stemmer: str = "french") -> Query:
     return Query(terms, stems, tuple(map(fold_text, stems)))
 
 
+def worth_searching(text: str) -> bool:
+    """Whether a search box should search yet: two characters without the space around them."""
+    return len(text.strip()) >= 2
+
+
 def matching(posted: DataFrame, lengths: DataFrame, query: Query, mode: str = "fallback", totals=None) -> tuple[DataFrame, bool]:
     """((file_id, n_terms, score), every_word).
 
@@ -58,8 +63,6 @@ def ranked(found: DataFrame, files: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("has_text"), F.desc(F.round("score", 9)), F.asc("file_id")]
     top = found.join(files.select(F.col("id").alias("file_id"), (F.col("status") == "ok").alias("has_text")), "file_id").orderBy(*order).limit(limit)
     # A result has few rows, so ranking them in one task is what sorting them has come to already.
-    from pyspark.sql import Window
-
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, markup, words
-from ..functions.words import STOP_WORDS
-from ..operators.search import matching, parse_query, ranked
 from ..operators import search
+from ..operators.search import matching, parse_query, ranked
 from ..sources import names
 from . import postings as P
 from . import sync as S
@@ -145,6 +144,10 @@ def roots(spark, sf_dir):
     return S.roots(all_files(spark, sf_dir))
 
 
+def total_files(spark, sf_dir):
+    return S.total_files(roots(spark, sf_dir))
+
+
 def index_stats(spark, sf_dir):
     return S.stats(all_files(spark, sf_dir), document_texts(spark, sf_dir))
 
@@ -273,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         word_counts, stop_filtered_terms, plural_stripped_terms, accent_folded_terms, name_words, html_text, html_entities, xml_text,
-        sensitive_names, excluded_paths, extension_status, roots, index_stats, known_files, sync_plan, sync_report, forget_root,
+        sensitive_names, excluded_paths, extension_status, roots, total_files, index_stats, known_files, sync_plan, sync_report, forget_root,
         root_adoption, root_overlap, status_migration, posting_list, doc_lengths, doc_freq, search_and, search_or, search_fallback,
         search_text_before_name_only, search_hits, search_stemmed, search_passages, hit_display,
     )

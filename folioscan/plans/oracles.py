@@ -123,6 +123,7 @@ ORACLES: dict[str, str] = {
         case when ext not in ({_quoted(N.READABLE)}) then 'name_only' when size > {N.MOST_BYTES} then 'too_large' when text is null then 'unreadable'
              when trim(text, ' ' || chr(10)) = '' then 'empty' else 'ok' end as status from (select *, {_EXT} as ext from ({_MADE}))""",
     "roots": f"select root, count(*) as files from ({_ALL_FILES}) group by root order by root",
+    "total_files": f"select count(*) as files from ({_ALL_FILES})",
     "index_stats": f"""select count(*) as files, count(*) filter (status = 'ok') as with_text, count(*) filter (status = 'name_only') as name_only,
         count(*) filter (status in ('unreadable', 'empty', 'too_large')) as unreadable,
         (select coalesce(sum(length(text)), 0)::bigint from documents) as text_bytes from ({_ALL_FILES})""",

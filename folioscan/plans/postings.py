@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem_column
-from ..functions.words import index_fold, is_indexed_word, light_stem, name_stem, words
+from ..functions.words import index_fold, index_fold_text, is_indexed_word, light_stem, name_stem, words
 
 #: Weights of matches in the name and in the stems, and the usual BM25 constants.
 WEIGHTS = {"name": 8.0, "stems": 1.0}
@@ -34,7 +34,6 @@ def word_rows(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 def postings(files: DataFrame, texts: DataFrame, stemmer: str = "french") -> DataFrame:
     counted = word_rows(files, texts).groupBy("file_id", "col", "word").agg(F.count("*").alias("n"))
-    # Words without letters of the stemmed column come from the name column unchanged.
     name = counted.filter("col = 'name'").withColumn("token", index_fold(F.col("word")))
     stems = counted.filter("col = 'stems'").withColumn("token", index_fold(STEMMERS[stemmer](F.col("word"))))
     return name.unionByName(stems).groupBy("file_id", "col", "token").agg(F.sum("n").alias("tf"))
@@ -59,8 +58,6 @@ class Phrase:
 
 
 def phrases(terms: Sequence[str], stems: Sequence[str]) -> list[Phrase]:
-    from ..functions.words import index_fold_text
-
     return [Phrase(i, c, index_fold_text(w)) for i, (t, s) in enumerate(zip(terms, stems, strict=True)) for c, w in (("name", t), ("stems", s))]
 
 

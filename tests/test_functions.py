@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import display, markup, words
 from folioscan.functions.snippet import snippet
 from folioscan.functions.stemmer import snowball, stem
-from folioscan.operators.search import parse_query
+from folioscan.operators.search import parse_query, worth_searching
 from folioscan.sources import names
 
 
@@ -39,6 +39,7 @@ def test_query_drops_fillers():
     assert {"contrat", "location"} <= set(q.terms) and not {"de", "mon"} & set(q.terms)
     assert parse_query("le la").terms == ("le", "la")  # nothing else is left
     assert parse_query("").terms == ()
+    assert worth_searching("ab") and not worth_searching(" a ")
 
 
 def test_snippet_ignores_accents():
