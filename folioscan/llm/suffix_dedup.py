@@ -4,7 +4,7 @@ Sorting all suffixes of a corpus at once is neither possible in one task nor nee
 that occur twice matter.
 
 1. Anchors. In every window of ``length`` bytes the ``gram_size``-byte string with the smallest hash is an anchor, so equal
-   windows have equal anchors at equal places. An anchor's block has all windows that contain it.
+   windows have equal anchors. Neighbouring windows with one anchor are a block; each window is in one block.
 2. Anchors that occur once are done. Blocks that are equal as a whole are copies of each other throughout.
 3. The different blocks of an anchor are cut out of the texts. Blocks of one anchor meet in one task, which sorts
    their suffixes and finds, for each, the longest match that begins earlier (and later) in the corpus: the previous
@@ -82,42 +82,29 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, Hashes]:
-    """Start and hash of each anchor of ``data`` (at least ``length`` bytes), and its hashes."""
-    hashes = Hashes(data)
-    starts = np.arange(len(data) - gram + 1)
-    grams = hashes.of(starts, starts + gram)
-    width = length - gram + 1
-    least = _sliding(grams, width, True)
-    edge = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, False) == grams)
-    return chosen, grams[chosen], hashes
-
-
 def blocks(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Columns anchor, block hash, start, end, number of anchors: places of one anchor whose blocks touch are one block."""
-    found = []
-    for at in range(0, max(1, len(data) - length + 1), STRETCH):
-        lo = max(0, at - length)  # so that blocks at the border are whole and come from one stretch or both alike
-        part = data[lo : at + STRETCH + 2 * length]
-        if len(part) >= length:
-            p, h, _ = anchors(part, length, gram)
-            found.append(np.stack([h, (p + lo).astype(np.uint64)]))
-    if not found:
-        return np.zeros((5, 0), np.uint64)
-    h, p = np.unique(np.concatenate(found, axis=1), axis=1) if len(found) > 1 else found[0]
-    order = np.lexsort((p, h))
-    h, p = h[order], p[order].astype(np.int64)
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (p[1:] - p[:-1] >= 2 * length - gram)
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(h)] - 1
-    start = np.maximum(p[first] - (length - gram), 0)
-    end = np.minimum(p[last] + length, len(data))
-    place = (p[first] - start).astype(np.uint64)
-    whole = Hashes(data).of(start, end) if len(data) <= 1 << 26 else np.array([_mix(Hashes(data[a:b]).of(np.array([0]), np.array([b - a])))[0] for a, b in zip(start, end, strict=True)], np.uint64)
-    block = _mix(whole ^ (place * np.uint64(_BASE)) ^ ((end - start).astype(np.uint64) << np.uint64(40)))
-    return np.stack([h[first], block, start.astype(np.uint64), end.astype(np.uint64), (last - first + 1).astype(np.uint64)])
+    """Columns anchor, block hash, start, end, places: runs of windows of ``length`` bytes with one anchor.
+
+    The anchor of a window is the smallest hash of its ``gram``-byte strings, so every window is in one block and equal
+    windows have equal anchors. A block ends with the last byte of its last window. places is over 1 if the text has
+    the anchor's string more than once.
+    """
+    found, width = [], length - gram + 1
+    for at in range(0, len(data) - length + 1, STRETCH):
+        hashes = Hashes(part := data[at : at + STRETCH + length - 1])
+        starts = np.arange(len(part) - gram + 1)
+        grams = hashes.of(starts, starts + gram)
+        least = _sliding(grams, width, True)
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        end = np.r_[first[1:], len(least)] - 1 + length
+        edge = np.zeros(width - 1, np.uint64)
+        chosen = np.sort(grams[_sliding(np.concatenate([edge, least, edge]), width, False) == grams])
+        twice = np.unique(chosen[1:][chosen[1:] == chosen[:-1]])
+        anchor = least[first]
+        places = 1 + np.isin(anchor, twice)
+        whole = _mix(hashes.of(first, end) ^ ((end - first).astype(np.uint64) << np.uint64(40)))
+        found.append(np.stack([anchor, whole, (first + at).astype(np.uint64), (end + at).astype(np.uint64), places.astype(np.uint64)]))
+    return np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.uint64)
 
 
 class Suffixes:
