@@ -1,16 +1,18 @@
 """Language-model scores: the cross-entropy difference of two n-gram models.
 
-A target model and a background model are matched: same order, smoothing and one shared vocabulary, the hashed words
-of the whole corpus. The target counts come from chosen documents, the background counts from all documents. A
-document's score is the mean over its words of background loss minus target loss, in nats: higher is more like the
-target. Counts are sums over all documents, gathered as each task's non-empty counters by segment.
+A target model and a background model are matched: same order, smoothing and one shared vocabulary, the words of the
+whole corpus. The target counts come from chosen documents, the background counts from all documents. A document's
+score is the mean over its words of background loss minus target loss, in nats: higher is more like the target.
+
+Counts are exact but for equal 63-bit hashes. Texts are dealt into blocks; a block asks for the counts of its
+different n-grams, each part of the hash range adds up what all blocks hold of it and answers each block, and the
+answers meet the block's texts. So tables grow with the corpus, and memory only with a block and a part of the range.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,123 +20,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, map_text, sized_broadcast
+from .common import ARROW, materialize, release, sized_broadcast
 
-#: Words of the vocabulary and counters of word pairs; both hashed, both fixed, so the models are 4 * (VOCABULARY +
-#: PAIRS) * 2 bytes whatever the corpus. Word 0 begins a text.
-VOCABULARY, PAIRS, SEGMENTS = 1 << 18, 1 << 21, 64
+#: Least number of words that the uniform distribution is over; the number of different words where that is larger.
+VOCABULARY = 1 << 18
 #: Smoothing: pairs are discounted against words, words against the uniform distribution.
 PAIR_PRIOR, WORD_PRIOR = 2.0, 1.0
-WORDS_AT_ONCE = 1 << 18
+#: Characters of a block of texts, and characters of the corpus for each part of the hash range: sizes of tasks.
+BLOCK_CHARS, RANGE_CHARS = 1 << 22, 1 << 23
 
 _words = re.compile(r"\w+|[^\w\s]").findall
 
 
 class _Ids(dict):
     def __missing__(self, word: str) -> int:
-        out = 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (VOCABULARY - 1)
+        out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1 or 1
         if len(self) < 300_000:
             self[word] = out
         return out
 
 
 def word_ids(text: str | None, known: dict) -> np.ndarray:
-    """0, then the hashed words (runs of word characters, or single signs) in lower case."""
+    """0, which begins a text, then the 63-bit hashes of its words (runs of word characters, or single signs) in lower case."""
     return np.array([0, *map(known.__getitem__, _words((text or "").lower()))], np.int64)
 
 
+def _mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)) & ~np.uint64(1)
+
+
 def pair_ids(ids: np.ndarray) -> np.ndarray:
-    """Counter of each word with the one before it."""
-    mixed = (ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(43)).astype(np.int64)
-
-
-def counts(docs: DataFrame, text: str = "text", target: str = "target") -> dict[str, np.ndarray]:
-    """Counters of all texts and of those with ``target`` true: words, word pairs and pairs' first words."""
-    size = VOCABULARY * 2 + PAIRS  # words, words as a context, pairs
-    width = size // SEGMENTS + 1
-
-    def local(batches) -> Iterator[pa.RecordBatch]:
-        known, sums = _Ids(), np.zeros((2, size), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                for x, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = word_ids(x, known)
-                    flat = np.concatenate([ids[1:], ids[:-1] + VOCABULARY, pair_ids(ids) + 2 * VOCABULARY])
-                    values, n = np.unique(flat, return_counts=True)
-                    sums[0][values] += n
-                    if t:
-                        sums[1][values] += n
-        rows = []
-        for model in (0, 1):
-            for s in range(SEGMENTS):
-                seg = sums[model][s * width : (s + 1) * width]
-                where = np.flatnonzero(seg)
-                if len(where):
-                    rows.append((model, s, where.astype(np.uint32).tobytes(), seg[where].tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["model", "segment", "places", "sums"])
-
-    def add(left: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for p, n in zip(left.column("places"), left.column("sums"), strict=True):
-            total[np.frombuffer(p.as_py(), np.uint32)] += np.frombuffer(n.as_py(), np.int64)
-        return pa.table({"model": left.column("model")[:1], "segment": left.column("segment")[:1], "total": pa.array([total.tobytes()], pa.binary())})
-
-    def fold(parts: pa.Table) -> pa.Table:
-        total = np.frombuffer(add(parts).column("total")[0].as_py(), np.int64)
-        where = np.flatnonzero(total)
-        return pa.table({"model": parts.column("model")[:1], "segment": parts.column("segment")[:1], "places": pa.array([where.astype(np.uint32).tobytes()], pa.binary()), "sums": pa.array([total[where].tobytes()], pa.binary())})
-
-    parts = docs.select(text, target).mapInArrow(local, "model int, segment int, places binary, sums binary")
-    # Parts of a segment are first added in groups, so that no task reads those of all tasks at once.
-    grouped = parts.groupBy("model", "segment", F.floor(F.spark_partition_id() / 64).alias("part")).applyInArrow(fold, "model int, segment int, places binary, sums binary")
-    out = np.zeros((2, width * SEGMENTS), np.int64)
-    for r in grouped.groupBy("model", "segment").applyInArrow(add, "model int, segment int, total binary").toLocalIterator():
-        out[r.model, r.segment * width : (r.segment + 1) * width] = np.frombuffer(bytes(r.total), np.int64)
-    cut = lambda m: {"words": m[:VOCABULARY], "contexts": m[VOCABULARY : 2 * VOCABULARY], "pairs": m[2 * VOCABULARY : size]}
-    return {"background": cut(out[0]), "target": cut(out[1])}
-
-
-def _loss(model: dict[str, np.ndarray], ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Loss of each word: its pair count, smoothed with its word count, smoothed with the uniform distribution."""
-    word = (model["words"][ids[1:]] + WORD_PRIOR / VOCABULARY) / (model["total"] + WORD_PRIOR)
-    return -np.log((model["pairs"][pairs] + PAIR_PRIOR * word) / (model["contexts"][ids[:-1]] + PAIR_PRIOR))
-
-
-def score(docs: DataFrame, models: dict[str, dict[str, np.ndarray]], text: str = "text") -> DataFrame:
-    """``docs`` with n_words (long), target_loss, background_loss and score (double; background minus target loss).
+    """Hash of each word with the one before it: even, while words as such have odd keys."""
+    return _mixed(ids[:-1], ids[1:].astype(np.uint64))
+
+
+class _Block:
+    """Different n-grams of some texts as sorted ``keys``, and for each word of the texts the places of its word, its context and its pair."""
+
+    def __init__(self, texts: list[str | None], known: dict):
+        ids = [word_ids(x, known) for x in texts]
+        self.sizes = np.array([len(i) - 1 for i in ids])
+        flat = np.concatenate(ids)
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(self.sizes + 1) - self.sizes - 1] = False
+        inside = inside[1:]
+        words, at = np.unique(flat, return_inverse=True)
+        pairs, pair = np.unique(pair_ids(flat)[inside], return_inverse=True)
+        keys = np.concatenate([words.astype(np.uint64) * np.uint64(2) + np.uint64(1), _mixed(words, ~np.uint64(0)), pairs])
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys = keys[order]
+        self.word, self.context, self.pair = place[at[1:][inside]], place[at[:-1][inside] + len(words)], place[pair + 2 * len(words)]
+
+    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs, or in how many places of ``chosen`` words."""
+        return sum(np.bincount(x if chosen is None else x[chosen], minlength=len(self.keys)) for x in (self.word, self.context, self.pair))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers in as many bytes as the largest needs: that number, then all first bytes, all second bytes and so on."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes((width,)) + values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def counts(docs: DataFrame, ranges: int, text: str = "text", target: str = "target", block: str = "block") -> DataFrame:
+    """Rows of block, range, background and target: counts in all texts and in those with ``target`` true, of the keys
+    of the block in that of ``ranges`` parts of the hash range, in order of the keys. Of n_words, n_target (words of
+    all texts and of the target) and n_distinct (different words) the sums over all rows count.
+    """
+    ask = "block long, range int, keys binary, n binary, t binary"
+    known = _Ids()
+
+    def requests(docs: pa.Table) -> pa.Table:
+        own = _Block(docs.column("text").to_pylist(), known)
+        chosen = np.repeat(np.array(docs.column("target").to_pylist(), bool), own.sizes)
+        n, t = own.counts().astype(np.uint64), own.counts(chosen).astype(np.uint64)
+        part = ((own.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        found = np.unique(part)
+        edges = [*np.searchsorted(part, found), len(part)]
+        cuts = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        steps = [np.diff(own.keys[c], prepend=np.uint64(0)) for c in cuts]
+        columns = [[docs.column("block")[0].as_py()] * len(cuts), found, *[[_pack(x) for x in y] for y in (steps, [n[c] for c in cuts], [t[c] for c in cuts])]]
+        release()
+        return pa.table({k: pa.array(c, v) for k, c, v in zip(("block", "range", "keys", "n", "t"), columns, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)})
+
+    def answers(asked: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpack(k.as_py()), dtype=np.uint64) for k in asked.column("keys")]
+        edges = np.cumsum([0, *map(len, keys)])
+        different, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = [np.zeros(len(different), np.int64) for _ in range(2)]
+        for total, name in zip(sums, ("n", "t"), strict=True):
+            for k, x in enumerate(asked.column(name)):
+                total[at[edges[k] : edges[k + 1]]] += _unpack(x.as_py()).astype(np.int64)  # a block has a key once
+        words = (different & np.uint64(1)).astype(bool)
+        once = [int(sums[0][words].sum()), int(sums[1][words].sum()), int((sums[0][words] > 0).sum())]
+        rest = [0] * (asked.num_rows - 1)
+        made = [pa.array([_pack(total[at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary()) for total in sums]
+        release()
+        return pa.table([asked.column("block"), asked.column("range"), *made, *[pa.array([x, *rest], pa.int64()) for x in once]], ["block", "range", "background", "target", "n_words", "n_target", "n_distinct"])
+
+    asked = docs.select(F.col(block).alias("block"), F.col(text).alias("text"), F.col(target).alias("target")).groupBy("block").applyInArrow(requests, ask)
+    return asked.groupBy("range").applyInArrow(answers, "block long, range int, background binary, target binary, n_words long, n_target long, n_distinct long")
+
+
+def score(docs: DataFrame, models: DataFrame, text: str = "text", block: str = "block") -> DataFrame:
+    """``docs`` without ``block``, with n_words (long), target_loss, background_loss and score (double; background minus
+    target loss). ``models``: what ``counts`` made of the same texts in the same blocks, as a written table.
 
     Losses are means over the words of the whole text; a text without words (null, empty) has losses and score 0.
-    Rows are independent; other columns pass through, those named like an output are replaced.
+    Other columns pass through, those named like an output are replaced.
     """
-    small = {k: {n: x.astype(np.float32) for n, x in m.items()} | {"total": float(m["words"].sum())} for k, m in models.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(small)  # fixed size, see VOCABULARY and PAIRS
-
-    def make():
-        known, both = _Ids(), shared.value
-
-        def one(x: str | None) -> tuple[int, float, float, float]:
-            ids = word_ids(x, known)
-            n = len(ids) - 1
-            if not n:
-                return 0, 0.0, 0.0, 0.0
-            pairs, t, b = pair_ids(ids), 0.0, 0.0
-            for at in range(0, n, WORDS_AT_ONCE):
-                part = ids[at : at + WORDS_AT_ONCE + 1]
-                t += float(_loss(both["target"], part, pairs[at : at + WORDS_AT_ONCE]).sum())
-                b += float(_loss(both["background"], part, pairs[at : at + WORDS_AT_ONCE]).sum())
-            return n, t / n, b / n, (b - t) / n
-
-        return lambda texts: tuple(zip(*map(one, texts), strict=True)) or ([], [], [], [])
-
+    sums = models.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_distinct")]).first()
+    totals, vocabulary = {"background": sums[0], "target": sums[1]}, max(VOCABULARY, sums[2])
     out = [T.StructField("n_words", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score")]]
-    return map_text(docs, make, text, out)
+    kept = [c for c in docs.columns if c != block and c not in {f.name for f in out}]
+    known = _Ids()
+
+    def losses(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        own, answers = _Block(docs.column("__text").to_pylist(), known), answers.sort_by("range")
+        owner, means = np.repeat(np.arange(len(own.sizes)), own.sizes), []
+        for name in ("target", "background"):
+            n = np.concatenate([_unpack(x.as_py()).astype(np.int64) for x in answers.column(name)])
+            word = (n[own.word] + WORD_PRIOR / vocabulary) / (totals[name] + WORD_PRIOR)
+            loss = -np.log((n[own.pair] + PAIR_PRIOR * word) / (n[own.context] + PAIR_PRIOR))
+            means.append(np.bincount(owner, loss, len(own.sizes)) / np.maximum(own.sizes, 1))
+        release()
+        made = [own.sizes, *means, means[1] - means[0]]
+        return pa.table([*[docs.column(c) for c in kept], *[pa.array(x, ARROW[f.dataType.simpleString()]) for x, f in zip(made, out, strict=True)]], [*kept, *[f.name for f in out]])
+
+    schema = T.StructType([*[docs.schema[c] for c in kept], *out])
+    read = docs.select(F.col(f"`{block}`").alias("__block"), F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    return read.groupBy("__block").cogroup(models.select("block", "range", "background", "target").groupBy("block")).applyInArrow(losses, schema)
 
 
 def score_by_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Scores with the documents that any label row marks 1 as the target. Null ids are never the target."""
     good = labels.filter(F.col(label) == 1).select(F.col(doc_id).alias("__good")).distinct()
-    marked = docs.join(sized_broadcast(good), F.col(doc_id) == F.col("__good"), "left").select(F.col(text).alias("text"), F.col("__good").isNotNull().alias("target"))
-    return score(docs, counts(marked), text)
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    block = F.pmod(F.xxhash64(doc_id, text), F.lit(chars // BLOCK_CHARS + 1))
+    marked = docs.join(sized_broadcast(good), F.col(doc_id) == F.col("__good"), "left").select(block.alias("block"), F.col(text).alias("text"), F.col("__good").isNotNull().alias("target"))
+    models = materialize(counts(marked, chars // RANGE_CHARS + 1), "models")
+    return score(docs.withColumn("__deal", block), models, text, "__deal")

@@ -360,6 +360,32 @@ def test_scores(spark, awkward, empty):
     assert lm_scoring.score_by_quality(empty, labels).count() == 0
 
 
+def test_scores_count_every_ngram_apart(spark, monkeypatch):
+    """More different words and pairs than fixed counters keep apart, over several blocks and parts of the hash range."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 20_000, raising=False)
+    monkeypatch.setattr(lm_scoring, "RANGE_CHARS", 50_000, raising=False)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 100)
+    rng = np.random.default_rng(4)
+    rows = [(i, [f"w{x}" for x in rng.integers(0, 30_000, 900)]) for i in range(40)] + [(40, [])]
+    words, contexts, pairs = ({m: Counter() for m in (0, 1)} for _ in range(3))
+    for i, t in rows:
+        for m in {0, i % 2}:
+            words[m].update(t)
+            contexts[m].update(["", *t][: len(t)])
+            pairs[m].update(zip(["", *t], t, strict=False))
+
+    def loss(m, t):
+        word = {b: (words[m][b] + 1 / len(words[0])) / (sum(words[m].values()) + 1) for b in t}
+        return sum(-np.log((pairs[m][a, b] + 2 * word[b]) / (contexts[m][a] + 2)) for a, b in zip(["", *t], t, strict=False)) / max(1, len(t))
+
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_scoring.score_by_quality(df, labels).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i].n_words == len(t) and abs(got[i].target_loss - loss(1, t)) < 1e-9 and abs(got[i].background_loss - loss(0, t)) < 1e-9
+
+
 # Fingerprints
 
 
