@@ -3,17 +3,21 @@
 Words (at most WORD characters each, so that text without spaces has some too) are hashed; of each run of K words,
 the S-word runs inside it are compared, and the K-run is an anchor if the smallest of them is its first or its last.
 That depends on nothing outside the K words, so equal passages have equal anchors wherever they stand. A fingerprint
-has the MOST anchors with the smallest hashes and their word positions.
+has all anchors of its text, about half as many as the text has words, and their word positions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID
 
-K, S, WORD, MOST = 5, 2, 16, 64
+K, S, WORD = 5, 2, 16
+#: Anchors of a fingerprint are not bounded.
+MOST = None
 #: Shared anchors count if their positions differ by at most so many words, or by SLOPE of the larger position.
 SLACK, SLOPE = 32, 0.2
 #: Rows of a range of documents in which neighbours are found, and the most ranges there are.
@@ -40,8 +44,7 @@ def add_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     places = F.filter(F.sequence(F.lit(0), F.size("__h") - K), anchored)
     anchors = F.transform(places, lambda i: F.struct(F.xxhash64(*[at(i, o) for o in range(inner)]).alias("h"), i.alias("p")))
     step = step.withColumn("__a", F.when(F.size("__h") >= K, F.sort_array(anchors)).otherwise(short))
-    firsts = F.filter("__a", lambda x, i: (i == 0) | (x["h"] != F.get(F.col("__a"), i - 1)["h"]))
-    step = step.withColumn("__a", F.slice(firsts, 1, MOST))
+    step = step.withColumn("__a", F.filter("__a", lambda x, i: (i == 0) | (x["h"] != F.get(F.col("__a"), i - 1)["h"])))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
     return step.select(*kept, F.struct(F.col("__a.h").alias("hashes"), F.col("__a.p").alias("places")).alias(out))
 
@@ -49,29 +52,30 @@ def add_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
 def as_string(fingerprint: str) -> Column:
     """hash:place of each anchor in order of the hashes, comma-joined, in hexadecimal."""
     h, p = F.col(f"{fingerprint}.hashes"), F.col(f"{fingerprint}.places")
-    return F.array_join(F.zip_with(h, p, lambda a, b: F.concat_ws(":", F.lower(F.hex(a)), F.lower(F.hex(b)))), ",")
+    return F.lower(F.array_join(F.zip_with(h, p, lambda a, b: F.concat_ws(":", F.hex(a), F.hex(b))), ","))
 
 
 def likeness(a: str, b: str) -> Column:
     """Share of anchors in common, 0 to 1, at matching places; 1 for two empty fingerprints, 0 for one.
 
-    Of the MOST smallest hashes that either has, the share J that both have estimates intersection to union of all
-    anchors; 2 J / (1 + J) is then intersection to mean size.
+    With J the share of the anchors of either that both have, 2 J / (1 + J) is intersection to mean size.
     """
     ha, hb, pa, pb = (F.col(f"{x}.{y}") for y in ("hashes", "places") for x in (a, b))
+    pairs = lambda h, p: F.zip_with(h, p, lambda x, y: F.struct(x.alias("h"), y.alias("p")))
+
+    def compared(merged: Column) -> Column:
+        # A fingerprint has a hash once: neighbours with equal hashes are one of each.
+        def common(x: Column, i: Column) -> Column:
+            return (i > 0) & (x["h"] == F.get(merged, i - 1)["h"])
 
-    def compared(union: Column) -> Column:
-        def shared(h: Column, i: Column) -> Column:
-            other = F.array_position(hb, h).cast("int")
-            p, q = F.get(pa, i), F.get(pb, other - 1)
-            near = F.abs(p - q) <= F.greatest(F.lit(SLACK).cast("double"), F.greatest(p, q) * SLOPE)
-            return (h <= F.element_at(union, -1)) & (other > 0) & near
+        def near(x: Column, i: Column) -> Column:
+            p, q = F.get(merged, i - 1)["p"], x["p"]  # p <= q
+            return common(x, i) & (q - p <= F.greatest(F.lit(SLACK).cast("double"), q * SLOPE))
 
-        return F.size(F.filter(F.transform(ha, shared), lambda x: x)) / F.size(union)
+        return F.size(F.filter(merged, near)) / (F.size(merged) - F.size(F.filter(merged, common)))
 
-    # The union is bound to a name by transform: written out inside it would be sorted again for each anchor.
-    both = F.slice(F.sort_array(F.array_union(ha, hb)), 1, MOST)
-    j = F.element_at(F.transform(F.array(both), compared), 1)
+    # The merged array is bound to a name by transform: written out inside it would be sorted again for each anchor.
+    j = F.element_at(F.transform(F.array(F.sort_array(F.concat(pairs(ha, pa), pairs(hb, pb)))), compared), 1)
     return F.when((F.size(ha) == 0) & (F.size(hb) == 0), F.lit(1.0)).when((F.size(ha) == 0) | (F.size(hb) == 0), F.lit(0.0)).otherwise(2 * j / (1 + j))
 
 
@@ -98,11 +102,12 @@ def _ranges(docs: DataFrame) -> tuple[Column, int]:
     return F.when(F.col("doc_id").isNull(), nulls - ranges - 1).otherwise(place).cast("long"), ranges
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], make: Callable[[DataFrame], DataFrame] = lambda docs: docs) -> DataFrame:
     """``docs`` (with doc_id and text) and next_<column>: the columns of the next row by doc_id; after the last, the first.
 
     A null doc_id comes before all others; rows that share a doc_id go by the hash of their text. Each range of ids
-    gets a copy of the row that begins the next one, so one shuffle of the rows finds all neighbours.
+    gets a copy of the row that begins the next one, so one shuffle of the rows finds all neighbours. ``make`` adds
+    columns after that shuffle, so that they need not be part of it.
     """
     docs = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     place, _ = _ranges(docs)
@@ -115,5 +120,6 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     copied = marked.withColumn("__copy", F.explode(F.when(F.col("__before").isNull(), F.array(F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra")))).otherwise(
         F.array(F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra")), F.struct(F.col("__before").alias("range"), F.lit(1).alias("extra"))))))
     copied = copied.withColumn("__range", F.col("__copy.range")).withColumn("__extra", F.col("__copy.extra"))
+    copied = make(copied.repartition("__range"))
     order = Window.partitionBy("__range").orderBy("__extra", "__id", "__hash")
     return copied.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter("__extra = 0").drop("__id", "__hash", "__range", "__before", "__copy", "__extra")

@@ -74,8 +74,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = fingerprints.add_fingerprint(docs, "text", "own")
-    docs = fingerprints.with_next(docs, ["text", "own"])
+    docs = fingerprints.with_next(docs, ["text", "own"], lambda rows: fingerprints.add_fingerprint(rows, "text", "own"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
     docs = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))

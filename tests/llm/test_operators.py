@@ -434,6 +434,25 @@ def test_fingerprints_query(spark, docs):
     assert np.mean([r.near_edited for r in long]) > 0.35 > 0.2 > np.mean([r.near_next for r in long])
 
 
+def test_fingerprints_keep_all_anchors(spark):
+    """A passage inside a long text keeps all its anchors, and likeness counts all anchors of both texts."""
+    word = lambda i: f"w{i * 7919 % 100_003}"
+    long, passage = [word(i) for i in range(20_000)], [word(i) for i in range(5000, 5300)]
+    texts = [long, [*long[:9000], *map(word, range(30_000, 31_000)), *long[10_000:]], passage, long[4990:5400]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = fingerprints.add_fingerprint(df, "text", "own")
+    made = made.crossJoin(made.select(F.col("doc_id").alias("other"), F.col("own").alias("other_own")))
+    got = {(r.doc_id, r.other): r for r in made.select("*", fingerprints.likeness("own", "other_own").alias("like")).collect()}
+    sets = [dict(zip(got[i, 0].own.hashes, got[i, 0].own.places, strict=True)) for i in range(4)]
+    assert len(sets[0]) > 8000 and set(sets[2]) <= set(sets[0]) and len(sets[2]) > 100
+    for (i, k), r in got.items():
+        a, b = sets[i], sets[k]
+        near = sum(abs(a[h] - b[h]) <= max(32, 0.2 * max(a[h], b[h])) for h in set(a) & set(b))
+        j = near / len(set(a) | set(b))
+        assert abs(r.like - 2 * j / (1 + j)) < 1e-12
+    assert 0.94 < got[0, 1].like < 0.96 and got[2, 3].like > 0.8
+
+
 def test_neighbours_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     ids = [*range(0, 300, 3), *range(10_000, 10_050), None, -5, 10**12]
