@@ -4,7 +4,7 @@ A word's embedding is the sum of two rows, for its hash and for that of its firs
 one. Filters of several widths run over the whole text; the maximum of each filter over all positions feeds a logistic
 layer. Scoring folds the embeddings into the filters beforehand, so a
 text costs one table row a word and filter offset. Thresholds for the accept/reject decision are calibrated by
-language on labelled rows that training did not see; the score itself knows only the text.
+language on all labelled rows that training did not see, counted by score in Spark; the score itself knows only the text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, sized_broadcast
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
 #: Letters of a word's beginning, and its buckets.
@@ -26,10 +26,12 @@ STEM, STEMS = 4, 1 << 13
 PAD = max(WIDTHS)
 #: Labelled rows that a model is fitted on, at most, for each label: those with the smallest hash of their doc_id.
 MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
-#: Share of these, by the same hash, that training leaves out and thresholds are calibrated on.
+#: Share of these, by the same hash, that training leaves out. Thresholds are calibrated on all rows it didn't use.
 CALIBRATION = 0.2
-#: Positive calibration rows needed for a threshold other than 0.5, and by a language for one of its own.
-LEAST_POSITIVE = 15
+#: Positive rows that the common threshold weighs beside a language's own, and that 0.5 weighs beside the common one.
+PRIOR = 15.0
+#: Width in log odds of the bins that scores are counted in for that, and the least score (and distance from 1) there.
+BIN, LEAST_SCORE = 0.05, 1e-9
 CHUNK = 1 << 15
 
 _words = re.compile(r"\w+").findall
@@ -167,18 +169,54 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the highest F1, between two scores (halfway in log odds); 0.5 if there is no positive row."""
-    if not (labels == 1).any():
-        return 0.5
-    order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(labels[order] == 1)
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + hits[-1])
-    f1[:-1][s[:-1] == s[1:]] = -1
-    at = int(f1.argmax())
-    odds = np.log(np.clip(s, 1e-9, 1 - 1e-9) / (1 - np.clip(s, 1e-9, 1 - 1e-9)))
-    cut = odds[at] - 0.5 if at + 1 == len(s) else (odds[at] + odds[at + 1]) / 2
-    return float(1 / (1 + np.exp(-cut)))
+def best_cut(bins: np.ndarray, positive: np.ndarray, rows: np.ndarray) -> float:
+    """The log odds with the highest F1 as a cut, halfway between two bins; 0 if there is no positive row."""
+    if not positive.sum():
+        return 0.0
+    order = np.argsort(-bins)
+    bins, hits = bins[order], np.cumsum(positive[order])
+    at = int((2 * hits / (np.cumsum(rows[order]) + hits[-1])).argmax())
+    return float(BIN * ((bins[at] + bins[at + 1] + 1) / 2 if at + 1 < len(bins) else bins[at] + 0.5) - (0.5 if at + 1 == len(bins) else 0))
+
+
+def score_counts(rows: DataFrame, model: Model) -> list[tuple[str | None, int, int, int]]:
+    """Language, bin of the score, positive rows and rows of each bin of each language, of _id, _label, _text, _lang.
+    Of rows with the same _id the one with the highest score counts."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        buckets, tables = _Buckets(), shared.value.tables()
+        return lambda texts: [shared.value.score([hashed(x, buckets) for x in texts], tables).astype(float)]
+
+    scored = map_text(rows, make, "_text", [T.StructField("_score", T.DoubleType())])
+    once = scored.groupBy("_id").agg(F.max(F.struct("_score", "_lang", "_label")).alias("r")).select("r.*")
+    score = F.greatest(F.least("_score", F.lit(1 - LEAST_SCORE)), F.lit(LEAST_SCORE))
+    odds = F.log(score / (1 - score))
+    return [tuple(r) for r in once.groupBy("_lang", F.floor(odds / BIN).cast("int").alias("bin")).agg(F.sum("_label"), F.count("*")).collect()]
+
+
+def calibrate(model: Model, counts: list[tuple[str | None, int, int, int]]) -> None:
+    """Moves the score so that 0.5 is the cut for all languages together, and sets the threshold of each language.
+
+    A language's cut is the best one for its own rows with a share of the rows of all languages, of PRIOR positive rows,
+    and is drawn to the common cut as by PRIOR positive rows; so is the common cut to 0.5.
+    """
+    found = sorted({b for _, b, _, _ in counts})
+    place, bins = {b: k for k, b in enumerate(found)}, np.array(found)
+    own: dict[str | None, np.ndarray] = {}
+    for name, b, positive, rows in counts:
+        own.setdefault(name, np.zeros((2, len(bins))))[:, place[b]] += positive, rows
+    pooled = sum(own.values(), np.zeros((2, len(bins))))
+    total = pooled[0].sum()
+    if not total:
+        return
+    common = best_cut(bins, *pooled) * total / (total + PRIOR)
+    model.out_bias -= common
+    for name, mine in own.items():
+        # Own positive rows move the threshold away from the common cut as far as they outweigh PRIOR.
+        best, n = best_cut(bins, *(mine + pooled * (PRIOR / total))), mine[0].sum()
+        cut = (n * best + PRIOR * common) / (n + PRIOR) - common
+        model.thresholds[name] = float(1 / (1 + np.exp(-cut)))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -190,7 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on labelled rows outside ``held_out``, at most MOST_POSITIVE and MOST_NEGATIVE of them, whole texts.
 
     Labels that are null or not 0 or 1 are left out; of repeated labels the largest counts, of repeated documents
-    one. Without rows of both labels the score is a constant: the only label, or 0.
+    one. Without rows of both labels the score is a constant: the only label, or 0. All other labelled rows outside
+    ``held_out`` calibrate the thresholds.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id))
@@ -205,21 +244,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return lambda texts: [[hashed(x, buckets) for x in texts]]
 
     languages = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), languages.alias("_lang")).join(F.broadcast(chosen), "_id")
+    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), languages.alias("_lang"))
+    rows = texts.join(F.broadcast(chosen), "_id")
     found = map_text(rows, make, "_text", [T.StructField("_ids", T.ArrayType(T.IntegerType()))]).drop("_text").toArrow()
     best = {i: (y, order, lang_, ids) for i, y, order, lang_, ids in zip(*(found.column(c).to_pylist() for c in ("_id", "_label", "_order", "_lang", "_ids")), strict=True)}
     ranked = sorted(best.values(), key=lambda r: (r[1], r[0]))
     cut = int(len(ranked) * CALIBRATION)
-    ids, y = [np.array(r[3], np.int64) for r in ranked], np.array([r[0] for r in ranked])
-    model = train(ids[cut:], y[cut:])
-    if model.constant is None and (y[:cut] == 1).sum() >= LEAST_POSITIVE:
-        whole = best_threshold(model.score(ids[:cut]), y[:cut])
-        model.out_bias -= float(np.log(whole / (1 - whole)))  # the score 0.5 is the cut for all languages together
-        scores = model.score(ids[:cut])
-        for name in {r[2] for r in ranked[:cut]}:
-            mine = np.array([r[2] == name for r in ranked[:cut]])
-            if (y[:cut][mine] == 1).sum() >= LEAST_POSITIVE:
-                model.thresholds[name] = best_threshold(scores[mine], y[:cut][mine])
+    model = train([np.array(r[3], np.int64) for r in ranked[cut:]], np.array([r[0] for r in ranked[cut:]]))
+    if model.constant is None:
+        seen = {r[1] for r in ranked[cut:]}
+        trained = docs.sparkSession.createDataFrame([(i,) for i, r in best.items() if r[1] in seen], "_id long")
+        rest = known.join(F.broadcast(trained), "_id", "left_anti").select("_id", "_label")
+        calibrate(model, score_counts(texts.join(sized_broadcast(rest), "_id"), model))
     return model
 
 

@@ -225,6 +225,38 @@ def test_toxicity_awkward(spark, awkward, empty):
     assert toxicity.classify(empty, model).count() == 0
 
 
+def test_toxicity_thresholds_use_all_other_labels(spark, monkeypatch):
+    """Each language is calibrated on all labelled rows that training and the held-out fold leave, however few train."""
+    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 30)
+    monkeypatch.setattr(toxicity, "MOST_NEGATIVE", 60)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        words = [f"w{x}" for x in rng.integers(0, 200, 20)] + ["awful"] * toxic
+        rows.append((i, " ".join(words), "es" if i % 7 == 0 else "en", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3)
+    seen, counted = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, counts: (seen.extend(counts), counted(model, counts)), raising=False)
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert set(model.thresholds) == {"en", "es"}
+    free = [(r.lang, r.toxic) for r in df.filter(~toxicity.held_out()).collect()]
+    assert sum(n for *_, n in seen) == len(free) - (90 - 18)
+    assert sum(p for _, _, p, _ in seen) > 80 and 5 < sum(p for name, _, p, _ in seen if name == "es") < 25
+    out = toxicity.classify(df.filter(toxicity.held_out()), model).collect()
+    assert sum(r.rejected == (r.toxic == 1) for r in out) > 0.95 * len(out)
+
+
+def test_toxicity_cuts():
+    bins, model = np.array([-40, 0, 40, 80]), toxicity.train([np.array([1]), np.array([2])] * 4, np.array([0, 1] * 4), steps=1)
+    assert toxicity.best_cut(bins, np.array([0, 0, 50, 50]), np.array([900, 50, 60, 50])) == pytest.approx(20.5 * toxicity.BIN)
+    bias = model.out_bias
+    toxicity.calibrate(model, [("en", -40, 0, 90_000), ("en", 80, 9000, 9000), ("es", 0, 0, 9000), ("es", 40, 900, 900), ("de", -40, 0, 9), (None, -40, 0, 5), (None, 40, 1, 1)])
+    odds = {k: np.log(v / (1 - v)) + bias - model.out_bias for k, v in model.thresholds.items()}
+    assert odds["es"] == pytest.approx(20.5 * toxicity.BIN, abs=0.1) and set(odds) == {"en", "es", "de", None}
+    assert model.thresholds["de"] == pytest.approx(0.5) and abs(odds[None] - (bias - model.out_bias)) < 0.2
+
+
 # Personal data
 
 
