@@ -99,3 +99,14 @@ def test_status(spark):
     cases = [("txt", 1, "a", "ok"), ("txt", 1, " \n", "empty"), ("pdf", 1, None, "unreadable"), ("png", 1, None, "name_only"), ("txt", names.MOST_BYTES + 1, None, "too_large"), ("txt", names.MOST_BYTES, "a", "ok")]
     df = spark.createDataFrame([x[:3] for x in cases], "e string, s long, t string")
     assert [r.x for r in df.select(c.alias("x")).collect()] == [x[3] for x in cases]
+
+
+def test_pdf_strings():
+    from folioscan.sources.pdf import _content_text
+
+    assert _content_text(rb"BT (a (b) c) Tj ET", {}) == "a (b) c\n"
+    assert _content_text(rb"(a \( b (c\\) \)) Tj (d) Tj", {}) == "a ( b (c\\) )d"
+    assert _content_text(rb"(a) Tj ( (b) Tj [(c) -300 (d)] TJ", {}) == "abc d"
+    parts = [f"w{i}" for i in range(5000)]
+    assert _content_text(b"[" + b" ".join(b"(%s ) -20" % p.encode() for p in parts) + b"] TJ", {}).split() == parts
+    assert _content_text(b"(" * 200_000 + b"(a) Tj", {}) == "a"
