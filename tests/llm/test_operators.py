@@ -298,6 +298,13 @@ def test_pii_cases(spark):
     assert near == {0: [0.9], 1: [0.7]}
 
 
+def test_iban_before_an_upper_case_word(spark):
+    texts = {"ES91 2100 0418 4502 0005 1332 BIC CAIXESBB": 29, "BE68 5390 0754 7034 BANK": 19, "BE68539007547034 BANK": 16, "BE68 5390 0754 7034": 19, "DE89 3704 0044 0532 0130 00 AB": 27, "BE68 5390 0754 7035 BANK": None, "BE68 5390 0754 7034X": None}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: [(s.start, s.end) for s in r.pii if s.kind == "iban"] for r in pii.find_personal_data(df).collect()}
+    assert got == {t: [(0, n)] if n else [] for t, n in texts.items()}
+
+
 def test_pii_awkward(awkward, empty):
     rows = pii.find_personal_data(awkward, out="score").collect()
     assert Counter((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.score)) for r in rows) == Counter((r[0], ",".join(base_spans(r[1]))) for r in AWKWARD)
