@@ -1,21 +1,25 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-All n-grams have one global order, frequent ones last. Cutting that order into fragments cuts every document's set
-into pieces, and the intersection of two sets is the sum of the intersections of their pieces:
+The global order of n-grams is that of their hashes. Cutting it into fragments cuts every document's set into pieces,
+and the intersection of two sets is the sum of the intersections of their pieces:
 
 1. Counting. Each fragment counts by how many sets its n-grams are held, and how many n-grams of each piece are held
    by another set too. Summed over the fragments that bounds every intersection: a set with fewer than the threshold
-   of its n-grams shared at all links with nothing. Only the others go on.
-2. Candidates. Two sets that are similar enough share an n-gram among the first of either in the order (the prefix).
-   Prefixes go to the fragments again; sets that share an n-gram there form a bucket. Each bucket proposes pairs with
-   one leader only (a star).
+   of its n-grams shared at all links with nothing. Only the others, the open sets, go on; they are written once.
+2. Candidates. Fragments count again among the open sets. Two sets that are similar enough share an n-gram among the
+   rarest of either (the prefix); open sets that share one there form a bucket. Each bucket has a leader, the set whose
+   n-grams are held most often, and proposes pairs with its leader only (a star): near copies of a text mostly link
+   with the text itself.
 3. Verification. Sets of proposed pairs are cut at fragment borders, each fragment counts partial overlaps, and the
    sums per pair are compared with the threshold.
-4. Components of the links found so far. Buckets whose sets are now in one component are done. The others propose
-   all pairs across their components, which are verified in the same way; after that no link can be missing.
-
-Equal sets are one node throughout, so exact copies cost one lookup each. A bucket that many sets share is cut into
-blocks, and each pair of blocks is a bucket.
+4. Components of the links found so far. Buckets with one leader are a group. Groups whose sets are now in one component
+   are done. In the others, pairs across components go on to verification unless the counts of step 2 prove them apart:
+   two sets have at most the smaller number of shared n-grams of either in common, in each range of the order. After
+   that no link can be missing.
+
+Equal sets are one node throughout, so exact copies cost one lookup each. N-grams that many sets of a task hold are
+counted there and sent once. A bucket that many sets share is cut into blocks, a large group into parts, and each pair
+of blocks or parts is a task's work.
 """
 
 from __future__ import annotations
@@ -36,16 +40,21 @@ from .components import components
 #: Contract values: words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: Shingles that a Python worker holds before it passes them on, and entries of a fragment.
-CHUNK, FRAGMENT = 1_000_000, 2_000_000
-#: N-grams that FREQUENT sets hold are last in the order, most frequent last: the MOST_FREQUENT most frequent of them
-#: (this decides cost, not results).
+CHUNK, FRAGMENT = 1_000_000, 4_000_000
+#: Sets of a chunk that hold an n-gram, from which on they are counted there.
+LOCAL = 16
+#: N-grams that FREQUENT sets hold are last in a set's prefix order, most frequent last: the MOST_FREQUENT most frequent of
+#: them (this decides cost, not results).
 FREQUENT, MOST_FREQUENT = 8, 1 << 18
-#: Pieces of a set in verification, sets of a block, pairs of a verification bin.
-PIECES, BLOCK, BIN = 4, 50_000, 4096
-#: Ranges of the hashes in which a set's n-grams are counted, to bound intersections before pairs are made.
+#: Parts of the order that sets are cut into in verification; sets of a block, pairs of a bin, members of a group's part.
+PIECES, BLOCK, BIN, GROUP = 4, 50_000, 4096, 4096
+#: Ranges of the order in which a set's shared n-grams are counted (a power of two), to bound intersections.
 RANGES = 64
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
+#: What an entry of a bucket fragment is: in the longer prefix, in the shorter one, an n-gram to count, a mark that several sets hold it.
+_IN, _INNER, _COUNTS, _HELD = 1, 2, 4, 8
 
 
 class _WordHashes(dict):
@@ -85,6 +94,16 @@ def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
 
 
+def _least_common(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """The intersection that sets of these sizes need."""
+    return -(-percent * (x.astype(np.int64) + y) // (100 + percent))
+
+
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    made = zip(*rows, strict=True) if rows else [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, columns.values(), strict=True)], names=list(columns))
+
+
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
     known = _WordHashes()
     for batch in batches:
@@ -96,12 +115,12 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int,
     release()
 
 
-def _chunks(sets: Iterable[tuple[int, np.ndarray]]) -> Iterator[dict[int, np.ndarray]]:
-    """Distinct sets by set_id, CHUNK shingles at a time."""
+def _chunks(sets: Iterable[tuple]) -> Iterator[dict[int, tuple]]:
+    """Distinct sets by node, CHUNK shingles at a time, of (node, hashes, ...)."""
     held, size = {}, 0
-    for _, s in sets:
+    for node, s, *more in sets:
         if len(s):
-            held[set_id(s)] = s
+            held[node] = (s, *more)
             size += len(s)
             if size >= CHUNK:
                 yield held
@@ -110,185 +129,272 @@ def _chunks(sets: Iterable[tuple[int, np.ndarray]]) -> Iterator[dict[int, np.nda
         yield held
 
 
-def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+def _fragment(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _key(hashes: np.ndarray, fragments: int) -> np.ndarray:
+def _key(hashes: np.ndarray, bits: int) -> np.ndarray:
     """What counting knows of an n-gram: its fragment and 32 bits. Others that fall together with it only make it look
     more shared than it is."""
-    return (_fragment(hashes, fragments).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+    return (_fragment(hashes, bits).astype(np.uint64) << np.uint64(32)) | (hashes & _LOW)
+
+
+def fragment_bits(entries: float) -> int:
+    """Fragments of about FRAGMENT entries, as a power of two of them."""
+    return max(3, math.ceil(math.log2(max(1.0, entries / FRAGMENT))))
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of each run."""
+    if len(sorted_values):
+        starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+        yield from zip(sorted_values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_values)], strict=True)
 
 
-def summaries(docs: DataFrame, words: int, fragments: int) -> DataFrame:
-    """Three kinds of rows. kind 0: a document (doc_id, its set ``node``, its size n). kind 1: in one fragment, n of the
-    n-grams of ``node`` are held by other sets too. kind 2: n sets hold the n-gram with the key ``node``."""
+def _locally_frequent(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each n-gram of a chunk is held there by LOCAL sets or more; these n-grams and their numbers of sets."""
+    ordered = np.sort(flat)
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    times = np.diff(np.r_[starts, len(ordered)])
+    often = times >= LOCAL
+    values = ordered[starts[often]]
+    at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
+    return (values[at] == flat) if len(values) else np.zeros(len(flat), bool), values, times[often]
+
+
+def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFrame:
+    """Three kinds of rows. kind 0: a document (doc_id, its set ``node``, its size n; local: how many of its n-grams its task
+    found to be shared). kind 1: in one fragment, n more of the n-grams of ``node`` are held by other sets too. For both
+    p is the sum of the logarithms of their numbers of sets, with ``chunks`` times as many as the task found in one chunk.
+    kind 2: n sets hold the n-gram with the key ``node``."""
+    columns = {"fragment": pa.int32(), **dict.fromkeys(("x", "y", "z", "m", "k"), pa.binary())}
+    fragments, least = 1 << bits, FREQUENT
 
     def emit(batches):
         rows: list[tuple] = []
 
         def passed():
             for i, s in _sets(batches, words):
-                rows.append((i, len(s), set_id(s)))
-                yield i, s
+                rows.append((i, len(s), node := set_id(s)))
+                yield node, s
 
-        def documents():
-            out = [np.array(c, np.int64).tobytes() for c in zip(*rows, strict=True)]
+        def documents(shared: dict[int, tuple[int, float]]):
+            ids, sizes, nodes = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+            local = np.array([shared.get(r[2], (0, 0.0)) for r in rows], np.float64)
             rows.clear()
+            out = [x.tobytes() for x in (ids, sizes, nodes, local[:, 0], local[:, 1])]
             return (-1 - xxhash.xxh3_64_intdigest(out[2]) % fragments, *out)
 
-        def batch(blocks):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["fragment", "x", "y", "z"])
-
         for held in _chunks(passed()):
             nodes = np.fromiter(held, np.int64, len(held))
-            flat = np.concatenate(list(held.values()))
-            owners = np.repeat(np.arange(len(nodes)), [len(s) for s in held.values()])
-            fragment = _fragment(flat, fragments)
+            flat = np.concatenate([s for s, in held.values()])
+            owners = np.repeat(np.arange(len(nodes)), [len(s) for s, in held.values()])
+            local, values, times = _locally_frequent(flat)
+            counted = np.bincount(owners[local], minlength=len(nodes))
+            weights = np.bincount(owners[local], np.log2(chunks * times[np.searchsorted(values, flat[local])]), len(nodes))
+            flat, owners = flat[~local], owners[~local]
+            fragment = _fragment(flat, bits)
             order = np.argsort(fragment * len(nodes) + owners, kind="stable")
-            flat, owners, fragment = (flat[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owners[order], fragment[order]
-            starts = np.searchsorted(fragment, np.arange(fragments + 1))
-            blocks = [documents()]
-            for f in range(fragments):
-                lo, hi = starts[f], starts[f + 1]
-                if lo < hi:
-                    who, counts = np.unique(owners[lo:hi], return_counts=True)
-                    blocks.append((f, flat[lo:hi].tobytes(), counts.astype(np.int32).tobytes(), nodes[who].tobytes()))
-            yield batch(blocks)
+            flat, owners, fragment = (flat[order] & _LOW).astype(np.uint32), owners[order], fragment[order]
+            marks = {f: (lo, hi) for f, lo, hi in _runs(_fragment(values, bits))}
+            made = [documents(dict(zip(nodes.tolist(), zip(counted.tolist(), weights.tolist(), strict=True), strict=True)))]
+            for f, lo, hi in _runs(fragment):
+                who, counts = np.unique(owners[lo:hi], return_counts=True)
+                a, b = marks.pop(f, (0, 0))
+                made.append((f, flat[lo:hi].tobytes(), counts.astype(np.int32).tobytes(), nodes[who].tobytes(), (values[a:b] & _LOW).astype(np.uint32).tobytes(), times[a:b].astype(np.int32).tobytes()))
+            made += [(f, b"", b"", b"", (values[a:b] & _LOW).astype(np.uint32).tobytes(), times[a:b].astype(np.int32).tobytes()) for f, (a, b) in marks.items()]
+            yield _batch(made, columns)
         if rows:
-            yield batch([documents()])
+            yield _batch([documents({})], columns)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         f = int(pdf["fragment"].iloc[0])
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
         if f < 0:
-            ids, n, nodes = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in "xyz")
-            return pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "node": nodes})
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["y"]])
-        nodes, owner = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["z"]]), return_inverse=True)
-        pairs = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["x"]]).astype(np.uint64) << np.uint64(32)
+            ids, n, nodes = (read(c, np.int64) for c in "xyz")
+            return pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "node": nodes, "local": read("m", np.float64).astype(np.int64), "p": read("k", np.float64)})
+        counts = read("y", np.int32)
+        nodes, owner = np.unique(read("z", np.int64), return_inverse=True)
+        pairs = read("x", np.uint32).astype(np.uint64) << np.uint64(32)
         pairs |= np.repeat(owner.astype(np.uint64), counts)
         pairs.sort()
         if len(pairs):
             pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]  # a set may come from several chunks
         grams = (pairs >> np.uint64(32)).astype(np.uint32)
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
-        held = np.diff(np.r_[starts, len(grams)])
-        shared = np.bincount((pairs[np.repeat(held > 1, held)] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
+        times = np.diff(np.r_[starts, len(grams)])
+        marked, mark = np.unique(read("m", np.uint32), return_inverse=True)
+        known = np.union1d(grams[starts], marked)
+        held = np.zeros(len(known), np.int64)
+        held[np.searchsorted(known, grams[starts])] = times
+        held[np.searchsorted(known, marked)] += np.bincount(mark, read("k", np.int32), len(marked)).astype(np.int64)
+        own = np.repeat(held[np.searchsorted(known, grams[starts])], times)
+        owner = (pairs & _LOW).astype(np.int64)
+        shared = np.bincount(owner[own > 1], minlength=len(nodes))
+        weight = np.bincount(owner, np.log2(own), len(nodes))
         often = np.flatnonzero(held >= least)
         often = often[np.argsort(-held[often], kind="stable")[:MOST_FREQUENT]]
-        keys = (np.uint64(f) << np.uint64(32) | grams[starts[often]].astype(np.uint64)).view(np.int64)
+        keys = (np.uint64(f) << np.uint64(32) | known[often].astype(np.uint64)).view(np.int64)
         some = np.flatnonzero(shared)
         return pd.concat(
-            [pd.DataFrame({"kind": 1, "doc_id": 0, "n": shared[some], "node": nodes[some]}), pd.DataFrame({"kind": 2, "doc_id": 0, "n": held[often], "node": keys})]
+            [
+                pd.DataFrame({"kind": 1, "doc_id": 0, "n": shared[some], "node": nodes[some], "local": 0, "p": weight[some]}),
+                pd.DataFrame({"kind": 2, "doc_id": 0, "n": held[often], "node": keys, "local": 0, "p": 0.0}),
+            ]
         )
 
-    least = FREQUENT
-    blocks = docs.mapInArrow(emit, "fragment int, x binary, y binary, z binary")
-    return blocks.groupBy("fragment").applyInPandas(count, "kind int, doc_id long, n long, node long")
+    blocks = docs.mapInArrow(emit, "fragment int, x binary, y binary, z binary, m binary, k binary")
+    return blocks.groupBy("fragment").applyInPandas(count, "kind int, doc_id long, n long, node long, local long, p double")
 
 
-def _order(frequent: tuple[np.ndarray, np.ndarray], s: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set in the global order, and for each n-gram how many sets hold it if that is frequent, else 0."""
+def _order(frequent: tuple[np.ndarray, np.ndarray], s: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the set's n-grams in the order of prefixes, and how many sets hold each if that is frequent, else 0."""
     values, counts = frequent
     if not len(values):
-        return s, np.zeros(len(s), np.int64)
-    keys = _key(s, fragments)
+        return np.arange(len(s)), np.zeros(len(s), np.int64)
+    keys = _key(s, bits)
     at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
     often = np.where(values[at] == keys, counts[at], 0)
     order = np.argsort(often, kind="stable")
-    return s[order], often[order]
+    return order, often[order]
 
 
-def set_pieces(docs: DataFrame, words: int) -> DataFrame:
-    """(node, n, piece, hashes, counts): each document's set, cut into PIECES ranges of the hashes; with the first
-    piece, how many n-grams are in each of RANGES ranges."""
-    borders = np.arange(1, PIECES, dtype=np.uint64) * np.uint64((1 << 64) // PIECES)
+def open_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, n, p, hashes) of each document (doc_id, text, p)."""
+    columns = {"node": pa.int64(), "n": pa.int64(), "p": pa.float64(), "hashes": pa.binary()}
 
-    def cut(batches):
-        rows: list[tuple] = []
-        for _, s in _sets(batches, words):
-            if len(s):
-                node = set_id(s)
-                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32).tobytes()
-                rows += [(node, len(s), i, x.tobytes(), None if i else counts) for i, x in enumerate(np.split(s, np.searchsorted(s, borders)))]
-            if len(rows) >= 1024:
-                yield _batch(rows)
+    def make(batches):
+        known = _WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows = []
-        if rows:
-            yield _batch(rows)
-
-    def _batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "piece", "hashes", "counts"])
-
-    return docs.mapInArrow(cut, "node long, n long, piece int, hashes binary, counts binary")
-
-
-def buckets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], fragments: int, entries: int) -> DataFrame:
-    """(mark, leader, size, nodes, sizes): distinct buckets of at least two sets. nodes and sizes are packed, the leader
-    first; a size is twice the number of n-grams, plus one if the bucket's n-gram is in the shorter prefix."""
-    ranges = max(16, entries // (FRAGMENT // 2) + 1)
-    shared, block = docs.sparkSession.sparkContext.broadcast(frequent), BLOCK  # MOST_FREQUENT rows at most
+                for x, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    s = shingles(x, words, known)
+                    rows.append((set_id(s), len(s), p, s.tobytes()))
+                yield _batch(rows, columns)
+        del known
+        release()
+
+    return docs.select("doc_id", "text", "p").mapInArrow(make, "node long, n long, p double, hashes binary")
+
+
+def buckets(sets: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray], counted_bits: int, bits: int) -> DataFrame:
+    """Two kinds of rows. kind 0: a bucket of at least two sets: mark (of equal buckets), its leader, size, nodes and
+    sizes, packed, the leader first; a size is twice the number of n-grams, plus one if the bucket's n-gram is in the
+    shorter prefix. kind 1: how many n-grams of the set ``leader`` other sets hold too, in the ranges from ``size`` on
+    (sizes, packed)."""
+    shared, block = sets.sparkSession.sparkContext.broadcast(frequent), BLOCK  # MOST_FREQUENT rows at most
+    columns = {"fragment": pa.int32(), **dict.fromkeys(("keys", "flags", "counts", "nodes", "sizes", "weights"), pa.binary())}
+    per = max(1, RANGES >> bits)  # ranges of a fragment
+    shift = np.uint64(64 - RANGES.bit_length() + 1)
+
+    def stored(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for node, p, h in zip(*(part.column(c).to_pylist() for c in ("node", "p", "hashes")), strict=True):
+                    yield node, np.frombuffer(h, np.uint64), p
 
     def emit(batches):
         often = shared.value
-        for held in _chunks(_sets(batches, words)):
-            keys, owners, marks, nodes, sizes = [], [], [], [], []
-            for node, s in held.items():
-                ordered, counts = _order(often, s, fragments)
+        for held in _chunks(stored(batches)):
+            nodes, lengths = np.fromiter(held, np.int64, len(held)), np.array([len(s) for s, _ in held.values()])
+            weights = np.array([p for _, p in held.values()], np.float32)
+            flat = np.concatenate([s for s, _ in held.values()])
+            owners = np.repeat(np.arange(len(nodes)), lengths)
+            local, values, _ = _locally_frequent(flat)
+            flags = np.where(local, 0, _COUNTS).astype(np.uint8)
+            extra: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            base = 0
+            for i, (s, _) in enumerate(held.values()):
+                order, counts = _order(often, s, counted_bits)
                 first, inner = prefix_sizes(len(s), percent)
-                mine, flags, blocks = ordered[:first], np.arange(first) < inner, -(-counts[:first] // block)
+                places, kinds, blocks = order[:first], np.where(np.arange(first) < inner, _IN | _INNER, _IN).astype(np.uint8), -(-counts[:first] // block)
                 if (many := blocks > 1).any():  # a copy for each pair of blocks with the node's own
-                    extra, more = [mine[~many]], [flags[~many]]
-                    for key, flag, b in zip(mine[many], flags[many], blocks[many], strict=True):
-                        own, every = np.uint64(node % int(b)), np.arange(int(b), dtype=np.uint64)
+                    for place, kind, b in zip(places[many], kinds[many], blocks[many], strict=True):
+                        own, every = np.uint64(int(nodes[i]) % int(b)), np.arange(int(b), dtype=np.uint64)
                         pair = np.minimum(own, every) * np.uint64(b) + np.maximum(own, every)
-                        extra.append((key ^ (pair + np.uint64(1)) * _M1) * _M2)
-                        more.append(np.full(int(b), flag))
-                    mine, flags = np.concatenate(extra), np.concatenate(more)
-                keys.append(mine)
-                marks.append(flags)
-                owners.append(np.full(len(mine), len(nodes), np.int64))
-                nodes.append(node)
-                sizes.append(len(s))
-            keys, owners, marks = np.concatenate(keys), np.concatenate(owners), np.concatenate(marks)
-            nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
-            place = _fragment(keys, ranges)
-            order = np.argsort(place, kind="stable")
-            starts = np.searchsorted(place[order], np.arange(ranges + 1))
+                        extra.append(((s[place] ^ (pair + np.uint64(1)) * _M1) * _M2, np.full(int(b), kind, np.uint8), np.full(int(b), i)))
+                    places, kinds = places[~many], kinds[~many]
+                flags[base + places] |= kinds
+                base += len(s)
+            if len(values):  # counted here: the places of each set in each range
+                spread = np.bincount(owners[local] * RANGES + (flat[local] >> shift).astype(np.int64), minlength=len(nodes) * RANGES).reshape(-1, RANGES)
+                some = np.flatnonzero(spread.any(1))
+                yield _batch([(-1 - int(nodes[i]) % 64, b"", b"", spread[i].astype(np.int32).tobytes(), nodes[i].tobytes(), b"", b"") for i in some], columns)
+            sent = flags > 0
+            keys = np.concatenate([flat[sent], values, *[e[0] for e in extra]])
+            kinds = np.concatenate([flags[sent], np.full(len(values), _HELD, np.uint8), *[e[1] for e in extra]])
+            who = np.concatenate([owners[sent], np.zeros(len(values), np.int64), *[e[2] for e in extra]])
+            fragment = _fragment(keys, bits)
+            order = np.argsort(fragment * len(nodes) + who, kind="stable")
+            keys, kinds, who, fragment = keys[order], kinds[order], who[order], fragment[order]
             rows = []
-            for f in range(ranges):
-                at = order[starts[f] : starts[f + 1]]
-                if len(at):
-                    rows.append((f, keys[at].tobytes(), nodes[owners[at]].tobytes(), (2 * sizes[owners[at]] + marks[at]).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["fragment", "keys", "nodes", "sizes"])
+            for f, lo, hi in _runs(fragment):
+                owner, counts = np.unique(who[lo:hi], return_counts=True)
+                rows.append((f, *[x.tobytes() for x in (keys[lo:hi], kinds[lo:hi], counts.astype(np.int32), nodes[owner], lengths[owner].astype(np.int32), weights[owner])]))
+            yield _batch(rows, columns)
+        release()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, nodes, sizes = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int32)))
-        order = np.lexsort((nodes, keys))
-        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-        new = np.ones(len(keys), bool)  # a set may come from several chunks
-        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-        keys, nodes, sizes = keys[new], nodes[new], sizes[new]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ends = np.r_[starts[1:], len(keys)]
+        f = int(pdf["fragment"].iloc[0])
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
+        if f < 0:
+            return pd.DataFrame({"kind": 1, "mark": 0, "leader": read("nodes", np.int64), "size": 0, "nodes": b"", "sizes": pdf["counts"].to_numpy()})
+        keys, flags, times = read("keys", np.uint64), read("flags", np.uint8), read("counts", np.int32)
+        nodes, sizes, weights = (np.repeat(read(c, kind), times) for c, kind in (("nodes", np.int64), ("sizes", np.int32), ("weights", np.float32)))
+        # How many n-grams of each set others hold too. Sets are distinct, so a set has an n-gram once.
+        counting = np.flatnonzero(flags & (_COUNTS | _HELD))
+        order = counting[np.argsort(keys[counting], kind="stable")]
+        some = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(order) else np.zeros(0, bool)
+        starts = np.flatnonzero(some)
+        held = np.add.reduceat(np.where(flags[order] & _HELD, 2, 1), starts) if len(starts) else starts
+        shared = order[np.repeat(held > 1, np.diff(np.r_[starts, len(order)])) & ((flags[order] & _COUNTS) > 0)]
+        owner, at = np.unique(nodes[shared], return_inverse=True)
+        lowest = f * per if per > 1 else f >> (bits - RANGES.bit_length() + 1)
+        spread = np.bincount(at * per + (keys[shared] >> shift).astype(np.int64) - lowest, minlength=len(owner) * per).reshape(-1, per).astype(np.int32)
+        counted = pd.DataFrame({"kind": 1, "mark": 0, "leader": owner, "size": lowest, "nodes": b"", "sizes": [x.tobytes() for x in spread]})
+        # Buckets
+        inside = np.flatnonzero(flags & _IN)
+        order = inside[np.lexsort((nodes[inside], -weights[inside], keys[inside]))]
+        keys, nodes, sizes = keys[order], nodes[order], 2 * sizes[order] + ((flags[order] & _INNER) > 0)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(keys)].astype(np.int64)[: len(starts)]
         mixed = (nodes.view(np.uint64) * np.uint64(2) + (sizes & 1).astype(np.uint64)) * _M1
         mixed ^= mixed >> np.uint64(31)
-        mark = np.add.reduceat(mixed * _M2, starts)
+        mark = np.add.reduceat(mixed * _M2, starts) if len(starts) else np.zeros(0, np.uint64)
         several = np.flatnonzero(ends - starts > 1)
         several = several[np.unique(mark[several], return_index=True)[1]]
-        return pd.DataFrame(
+        found = pd.DataFrame(
             {
+                "kind": 0,
                 "mark": mark[several].view(np.int64),
                 "leader": nodes[starts[several]],
                 "size": (ends - starts)[several],
                 "nodes": [nodes[starts[i] : ends[i]].tobytes() for i in several],
-                "sizes": [sizes[starts[i] : ends[i]].tobytes() for i in several],
+                "sizes": [sizes[starts[i] : ends[i]].astype(np.int32).tobytes() for i in several],
             }
         )
+        return pd.concat([found, counted])
+
+    blocks = sets.select("node", "p", "hashes").mapInArrow(emit, "fragment int, keys binary, flags binary, counts binary, nodes binary, sizes binary, weights binary")
+    return blocks.groupBy("fragment").applyInPandas(meet, "kind int, mark long, leader long, size long, nodes binary, sizes binary")
+
+
+def shared_by_range(found: DataFrame, bins: int) -> DataFrame:
+    """(node, shared, counts): n-grams of each set that others hold too, in all and by range (packed). From rows of kind 1."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, owner = np.unique(pdf["leader"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(nodes), RANGES), np.int32)
+        for i, at, x in zip(owner, pdf["size"], pdf["sizes"], strict=True):
+            part = np.frombuffer(x, np.int32)
+            sums[i, at : at + len(part)] += part
+        return pd.DataFrame({"node": nodes, "shared": sums.sum(1), "counts": [x.tobytes() for x in sums]})
 
-    blocks = docs.mapInArrow(emit, "fragment int, keys binary, nodes binary, sizes binary")
-    return blocks.groupBy("fragment").applyInPandas(meet, "mark long, leader long, size long, nodes binary, sizes binary")
+    rows = found.filter("kind = 1").select("leader", "size", "sizes", F.pmod(F.xxhash64("leader"), F.lit(bins)).alias("bin"))
+    return rows.groupBy("bin").applyInPandas(add, "node long, shared long, counts binary")
 
 
 def _fits(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -297,22 +403,50 @@ def _fits(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return ((small >> 1) * 100 >= (large >> 1) * percent) & (((small & 1) == 1) | ((small >> 1 == large >> 1) & ((large & 1) == 1)))
 
 
-def star_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): the leader of each bucket with each other set of a fitting size."""
+def members(found: DataFrame) -> DataFrame:
+    """(leader, node, n) of each member of the buckets, n as a marked size."""
 
-    def run(frames):
+    def spread(frames):
         for pdf in frames:
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000]
-                nodes = np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]])
-                sizes = np.concatenate([np.frombuffer(x, np.int32) for x in part["sizes"]])
-                counts = part["size"].to_numpy()
-                starts = np.cumsum(np.r_[0, counts[:-1]])
-                a, na = np.repeat(nodes[starts], counts), np.repeat(sizes[starts], counts)
-                keep = (a != nodes) & _fits(na, sizes, percent)
-                yield pd.DataFrame({"a": a[keep], "b": nodes[keep], "na": na[keep] >> 1, "nb": sizes[keep] >> 1}).drop_duplicates()
+                out = pd.DataFrame(
+                    {
+                        "leader": np.repeat(part["leader"].to_numpy(), part["size"].to_numpy()),
+                        "node": np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]]),
+                        "n": np.concatenate([np.frombuffer(x, np.int32) for x in part["sizes"]]),
+                    }
+                )
+                yield out.groupby(["leader", "node"], as_index=False, sort=False).max()
+
+    spread_ = found.filter("kind = 0").select("leader", "size", "nodes", "sizes").mapInPandas(spread, "leader long, node long, n int")
+    return spread_.groupBy("leader", "node").agg(F.max("n").alias("n"))
+
 
-    return found.select("size", "nodes", "sizes").mapInPandas(run, "a long, b long, na int, nb int")
+def star_pairs(grouped: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): the leader of each group with each other set of a fitting size."""
+    leaders = grouped.filter("leader = node").select("leader", F.col("n").alias("own"))
+    size = lambda c: F.shiftright(c, 1)
+    small, large = F.least(size("n"), size("own")), F.greatest(size("n"), size("own"))
+    pairs = grouped.filter("leader <> node").join(leaders, "leader").filter(small * 100 >= large * percent)
+    return pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), size("own").alias("na"), size("n").alias("nb"))
+
+
+def _pieces(sets: DataFrame) -> DataFrame:
+    """(node, piece, hashes): the sets cut at the borders of PIECES parts of the order."""
+    borders = np.arange(1, PIECES, dtype=np.uint64) * np.uint64((1 << 64) // PIECES)
+    columns = {"node": pa.int64(), "piece": pa.int32(), "hashes": pa.binary()}
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for node, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = np.frombuffer(h, np.uint64)
+                    rows += [(node, i, x.tobytes()) for i, x in enumerate(np.split(s, np.searchsorted(s, borders)))]
+                yield _batch(rows, columns)
+
+    return sets.select("node", "hashes").mapInArrow(cut, "node long, piece int, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -324,8 +458,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bins = max(12, math.ceil(total / BIN))
     binned = pairs.join(sized_broadcast(hot), "a", "left")  # total / BIN rows at most
     binned = materialize(binned.select("a", "b", "na", "nb", F.pmod(F.xxhash64("a", F.pmod("b", F.coalesce("parts", F.lit(1)))), F.lit(bins)).alias("bin")), "pairs")
-    places = binned.select(F.explode(F.array("a", "b")).alias("node"), F.col("bin").alias("place")).distinct()
-    dealt = sets.select("node", "piece", "hashes").join(places, "node").withColumnRenamed("place", "bin")
+    places = materialize(binned.select("a", "bin").unionByName(binned.select(F.col("b").alias("a"), "bin")).distinct().select(F.col("a").alias("node"), "bin"), "places")
+    wanted = sets.join(sized_broadcast(places.select("node").distinct()), "node", "left_semi")
+    dealt = _pieces(wanted).join(places, "node")
     spread = binned.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -351,32 +486,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.filter(F.col("shared") * 100 >= (F.col("na").cast("long") + F.col("nb") - F.col("shared")) * percent).select("a", "b")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in each open bucket. ``members``: (mark, node, n, root, counts), n as a marked size.
-
-    Sizes and counts by range bound the intersection of a pair; those that can't be similar enough are not made.
-    """
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in each open group (or pair of its parts ``one`` and ``other``) that the counts of shared
+    n-grams don't prove apart. ``rows``: leader, one, other, part (the row's own), node, n (marked), root, shared, counts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        node, n, root = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy()
+        node, n, root, part, shared = (pdf[c].to_numpy() for c in ("node", "n", "root", "part", "shared"))
+        size, both = (n >> 1).astype(np.int64), pdf["one"].iloc[0] != pdf["other"].iloc[0]
         counts = np.stack([np.frombuffer(x, np.int32) for x in pdf["counts"]])
         out = []
         for i in range(len(node)):  # by size, so partners are one slice
-            hi = np.searchsorted(n, 2 * ((n[i] >> 1) * 100 // percent) + 1, "right")
-            j = i + 1 + np.flatnonzero((root[i + 1 : hi] != root[i]) & _fits(n[i], n[i + 1 : hi], percent))
+            # A partner that is no smaller shares size[j] n-grams with this one at most as far as its shared ones reach.
+            largest = min(size[i] * 100 // percent, shared[i] * (100 + percent) // percent - size[i])
+            hi = np.searchsorted(n, 2 * largest + 1, "right")
+            if hi <= i + 1:
+                continue
+            j = i + 1 + np.flatnonzero((root[i + 1 : hi] != root[i]) & (shared[i + 1 : hi] >= _least_common(size[i + 1 : hi], size[i], percent)))
+            j = j[_fits(n[i], n[j], percent)]
+            if both:
+                j = j[part[j] != part[i]]
             for at in range(0, len(j), 4096):
                 k = j[at : at + 4096]
-                most = np.minimum(counts[k], counts[i]).sum(1, dtype=np.int64)
-                k = k[most * 100 >= ((n[k] >> 1).astype(np.int64) + (n[i] >> 1) - most) * percent]
+                k = k[np.minimum(counts[k], counts[i]).sum(1, dtype=np.int64) >= _least_common(size[k], size[i], percent)]
                 if len(k):
                     out.append(np.stack([np.full(len(k), i), k]))
         i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": node[i], "b": node[j], "na": (n[i] >> 1).astype(np.int32), "nb": (n[j] >> 1).astype(np.int32)})
+        return pd.DataFrame({"a": node[i], "b": node[j], "na": size[i].astype(np.int32), "nb": size[j].astype(np.int32)})
+
+    return rows.groupBy("leader", "one", "other").applyInPandas(run, "a long, b long, na int, nb int").distinct()
 
-    return members.groupBy("mark").applyInPandas(run, "a long, b long, na int, nb int").distinct()
+
+def _open_pairs(grouped: DataFrame, roots: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in groups that hold several."""
+    root = sized_broadcast(roots.select("node", "root"))
+    rooted = materialize(grouped.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-rooted")
+    several = rooted.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi and members > 2")
+    several = materialize(several.select("leader", F.ceil(F.col("members") / GROUP).alias("parts")), "ngram-open")
+    dealt = rooted.join(sized_broadcast(several), "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("leader", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("other"), "part", "node", "n", "root")
+    return dealt.join(sized_broadcast(counted, limit=50_000), "node")
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,81 +541,45 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     null. Rows that share a doc_id are rows of their own. An empty table gives an empty result; other columns are not
     read. No cap is set on buckets, partners or candidates.
     """
+    nodes, rows = linked_nodes(docs, words, percent, doc_id, text)
+    full = skew_safe_left_join(rows, nodes, ["node"], "members")
+    own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c))
+    plain = lambda c: F.when(c != F.lit(NULL_ID), c)
+    return full.select(plain(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(own("class_id")).alias("class_id"), plain(own("component_id")).alias("component_id"))
+
+
+def linked_nodes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (node, class_id, component_id, members) of each set, and (doc_id, n, node) of each row."""
     docs = docs.select(sid(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n_words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = max(12, int(n_words) // 6 // FRAGMENT + 1)  # a word and its space are six characters or so
-    found = materialize(summaries(docs, words, fragments), "ngram-summaries")
+    n_words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6  # a word and its space are six characters or so
+    counted_bits = fragment_bits(n_words)
+    found = materialize(summaries(docs, words, counted_bits, max(1.0, n_words / CHUNK)), "ngram-summaries")
     rows = found.filter("kind = 0").select("doc_id", "n", "node")
-    classes = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"))
-    shared = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("shared"))
-    classes = materialize(classes.join(shared, "node", "left").withColumn("open", F.coalesce(F.col("shared") * 100 >= F.col("n") * percent, F.lit(False))), "ngram-classes")
+    # A set's own task has counted some of its n-grams as shared. Any one of several tasks gives a bound.
+    classes = found.filter("kind = 0 and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.min("local").alias("local"), F.max("p").alias("own"))
+    shared = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("shared"), F.sum("p").alias("weight"))
+    classes = classes.join(shared, "node", "left").withColumn("open", (F.coalesce("shared", F.lit(0)) + F.col("local")) * 100 >= F.col("n") * percent)
+    classes = materialize(classes.withColumn("p", (F.coalesce("weight", F.lit(0.0)) + F.col("own")) / F.col("n")).select("node", "n", "doc_id", "members", "open", "p"), "ngram-classes")
     often = found.filter("kind = 2").select("node", "n").orderBy(F.desc("n"), "node").limit(MOST_FREQUENT).toArrow()
     values, counts = often.column("node").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(values)
     going = classes.filter("open")
-    entries = going.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    some = docs.join(sized_broadcast(going.select("doc_id").distinct()), "doc_id", "left_semi")
-    some = some if entries else docs.limit(0)
-    met = materialize(buckets(some, words, percent, (values[order], counts[order]), fragments, int(entries)), "ngram-buckets")
-    pairs = materialize(star_pairs(met, percent).distinct(), "ngram-stars")
-    met_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(_members(met.filter("size > 2")).select("node")).distinct()
-    wanted = going.join(met_nodes, "node", "left_semi").select("doc_id").distinct()
-    sets = materialize(set_pieces(docs.join(sized_broadcast(wanted), "doc_id", "left_semi"), words).dropDuplicates(["node", "piece"]), "ngram-sets")
-    links = materialize(verified(pairs, sets, percent), "ngram-links")
+    wanted = materialize(going.groupBy("doc_id").agg(F.max("p").alias("p"), F.sum("n").alias("n")), "ngram-going")
+    some, entries = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets = materialize(open_sets(docs.join(sized_broadcast(wanted.select("doc_id", "p"), some), "doc_id") if some else docs.limit(0).withColumn("p", F.lit(0.0)), words), "ngram-sets")
+    if sets.count() > sets.select("node").distinct().count():  # rows that share a doc_id
+        sets = materialize(sets.dropDuplicates(["node"]), "ngram-sets")
+    met = materialize(buckets(sets, percent, (values[order], counts[order]), counted_bits, fragment_bits(entries)), "ngram-buckets")
+    grouped = materialize(members(met), "ngram-groups")
+    links = materialize(verified(materialize(star_pairs(grouped, percent), "ngram-stars"), sets, percent), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
-    again = _open_pairs(met, roots, sets, percent)
-    if again is not None:
-        more = materialize(verified(again, sets, percent), "ngram-links")
+    counted = materialize(shared_by_range(met, max(12, some // 100_000)), "ngram-counts")
+    more = materialize(_across(_open_pairs(grouped, roots, counted, percent), percent), "ngram-pairs")
+    if more.limit(1).count():
+        more = materialize(verified(more, sets, percent), "ngram-links")
         if more.limit(1).count():
             roots = materialize(components(links.unionByName(more)), "ngram-roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     nodes = rooted.join(named, "root").select("node", F.col("doc_id").alias("class_id"), "component_id", "members")
-    nodes = materialize(nodes, "ngram-nodes")
-    full = skew_safe_left_join(rows, nodes, ["node"], "members")
-    own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c))
-    plain = lambda c: F.when(c != F.lit(NULL_ID), c)
-    return full.select(plain(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(own("class_id")).alias("class_id"), plain(own("component_id")).alias("component_id"))
-
-
-def _members(met: DataFrame) -> DataFrame:
-    """(mark, leader, node, n) of each member of the buckets."""
-
-    def spread(frames):
-        for pdf in frames:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
-                counts = part["size"].to_numpy()
-                yield pd.DataFrame(
-                    {
-                        "mark": np.repeat(part["mark"].to_numpy(), counts),
-                        "leader": np.repeat(part["leader"].to_numpy(), counts),
-                        "node": np.concatenate([np.frombuffer(x, np.int64) for x in part["nodes"]]),
-                        "n": np.concatenate([np.frombuffer(x, np.int32) for x in part["sizes"]]),
-                    }
-                )
-
-    return met.mapInPandas(spread, "mark long, leader long, node long, n int")
-
-
-def _open_pairs(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs across components in buckets that hold several."""
-    root = roots.select("node", "root")
-    large = met.filter("size > 2")  # a star is all pairs of two
-    spokes = _members(large).filter("leader <> node").select("leader", "node").distinct()
-    apart = (
-        spokes.join(root, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-        .join(root.select(F.col("node").alias("leader"), F.col("root").alias("leading")), "leader", "left")
-        .filter(F.col("root") != F.coalesce("leading", "leader"))
-        .select("leader")
-        .distinct()
-    )
-    apart = materialize(apart, "ngram-open")
-    still = large.join(sized_broadcast(apart), "leader", "left_semi").dropDuplicates(["mark"])
-    members = _members(still).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members.select("mark", "node", "n", "root"), "ngram-members")
-    several = members.groupBy("mark").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("mark")
-    counted = members.join(sized_broadcast(several), "mark", "left_semi").join(sets.filter("piece = 0").select("node", "counts"), "node")
-    pairs = materialize(_across(counted, percent), "ngram-pairs")
-    return pairs if pairs.limit(1).count() else None
+    return materialize(nodes, "ngram-nodes"), rows

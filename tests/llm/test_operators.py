@@ -168,6 +168,8 @@ def test_jaccard_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     monkeypatch.setattr(jaccard, "BIN", 16)
+    monkeypatch.setattr(jaccard, "LOCAL", 6)
+    monkeypatch.setattr(jaccard, "GROUP", 12)
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     base, passage, rows = [word() for _ in range(60)], " ".join(word() for _ in range(12)), []
@@ -176,6 +178,12 @@ def test_jaccard_groups(spark, monkeypatch):
         rows.append((1000 - i, " ".join(base)))
     for i in range(40):
         rows.append((i, passage + " " + " ".join(word() for _ in range(int(rng.integers(1, 12))))))
+    text = [word() for _ in range(80)]
+    for i in range(60):  # copies of one text at all distances, some beyond the threshold, with shared changes
+        near = list(text)
+        for _ in range(int(rng.integers(0, 6))):
+            near[int(rng.integers(80))] = ["same", "other", word()][int(rng.integers(3))]
+        rows.append((2000 + i, " ".join(near[int(rng.integers(3)) : 80 - int(rng.integers(6))])))
     got = components_of(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == linked(rows) and len({c for _, _, c in got}) > 3
 
