@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,14 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], c
     return near.unionByName(far)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order. ``values`` is sorted in place (np.unique would build a hash table, far slower)."""
+    values.sort()
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def release() -> None:
     """Give memory of a finished task back: workers are kept, and other stages need the room."""
     gc.collect()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialize, release, sid, sized_broadcast, skew_safe_left_join
+from .common import NULL_ID, distinct, materialize, release, sid, sized_broadcast, skew_safe_left_join
 from .components import components
 
 #: Contract values: words of a shingle, and the similarity in hundredths.
@@ -79,7 +79,7 @@ def shingles(text: str | None, words: int = WORDS, known: dict | None = None) ->
     for o in range(width):
         acc = (acc ^ h[o : o + n]) * _M1
         acc ^= acc >> np.uint64(29)
-    return np.unique(acc * _M2)
+    return distinct(acc * _M2)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -164,10 +164,11 @@ def _locally_frequent(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFrame:
     """Three kinds of rows. kind 0: a document (doc_id, its set ``node``, its size n; local: how many of its n-grams its task
-    found to be shared). kind 1: in one fragment, n more of the n-grams of ``node`` are held by other sets too. For both
-    p is the sum of the logarithms of their numbers of sets, with ``chunks`` times as many as the task found in one chunk.
-    kind 2: n sets hold the n-gram with the key ``node``."""
+    found to be shared; p: sum of the logarithms of their numbers of sets, taken as ``chunks`` times those in the chunk).
+    kind 1: for sets of the bin n, what one fragment adds to these two figures (nodes, shared and weights, packed). kind 2:
+    n sets hold the n-gram with the key ``node``."""
     columns = {"fragment": pa.int32(), **dict.fromkeys(("x", "y", "z", "m", "k"), pa.binary())}
+    columns_out = ["kind", "doc_id", "n", "node", "local", "p", "nodes", "shared", "weights"]
     fragments, least = 1 << bits, FREQUENT
 
     def emit(batches):
@@ -212,7 +213,7 @@ def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFram
         read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
         if f < 0:
             ids, n, nodes = (read(c, np.int64) for c in "xyz")
-            return pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "node": nodes, "local": read("m", np.float64).astype(np.int64), "p": read("k", np.float64)})
+            return pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "node": nodes, "local": read("m", np.float64).astype(np.int64), "p": read("k", np.float64), "nodes": b"", "shared": b"", "weights": b""})[columns_out]
         counts = read("y", np.int32)
         nodes, owner = np.unique(read("z", np.int64), return_inverse=True)
         pairs = read("x", np.uint32).astype(np.uint64) << np.uint64(32)
@@ -224,7 +225,7 @@ def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFram
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
         times = np.diff(np.r_[starts, len(grams)])
         marked, mark = np.unique(read("m", np.uint32), return_inverse=True)
-        known = np.union1d(grams[starts], marked)
+        known = distinct(np.concatenate([grams[starts], marked]))
         held = np.zeros(len(known), np.int64)
         held[np.searchsorted(known, grams[starts])] = times
         held[np.searchsorted(known, marked)] += np.bincount(mark, read("k", np.int32), len(marked)).astype(np.int64)
@@ -236,15 +237,29 @@ def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFram
         often = often[np.argsort(-held[often], kind="stable")[:MOST_FREQUENT]]
         keys = (np.uint64(f) << np.uint64(32) | known[often].astype(np.uint64)).view(np.int64)
         some = np.flatnonzero(shared)
+        bins = _fragment(nodes[some].view(np.uint64), bits)
+        some = some[np.argsort(bins, kind="stable")]
+        packed = [(b, *[x[some[lo:hi]].astype(k).tobytes() for x, k in ((nodes, np.int64), (shared, np.int32), (weight, np.float32))]) for b, lo, hi in _runs(np.sort(bins))]
         return pd.concat(
             [
-                pd.DataFrame({"kind": 1, "doc_id": 0, "n": shared[some], "node": nodes[some], "local": 0, "p": weight[some]}),
-                pd.DataFrame({"kind": 2, "doc_id": 0, "n": held[often], "node": keys, "local": 0, "p": 0.0}),
+                pd.DataFrame(packed, columns=["n", "nodes", "shared", "weights"]).assign(kind=1, doc_id=0, node=0, local=0, p=0.0),
+                pd.DataFrame({"kind": 2, "doc_id": 0, "n": held[often], "node": keys, "local": 0, "p": 0.0, "nodes": b"", "shared": b"", "weights": b""}),
             ]
-        )
+        )[columns_out]
 
     blocks = docs.mapInArrow(emit, "fragment int, x binary, y binary, z binary, m binary, k binary")
-    return blocks.groupBy("fragment").applyInPandas(count, "kind int, doc_id long, n long, node long, local long, p double")
+    return blocks.groupBy("fragment").applyInPandas(count, "kind int, doc_id long, n long, node long, local long, p double, nodes binary, shared binary, weights binary")
+
+
+def shared_by_set(found: DataFrame) -> DataFrame:
+    """(node, shared, weight): the sums over the fragments. From rows of kind 1."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
+        nodes, owner = np.unique(read("nodes", np.int64), return_inverse=True)
+        return pd.DataFrame({"node": nodes, "shared": np.bincount(owner, read("shared", np.int32)).astype(np.int64), "weight": np.bincount(owner, read("weights", np.float32))})
+
+    return found.filter("kind = 1").select("n", "nodes", "shared", "weights").groupBy("n").applyInPandas(add, "node long, shared long, weight double")
 
 
 def _order(frequent: tuple[np.ndarray, np.ndarray], s: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -557,8 +572,7 @@ def linked_nodes(docs: DataFrame, words: int, percent: int, doc_id: str, text: s
     rows = found.filter("kind = 0").select("doc_id", "n", "node")
     # A set's own task has counted some of its n-grams as shared. Any one of several tasks gives a bound.
     classes = found.filter("kind = 0 and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.min("local").alias("local"), F.max("p").alias("own"))
-    shared = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("shared"), F.sum("p").alias("weight"))
-    classes = classes.join(shared, "node", "left").withColumn("open", (F.coalesce("shared", F.lit(0)) + F.col("local")) * 100 >= F.col("n") * percent)
+    classes = classes.join(shared_by_set(found), "node", "left").withColumn("open", (F.coalesce("shared", F.lit(0)) + F.col("local")) * 100 >= F.col("n") * percent)
     classes = materialize(classes.withColumn("p", (F.coalesce("weight", F.lit(0.0)) + F.col("own")) / F.col("n")).select("node", "n", "doc_id", "members", "open", "p"), "ngram-classes")
     often = found.filter("kind = 2").select("node", "n").orderBy(F.desc("n"), "node").limit(MOST_FREQUENT).toArrow()
     values, counts = often.column("node").to_numpy().view(np.uint64), often.column("n").to_numpy()
