@@ -47,9 +47,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sid(col: str = "doc_id") -> Column:
+def sid(name: str = "doc_id") -> Column:
     """A document id that is never null."""
-    return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.col(quoted(name)).cast("long"), F.lit(NULL_ID))
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def others(columns: Sequence[str], *names: str) -> list[str]:
+    """The columns that are not called like one of ``names`` (case doesn't count, as in Spark)."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """Names of helper columns, changed until no column is called like them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def sized_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -96,10 +122,10 @@ def map_text(
     """Append ``outputs`` computed from ``column`` batch by batch.
 
     ``make`` runs once in each task and returns a function from a list of values to one list (or Arrow array) an
-    output. Input columns named like an output are replaced; all other columns pass through.
+    output. Input columns named like an output (in any case) are replaced; all other columns pass through.
     """
-    names = {f.name for f in outputs}
-    kept = [c for c in df.columns if c not in names]
+    kept = others(df.columns, *[f.name for f in outputs])
+    column = next((c for c in df.columns if c.lower() == column.lower()), column)
     read = kept if column in kept else [*kept, column]
     schema = T.StructType([*[df.schema[c] for c in kept], *outputs])
     kinds = [ARROW[f.dataType.simpleString()] for f in outputs]
@@ -115,7 +141,7 @@ def map_text(
         del apply
         release()
 
-    return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
+    return df.select(*map(col, read)).mapInArrow(run, schema)
 
 
 ARROW = {

@@ -541,12 +541,25 @@ def test_lines_awkward(awkward, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
-def test_filters_merge_in_steps(spark, docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FAN_IN", 2)
+def test_line_filters_in_rounds_and_shuffled(spark, docs, monkeypatch):
+    """Several segments, the filter in rounds, and more repeated lines than may be sent to all tasks."""
+    monkeypatch.setattr(line_dedup, "SEGMENT_LINES", 50)
+    monkeypatch.setattr(line_dedup, "ROUND_BYTES", 64)
+    monkeypatch.setattr(line_dedup, "MOST_SENT", 0)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
-    got = {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(df).collect()}
+    found = lambda rows: {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(rows).collect()}
+    got = found(df)
     monkeypatch.undo()
-    assert got == {r.doc_id: r.n_dropped for r in line_dedup.drop_repeated_lines(df.coalesce(1)).collect()}
+    assert got == found(df.coalesce(1)) and sum(n for _, n, _ in got.values()) > 50
+
+
+def test_bloom_knows_what_it_learned():
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    part = line_dedup._segment(hashes, 7)
+    bloom = line_dedup.Bloom(7, {s: line_dedup.Bloom.packed(hashes[part == s]) for s in (0, 2, 3, 6)})
+    inside = np.isin(part, (0, 2, 3, 6))
+    assert (bloom.knows(hashes) == inside).all() and bloom.knows(hashes + np.uint64(1)).mean() < 0.1
 
 
 # Suffix arrays
