@@ -1,8 +1,10 @@
 """Language-model scores: the cross-entropy difference of two n-gram models.
 
 A target model and a background model are matched: same order, smoothing and one shared vocabulary, the words of the
-whole corpus. The target counts come from chosen documents, the background counts from all documents. A document's
-score is the mean over its words of background loss minus target loss, in nats: higher is more like the target.
+whole corpus. The target counts come from chosen documents, the background counts from a sample of the others that has
+as many characters; where there are fewer others, the target is the sample. Both grow with the corpus. A document of
+either sample is left out of its own counts, so that it isn't told apart by having been counted. A document's score
+is the mean over its words of background loss minus target loss, in nats: higher is more like the target.
 
 Counts are exact but for equal 63-bit hashes. Texts are dealt into blocks; a block asks for the counts of its
 different n-grams, each part of the hash range adds up what all blocks hold of it and answers each block, and the
@@ -20,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW, materialize, release, sized_broadcast
+from .common import ARROW, col, fresh, materialize, others, release, sized_broadcast
 
 #: Least number of words that the uniform distribution is over; the number of different words where that is larger.
 VOCABULARY = 1 << 18
-#: Smoothing: pairs are discounted against words, words against the uniform distribution.
-PAIR_PRIOR, WORD_PRIOR = 2.0, 1.0
+#: Smoothing: what a pair's word weighs beside its counts, and the share of the uniform distribution in that of words.
+PAIR_PRIOR, UNIFORM = 2.0, 0.1
+#: Steps in which the size of a sample is chosen.
+SAMPLE_BINS = 4096
+#: Roles of documents.
+TARGET, BACKGROUND = 1, 2
 #: Characters of a block of texts, and characters of the corpus for each part of the hash range: sizes of tasks.
 BLOCK_CHARS, RANGE_CHARS = 1 << 22, 1 << 23
 
@@ -73,9 +79,17 @@ class _Block:
         self.keys = keys[order]
         self.word, self.context, self.pair = place[at[1:][inside]], place[at[:-1][inside] + len(words)], place[pair + 2 * len(words)]
 
-    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
-        """How often each key occurs, or in how many places of ``chosen`` words."""
-        return sum(np.bincount(x if chosen is None else x[chosen], minlength=len(self.keys)) for x in (self.word, self.context, self.pair))
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the places of ``chosen`` words."""
+        return sum(np.bincount(x[chosen], minlength=len(self.keys)) for x in (self.word, self.context, self.pair))
+
+    def own(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """For the places of ``chosen`` words, how often their own text has their word, context and pair."""
+        owner, out = np.repeat(np.arange(len(self.sizes)), self.sizes)[chosen], []
+        for x in (self.word, self.context, self.pair):
+            _, at, times = np.unique(owner * len(self.keys) + x[chosen], return_inverse=True, return_counts=True)
+            out.append(times[at])
+        return out
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -91,24 +105,23 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def counts(docs: DataFrame, ranges: int, text: str = "text", target: str = "target", block: str = "block") -> DataFrame:
-    """Rows of block, range, background and target: counts in all texts and in those with ``target`` true, of the keys
-    of the block in that of ``ranges`` parts of the hash range, in order of the keys. Of n_words, n_target (words of
-    all texts and of the target) and n_distinct (different words) the sums over all rows count.
+def counts(docs: DataFrame, ranges: int, text: str = "text", role: str = "role", block: str = "block") -> DataFrame:
+    """Rows of block, range, background and target: counts in the texts whose role is BACKGROUND or TARGET, of the keys of
+    the block in that of ``ranges`` parts of the hash range, in order of the keys. Of n_background, n_target (words of
+    these texts) and n_distinct (different words of all texts) the sums over all rows count.
     """
     ask = "block long, range int, keys binary, n binary, t binary"
     known = _Ids()
 
     def requests(docs: pa.Table) -> pa.Table:
         own = _Block(docs.column("text").to_pylist(), known)
-        chosen = np.repeat(np.array(docs.column("target").to_pylist(), bool), own.sizes)
-        n, t = own.counts().astype(np.uint64), own.counts(chosen).astype(np.uint64)
+        roles = np.repeat(np.array(docs.column("role").to_pylist(), np.int64), own.sizes)
+        n, t = (own.counts(roles == r).astype(np.uint64) for r in (BACKGROUND, TARGET))
         part = ((own.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        found = np.unique(part)
-        edges = [*np.searchsorted(part, found), len(part)]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         cuts = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
         steps = [np.diff(own.keys[c], prepend=np.uint64(0)) for c in cuts]
-        columns = [[docs.column("block")[0].as_py()] * len(cuts), found, *[[_pack(x) for x in y] for y in (steps, [n[c] for c in cuts], [t[c] for c in cuts])]]
+        columns = [[docs.column("block")[0].as_py()] * len(cuts), part[edges[:-1]], *[[_pack(x) for x in y] for y in (steps, [n[c] for c in cuts], [t[c] for c in cuts])]]
         release()
         return pa.table({k: pa.array(c, v) for k, c, v in zip(("block", "range", "keys", "n", "t"), columns, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)})
 
@@ -122,51 +135,81 @@ def counts(docs: DataFrame, ranges: int, text: str = "text", target: str = "targ
             for k, x in enumerate(asked.column(name)):
                 total[at[edges[k] : edges[k + 1]]] += _unpack(x.as_py()).astype(np.int64)  # a block has a key once
         words = (different & np.uint64(1)).astype(bool)
-        once = [int(sums[0][words].sum()), int(sums[1][words].sum()), int((sums[0][words] > 0).sum())]
+        once = [int(sums[0][words].sum()), int(sums[1][words].sum()), int((words & (different > 1)).sum())]  # 1: the beginning of a text
         rest = [0] * (asked.num_rows - 1)
         made = [pa.array([_pack(total[at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary()) for total in sums]
         release()
-        return pa.table([asked.column("block"), asked.column("range"), *made, *[pa.array([x, *rest], pa.int64()) for x in once]], ["block", "range", "background", "target", "n_words", "n_target", "n_distinct"])
+        return pa.table([asked.column("block"), asked.column("range"), *made, *[pa.array([x, *rest], pa.int64()) for x in once]], ["block", "range", "background", "target", "n_background", "n_target", "n_distinct"])
 
-    asked = docs.select(F.col(block).alias("block"), F.col(text).alias("text"), F.col(target).alias("target")).groupBy("block").applyInArrow(requests, ask)
-    return asked.groupBy("range").applyInArrow(answers, "block long, range int, background binary, target binary, n_words long, n_target long, n_distinct long")
+    asked = docs.select(col(block).alias("block"), col(text).alias("text"), col(role).alias("role")).groupBy("block").applyInArrow(requests, ask)
+    return asked.groupBy("range").applyInArrow(answers, "block long, range int, background binary, target binary, n_background long, n_target long, n_distinct long")
 
 
-def score(docs: DataFrame, models: DataFrame, text: str = "text", block: str = "block") -> DataFrame:
-    """``docs`` without ``block``, with n_words (long), target_loss, background_loss and score (double; background minus
-    target loss). ``models``: what ``counts`` made of the same texts in the same blocks, as a written table.
+def score(docs: DataFrame, models: DataFrame, text: str = "text", role: str = "role", block: str = "block") -> DataFrame:
+    """``docs`` without ``block`` and ``role``, with n_words (long), target_loss, background_loss and score (double;
+    background minus target loss). ``models``: what ``counts`` made of the same texts in the same blocks, as a written table.
 
     Losses are means over the words of the whole text; a text without words (null, empty) has losses and score 0.
     Other columns pass through, those named like an output are replaced.
     """
-    sums = models.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_distinct")]).first()
+    sums = models.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_background", "n_target", "n_distinct")]).first()
     totals, vocabulary = {"background": sums[0], "target": sums[1]}, max(VOCABULARY, sums[2])
     out = [T.StructField("n_words", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score")]]
-    kept = [c for c in docs.columns if c != block and c not in {f.name for f in out}]
+    kept = others(docs.columns, block, role, *[f.name for f in out])
+    block_, text_, role_ = fresh(kept, "__block", "__text", "__role")
     known = _Ids()
 
     def losses(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        own, answers = _Block(docs.column("__text").to_pylist(), known), answers.sort_by("range")
+        own, answers = _Block(docs.column(text_).to_pylist(), known), answers.sort_by("range")
         owner, means = np.repeat(np.arange(len(own.sizes)), own.sizes), []
-        for name in ("target", "background"):
+        roles = np.array(docs.column(role_).to_pylist(), np.int64)
+        for name, number in (("target", TARGET), ("background", BACKGROUND)):
             n = np.concatenate([_unpack(x.as_py()).astype(np.int64) for x in answers.column(name)])
-            word = (n[own.word] + WORD_PRIOR / vocabulary) / (totals[name] + WORD_PRIOR)
-            loss = -np.log((n[own.pair] + PAIR_PRIOR * word) / (n[own.context] + PAIR_PRIOR))
+            word, context, pair, total = n[own.word], n[own.context], n[own.pair], np.full(len(owner), totals[name])
+            if len(mine := np.flatnonzero(roles[owner] == number)):  # leave the text itself out
+                for x, times in zip((word, context, pair), own.own(mine), strict=True):
+                    x[mine] -= times
+                total[mine] -= own.sizes[owner[mine]]
+            p = np.where(total > 0, (1 - UNIFORM) * word / np.maximum(total, 1) + UNIFORM / vocabulary, 1 / vocabulary)
+            loss = -np.log((pair + PAIR_PRIOR * p) / (context + PAIR_PRIOR))
             means.append(np.bincount(owner, loss, len(own.sizes)) / np.maximum(own.sizes, 1))
         release()
         made = [own.sizes, *means, means[1] - means[0]]
         return pa.table([*[docs.column(c) for c in kept], *[pa.array(x, ARROW[f.dataType.simpleString()]) for x, f in zip(made, out, strict=True)]], [*kept, *[f.name for f in out]])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], *out])
-    read = docs.select(F.col(f"`{block}`").alias("__block"), F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in kept])
-    return read.groupBy("__block").cogroup(models.select("block", "range", "background", "target").groupBy("block")).applyInArrow(losses, schema)
+    read = docs.select(col(block).alias(block_), col(text).alias(text_), col(role).alias(role_), *map(col, kept))
+    return read.groupBy(block_).cogroup(models.select("block", "range", "background", "target").groupBy("block")).applyInArrow(losses, schema)
+
+
+def with_roles(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", role: str = "role") -> DataFrame:
+    """``docs`` with ``role``: TARGET for documents that any label row marks 1, BACKGROUND for a sample of the others, by
+    the hash of id and text, that comes nearest to as many characters in SAMPLE_BINS steps; 0 for the rest. If the
+    others have fewer characters, all of them are the background and the target is a sample in the same way. Null ids
+    are never the target."""
+    good, side, place = fresh(docs.columns, "__good", "__side", "__place")
+    marks = labels.filter(col(label) == 1).select(col(doc_id).cast("long").alias(good)).distinct()
+    docs = docs.join(sized_broadcast(marks), col(doc_id).cast("long") == F.col(good), "left")
+    docs = docs.withColumn(side, F.when(F.col(good).isNotNull(), TARGET).otherwise(BACKGROUND)).withColumn(place, F.pmod(F.xxhash64(F.lit("sample"), col(doc_id), col(text)), F.lit(SAMPLE_BINS)))
+    sizes = np.zeros((3, SAMPLE_BINS), np.int64)
+    for k, i, n in docs.groupBy(side, place).agg(F.coalesce(F.sum(F.length(col(text))), F.lit(0))).collect():  # 2 * SAMPLE_BINS rows at most
+        sizes[k, i] = n
+    wanted = min(sizes[TARGET].sum(), sizes[BACKGROUND].sum())
+    cuts = {k: int(np.abs(np.r_[0, np.cumsum(sizes[k])] - wanted).argmin()) if sizes[k].sum() > wanted else SAMPLE_BINS for k in (TARGET, BACKGROUND)}
+    inside = F.col(place) < F.when(F.col(side) == TARGET, cuts[TARGET]).otherwise(cuts[BACKGROUND])
+    return docs.withColumn(role, F.when(inside, F.col(side)).otherwise(0)).drop(good, side, place)
 
 
 def score_by_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """Scores with the documents that any label row marks 1 as the target. Null ids are never the target."""
-    good = labels.filter(F.col(label) == 1).select(F.col(doc_id).alias("__good")).distinct()
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    block = F.pmod(F.xxhash64(doc_id, text), F.lit(chars // BLOCK_CHARS + 1))
-    marked = docs.join(sized_broadcast(good), F.col(doc_id) == F.col("__good"), "left").select(block.alias("block"), F.col(text).alias("text"), F.col("__good").isNotNull().alias("target"))
-    models = materialize(counts(marked, chars // RANGE_CHARS + 1), "models")
-    return score(docs.withColumn("__deal", block), models, text, "__deal")
+    """Scores with the documents that any label row marks 1 as the target (see ``with_roles`` and ``score``).
+
+    Without any such document both models are uniform and all scores 0. Rows are documents of their own, those that
+    repeat an id and a text too: each is left out of its own counts, its copies stay. An empty table gives an empty
+    result. Other columns pass through, whatever they are called; those named like an output are replaced.
+    """
+    chars = docs.agg(F.sum(F.length(col(text)))).first()[0] or 0
+    role, block = fresh(docs.columns, "__role", "__deal")
+    dealt = F.pmod(F.xxhash64(col(doc_id), col(text)), F.lit(chars // BLOCK_CHARS + 1))
+    marked = with_roles(docs, labels, doc_id, text, label, role).withColumn(block, dealt)
+    models = materialize(counts(marked, chars // RANGE_CHARS + 1, text, role, block), "models")
+    return score(marked, models, text, role, block)

@@ -379,58 +379,84 @@ def test_mixing_targets_and_take(spark):
 # Language-model scores
 
 
+def losses(roles, words, text, own, vocabulary):
+    """Losses of a text by the two models, counted with plain dictionaries; ``own``: its row, which is left out."""
+    out = []
+    for number in (lm_scoring.TARGET, lm_scoring.BACKGROUND):
+        word, context, pair = Counter(), Counter(), Counter()
+        for i, r in roles.items():
+            if r == number and i != own:
+                word.update(words[i])
+                context.update(["", *words[i]][:-1])
+                pair.update(zip(["", *words[i]], words[i], strict=False))
+        total, loss = sum(word.values()), 0.0
+        for a, b in zip(["", *text], text, strict=False):
+            p = 0.9 * word[b] / total + 0.1 / vocabulary if total else 1 / vocabulary
+            loss -= np.log((pair[a, b] + 2 * p) / (context[a] + 2))
+        out.append(loss / max(1, len(text)))
+    return out
+
+
+def check_scores(got, roles, words, vocabulary):
+    for i, r in got.items():
+        target, background = losses(roles, words, words[i], i, vocabulary)
+        assert r.n_words == len(words[i]) and abs(r.target_loss - target) < 1e-9 and abs(r.background_loss - background) < 1e-9 and abs(r.score - background + target) < 1e-9
+
+
 def test_scores(spark, awkward, empty):
     rows = [(i, "red green blue " * 5 if i % 2 else "one two three " * 5) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = {r.doc_id: r for r in lm_scoring.score_by_quality(df, labels).collect()}
     assert all((got[i].score > 0) == (i % 2 == 1) and got[i].n_words == 15 for i in got)
-
-    def loss(texts, text):
-        known = lm_scoring._Ids()
-        words, contexts, pairs = Counter(), Counter(), Counter()
-        for t in texts:
-            ids = lm_scoring.word_ids(t, known)
-            words.update(ids[1:].tolist())
-            contexts.update(ids[:-1].tolist())
-            pairs.update(lm_scoring.pair_ids(ids).tolist())
-        total, out, ids = sum(words.values()), 0.0, lm_scoring.word_ids(text, known)
-        for a, b, p in zip(ids[:-1].tolist(), ids[1:].tolist(), lm_scoring.pair_ids(ids).tolist(), strict=True):
-            word = (words[b] + 1 / lm_scoring.VOCABULARY) / (total + 1)
-            out -= np.log((pairs[p] + 2 * word) / (contexts[a] + 2))
-        return out / (len(ids) - 1)
-
-    assert abs(got[0].background_loss - loss([t for _, t in rows], rows[0][1])) < 1e-4
-    assert abs(got[0].target_loss - loss([t for i, t in rows if i % 2], rows[0][1])) < 1e-4
+    roles = {r.doc_id: r.role for r in lm_scoring.with_roles(df, labels).collect()}
+    check_scores(got, roles, {i: t.split() for i, t in rows}, lm_scoring.VOCABULARY)
     scored = lm_scoring.score_by_quality(awkward, labels)
     assert scored.count() == len(AWKWARD) and {r.score for r in scored.filter("n_words = 0").collect()} == {0.0}
     assert lm_scoring.score_by_quality(empty, labels).count() == 0
+    assert {r.score for r in lm_scoring.score_by_quality(df, labels.limit(0)).collect()} == {0.0}
 
 
 def test_scores_count_every_ngram_apart(spark, monkeypatch):
     """More different words and pairs than fixed counters keep apart, over several blocks and parts of the hash range."""
-    monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 20_000, raising=False)
-    monkeypatch.setattr(lm_scoring, "RANGE_CHARS", 50_000, raising=False)
+    monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(lm_scoring, "RANGE_CHARS", 50_000)
     monkeypatch.setattr(lm_scoring, "VOCABULARY", 100)
     rng = np.random.default_rng(4)
     rows = [(i, [f"w{x}" for x in rng.integers(0, 30_000, 900)]) for i in range(40)] + [(40, [])]
-    words, contexts, pairs = ({m: Counter() for m in (0, 1)} for _ in range(3))
-    for i, t in rows:
-        for m in {0, i % 2}:
-            words[m].update(t)
-            contexts[m].update(["", *t][: len(t)])
-            pairs[m].update(zip(["", *t], t, strict=False))
-
-    def loss(m, t):
-        word = {b: (words[m][b] + 1 / len(words[0])) / (sum(words[m].values()) + 1) for b in t}
-        return sum(-np.log((pairs[m][a, b] + 2 * word[b]) / (contexts[m][a] + 2)) for a, b in zip(["", *t], t, strict=False)) / max(1, len(t))
-
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
     got = {r.doc_id: r for r in lm_scoring.score_by_quality(df, labels).collect()}
+    roles = {r.doc_id: r.role for r in lm_scoring.with_roles(df, labels).collect()}
     assert len(got) == len(rows)
-    for i, t in rows:
-        assert got[i].n_words == len(t) and abs(got[i].target_loss - loss(1, t)) < 1e-9 and abs(got[i].background_loss - loss(0, t)) < 1e-9
+    check_scores(got, roles, dict(rows), len({w for _, t in rows for w in t}))
+
+
+def test_scores_query(spark, docs):
+    labels, found = spark.read.parquet(f"{DATA}/labels.parquet"), {r.doc_id: r for r in Q.op7_lm_scoring(spark, DATA).collect()}
+    roles = {r.doc_id: r.role for r in lm_scoring.with_roles(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()}
+    words = {i: re.findall(r"\w+|[^\w\s]", (t or "").lower()) for i, t in docs}
+    assert set(found) == set(words)
+    check_scores({i: found[i] for i in sorted(found)[::9]}, roles, words, lm_scoring.VOCABULARY)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.8])
+def test_samples_are_matched(spark, share):
+    """Disjoint samples of equal size, whichever side is the smaller, and no gap between counted and other good documents."""
+    rng = np.random.default_rng(6)
+    good, bad = ([f"{k}{x}" for x in range(300)] for k in "gb")
+    rows = [(i, " ".join(rng.choice(good if i < 1000 * share else bad, 60)), int(i < 1000 * share)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = df.filter("doc_id % 2 = 0").select("doc_id", "quality")
+    roles = lm_scoring.with_roles(df, labels).collect()
+    sizes = [sum(len(r.text) for r in roles if r.role == k) for k in (lm_scoring.TARGET, lm_scoring.BACKGROUND)]
+    assert abs(sizes[0] - sizes[1]) < 0.02 * sizes[0] and {r.quality for r in roles if r.role == lm_scoring.TARGET} == {1}
+    role = {r.doc_id: r.role for r in roles}
+    got = [(r.doc_id % 2 == 0, r.quality, role[r.doc_id], r.score) for r in lm_scoring.score_by_quality(df, labels).collect()]
+    counted = np.mean([x for seen, q, r, x in got if q and r == lm_scoring.TARGET])
+    free = np.mean([x for seen, q, r, x in got if q and not seen and r == 0] or [counted])
+    worst = np.mean([x for _, q, _, x in got if not q])
+    assert abs(counted - free) < 0.1 * (counted - worst) and counted > worst
 
 
 # Fingerprints
