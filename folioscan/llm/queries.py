@@ -55,6 +55,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count("base", kind).alias(f"n_{kind}") for kind in pii.BASE],
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
