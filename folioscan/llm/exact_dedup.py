@@ -1,54 +1,55 @@
 """Exact duplicates through an extendible-hash index on shared files. DataFrame operations only.
 
-1. Every row becomes an index entry: 64-bit key of the normalised text, its SHA-256, the document id.
-2. Entries of one key are pre-aggregated to a count and a smallest id, so copies never gather in one task.
-3. A directory over the top bits of the keys is doubled where a bucket holds more distinct keys than fit; the entries
-   are dealt out by bucket and key, so that each owner task writes one range of keys.
-4. Keys with several rows are suspects: their texts are chained, that is grouped by key and then by all bytes of the
-   text. Different texts under one key get chains of their own.
+1. Every row becomes an entry: 64-bit key of the normalised text, its SHA-256, the document id. Entries of one key are
+   pre-aggregated, so copies never gather in one task.
+2. A directory over the top bits of the keys starts with as many slots as the keys need at least and is doubled until no
+   bucket is overfull; a bucket that needed no split keeps its smaller depth and several slots.
+3. Texts whose key several rows have are dealt out: the directory names the bucket, and the task that owns the bucket
+   chains, for each key, the texts that differ in any byte. Owners write their buckets as files of the index.
+4. Rows look their key up in the index and find themselves in its chain. A key without a chain is that of one row.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, sized_broadcast, skew_safe_left_join
+from .common import WS, col, fresh, materialize, sized_broadcast, skew_safe_left_join
 
-#: Distinct keys in a bucket before it splits, and the bits at which splitting ends. The directory has 2**MAX_DEPTH
-#: slots at most; a bucket of that depth may overflow and then is only larger.
-BUCKET_KEYS, MAX_DEPTH = 100_000, 12
+#: Distinct keys in a bucket before it splits.
+BUCKET_KEYS = 100_000
 
 
 def normalised(text: str = "text") -> Column:
     """The text with every run of white space replaced by one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{WS}]+", " ")
-
+    return F.regexp_replace(F.coalesce(col(text), F.lit("")), f"[{WS}]+", " ")
 
-def _slot(key: str = "key") -> Column:
-    return F.shiftrightunsigned(F.col(key), 64 - MAX_DEPTH).cast("int")
 
+def _slot(depth: int) -> Column:
+    return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
-def directory(groups: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Slot of the directory to bucket (its first slot) and depth, from distinct keys. 2**MAX_DEPTH rows at most.
 
-    The depth of a slot is the smallest at which the slots that share so many top bits hold at most ``bucket_keys``.
+def directory(groups: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
+    """(slot, depth, bucket) of the directory over the distinct keys in ``groups``, and its depth, that is how many top
+    bits of a key are its slot. A bucket is named after its first slot; its depth says how many bits its slots share.
     """
-    spark = groups.sparkSession
-    slots = spark.range(1 << MAX_DEPTH).select(F.col("id").cast("int").alias("slot"))
-    filled = groups.groupBy(_slot().alias("slot")).agg(F.count("*").alias("keys"))
-    tree = F.broadcast(filled)
-    levels = slots.join(tree, "slot", "left").na.fill(0, ["keys"])
-    # For each slot and depth, the keys below the directory node it falls under: a sum over 2**MAX_DEPTH rows a depth.
-    nodes = levels.select("slot", "keys", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"))
-    nodes = nodes.withColumn("node", F.expr(f"shiftright(slot, {MAX_DEPTH} - depth)"))
+    keys = groups.count()
+    depth = max(0, math.ceil(math.log2(max(1, keys) / bucket_keys)))
+    while True:
+        filled = groups.groupBy(_slot(depth).alias("slot")).agg(F.count("*").alias("keys"))
+        if depth == 63 or (filled.agg(F.max("keys")).first()[0] or 0) <= bucket_keys:
+            break
+        depth += 1  # a bucket is overfull: the directory doubles
+    slots = groups.sparkSession.range(1 << depth).select(F.col("id").alias("slot")).join(sized_broadcast(filled, 1 << depth), "slot", "left").na.fill(0, ["keys"])
+    # The keys under each node of the tree of slots that a slot falls under, for all depths.
+    nodes = slots.select("slot", "keys", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
+    nodes = nodes.withColumn("node", F.expr(f"shiftright(slot, {depth} - depth)"))
     sums = nodes.groupBy("depth", "node").agg(F.sum("keys").alias("under"))
-    fits = nodes.join(F.broadcast(sums), ["depth", "node"]).filter((F.col("under") <= bucket_keys) | (F.col("depth") == MAX_DEPTH))
-    return (
-        fits.groupBy("slot")
-        .agg(F.min("depth").alias("depth"))
-        .select("slot", "depth", F.expr(f"shiftleft(shiftright(slot, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)").alias("bucket"))
-    )
+    fits = nodes.join(sized_broadcast(sums, 2 << depth), ["depth", "node"]).filter((F.col("under") <= bucket_keys) | (F.col("depth") == depth))
+    found = fits.groupBy("slot").agg(F.min("depth").alias("depth"))
+    return found.select("slot", "depth", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), {depth} - depth)").alias("bucket")), depth
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -59,38 +60,39 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     null). Rows that repeat both doc_id and text are one document: they share ``kept`` and each counts in
     group_size. An empty table gives an empty result; other columns are not read.
     """
-    norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    norm = docs.select(col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("norm")).withColumn("key", F.xxhash64("norm"))
     entries = materialize(norm.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-entries")
-    groups = entries.groupBy("key").agg(F.count("*").alias("rows"))
-    index = groups.withColumn("slot", _slot()).join(F.broadcast(directory(groups, bucket_keys)), "slot").select("bucket", "key", "rows")
-    index = materialize(index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
-    suspects = index.filter("rows > 1").select("key")
-    chains = (
-        norm.join(sized_broadcast(suspects), "key", "left_semi")
-        .groupBy("key", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    chains = materialize(chains, "dedup-chains").withColumn("chained", F.lit(True))
-    found = skew_safe_left_join(entries, chains, ["key", "sha"], "group_size")
-    keep = F.when(F.col("chained"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    groups = materialize(entries.groupBy("key").agg(F.count("*").alias("rows")), "dedup-keys")
+    slots, depth = directory(groups, bucket_keys)
+    slots = materialize(slots, "dedup-directory")
+    # All bytes of the texts are compared, copies are counted where they are.
+    texts = norm.join(sized_broadcast(groups.filter("rows > 1").select("key")), "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    dealt = texts.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").withColumn("slot", _slot(depth)).join(sized_broadcast(slots, 1 << depth), "slot")
+    chain = F.collect_list(F.struct("sha", "keep_id", "group_size")).alias("chain")  # different texts with one 64-bit key
+    owned = dealt.repartition("bucket").groupBy("bucket", "key").agg(F.sum("group_size").alias("rows"), chain)
+    index = materialize(owned.sortWithinPartitions("bucket", "key"), "dedup-index")
+    found = skew_safe_left_join(entries, index.select("key", "rows", "chain"), ["key"], "rows")
+    found = found.withColumn("own", F.get(F.filter("chain", lambda x: x["sha"] == F.col("sha")), F.lit(0)))
+    keep = F.when(F.col("own").isNotNull(), F.col("own.keep_id")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.coalesce("own.group_size", F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat doc_id and text, one stays."""
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat doc_id and text, one stays (see
+    ``exact_duplicates`` for nulls, empty texts and ties). Columns may have any names."""
+    id_, sha, own = fresh(docs.columns, "__id", "__sha", "__s")
     dropped = exact_duplicates(docs, doc_id, text, bucket_keys).select("doc_id", "text_sha256", "kept", "group_size")
     dropped = materialize(dropped.filter("group_size > 1"), "dedup-dropped")
-    gone = dropped.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__s", F.sha2(normalised(text), 256))
-    rest = marked.join(sized_broadcast(gone), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_anti")
+    gone = dropped.filter("not kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    marked = docs.withColumn(own, F.sha2(normalised(text), 256))
+    rest = marked.join(sized_broadcast(gone), col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_anti")
     again = dropped.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
     if again:  # rows that repeat an id and a text
-        rest = rest.dropDuplicates([doc_id, "__s"])
-    return rest.drop("__s")
+        rest = rest.dropDuplicates([doc_id, own])
+    return rest.drop(own)

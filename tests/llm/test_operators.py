@@ -363,13 +363,25 @@ def test_exact_dedup_awkward(spark, awkward, empty):
 
 
 def test_directory_splits(spark):
-    keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.lit(1).alias("rows"))
-    found = exact_dedup.directory(keys, 500).collect()
-    slots = Counter((r.key >> (64 - exact_dedup.MAX_DEPTH)) % (1 << exact_dedup.MAX_DEPTH) for r in keys.collect())
-    held = Counter()
-    for r in found:
-        held[r.bucket] += slots[r.slot]
-    assert len(found) == 1 << exact_dedup.MAX_DEPTH and max(held.values()) <= 500 and {r.depth for r in found} <= {3, 4, 5}
+    """The directory doubles until no bucket is overfull; buckets that needn't split keep their depth."""
+    even = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    crowded = even.unionByName(spark.range(3000).select((F.shiftrightunsigned(F.xxhash64("id"), 7)).alias("key")))  # top seven bits 0
+    for keys, least in ((even, 4), (crowded, 9)):
+        found, depth = exact_dedup.directory(keys, 500)
+        rows = {r.slot: r for r in found.collect()}
+        held, total = Counter(), [r.key for r in keys.collect()]
+        held.update(rows[(k % (1 << 64)) >> (64 - depth)].bucket for k in total)
+        assert set(rows) == set(range(1 << depth)) and depth >= least and max(held.values()) <= 500
+        assert all(r.bucket == r.slot >> (depth - r.depth) << (depth - r.depth) for r in rows.values())
+        assert keys is even or min(r.depth for r in rows.values()) < depth - 3
+    assert exact_dedup.directory(even, 5000)[1] == 0
+
+
+def test_exact_dedup_through_small_buckets(spark, docs):
+    rows = [(i, t) for i, t in docs] + [(10_000 + i, (t or "").replace(" ", "  ")) for i, t in docs[:50]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, split = (Counter(map(tuple, exact_dedup.exact_duplicates(df, bucket_keys=n).collect())) for n in (100_000, 3))
+    assert whole == split and sum(n for k, n in whole.items() if k[2] > 1) >= 100
 
 
 # Mixing
