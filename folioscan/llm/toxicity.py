@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, sized_broadcast
+from .common import col, map_text, others, sized_broadcast
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
 #: Letters of a word's beginning, and its buckets.
@@ -26,6 +26,8 @@ STEM, STEMS = 4, 1 << 13
 PAD = max(WIDTHS)
 #: Labelled rows that a model is fitted on, at most, for each label: those with the smallest hash of their doc_id.
 MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
+#: Characters of their whole texts together, at most; texts that don't fit are left to calibration.
+MOST_CHARS = 1 << 25
 #: Share of these, by the same hash, that training leaves out. Thresholds are calibrated on all rows it didn't use.
 CALIBRATION = 0.2
 #: Positive rows that the common threshold weighs beside a language's own, and that 0.5 weighs beside the common one.
@@ -33,6 +35,8 @@ PRIOR = 15.0
 #: Width in log odds of the bins that scores are counted in for that, and the least score (and distance from 1) there.
 BIN, LEAST_SCORE = 0.05, 1e-9
 CHUNK = 1 << 15
+#: Weight decay of the output layer.
+DECAY = 1e-5
 
 _words = re.compile(r"\w+").findall
 
@@ -105,6 +109,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.out_bias, -30, 30)))
 
 
+def gradients(model: Model, docs: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Gradients of the mean logistic loss (with a little weight decay on the output layer): of filters, bias and output,
+    of the output's bias, and for the words (as numbers) that the pooled places read, of their embeddings."""
+    batch, size = len(docs), len(model.bias)
+    padded = [np.concatenate([d, np.zeros(PAD, np.int64)]) for d in docs]
+    starts = np.cumsum([0, *map(len, padded)])
+    flat = np.concatenate([*padded, np.zeros(PAD, np.int64)])
+    n, x = starts[-1], model.embed[flat // STEMS] + model.stems[flat % STEMS]
+    pooled, where = np.empty((batch, size)), np.empty((batch, size), np.int64)
+    for k, w in enumerate(model.filters):
+        found = sum(x[o : o + n] @ w[o] for o in range(len(w)))
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        for i in range(batch):
+            lo, hi = starts[i], max(starts[i] + 1, starts[i + 1] - PAD)
+            at = found[lo:hi].argmax(0)
+            where[i, cols], pooled[i, cols] = lo + at, found[lo + at, np.arange(FILTERS)]
+    hidden = np.maximum(pooled + model.bias, 0)
+    p = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))
+    error = (p - y) / batch
+    back = np.outer(error, model.out) * (hidden > 0)
+    grads, rows, values = [], [], []
+    for k, w in enumerate(model.filters):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        g, grad = back[:, cols], np.empty_like(w)
+        for o in range(len(w)):
+            at = where[:, cols] + o
+            grad[o] = np.einsum("bfd,bf->df", x[at], g)
+            rows.append(flat[at].ravel())
+            values.append((g[:, :, None] * w[o].T[None]).reshape(-1, DIM))
+        grads.append(grad)
+    return [*grads, back.sum(0), hidden.T @ error + DECAY * model.out], float(error.sum()), np.concatenate(rows), np.concatenate(values)
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int = 700, batch: int = 32, rate: float = 0.01) -> Model:
     """Logistic loss, Adam on filters and output, AdaGrad on the embedding rows that a step touches."""
     rng = np.random.default_rng(seed)
@@ -123,42 +160,13 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int
     steps = max(steps, 6 * len(docs) // batch)
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(positive, batch // 4), rng.choice(negative, batch - batch // 4)])
-        y = labels[chosen]
-        padded = [np.concatenate([docs[i], np.zeros(PAD, np.int64)]) for i in chosen]
-        starts = np.cumsum([0, *map(len, padded)])
-        flat = np.concatenate([*padded, np.zeros(PAD, np.int64)])
-        n, x = starts[-1], embed[flat // STEMS] + stems[flat % STEMS]
-        pooled, where = np.empty((batch, size)), np.empty((batch, size), np.int64)
-        for k, w in enumerate(filters):
-            found = sum(x[o : o + n] @ w[o] for o in range(len(w)))
-            cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            for i in range(batch):
-                lo, hi = starts[i], max(starts[i] + 1, starts[i + 1] - PAD)
-                at = found[lo:hi].argmax(0)
-                where[i, cols], pooled[i, cols] = lo + at, found[lo + at, np.arange(FILTERS)]
-        hidden = np.maximum(pooled + model.bias, 0)
-        p = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))
-        error = (p - y) / batch
-        back = np.outer(error, model.out) * (hidden > 0)
-        grads, rows, values = [], [], []
-        for k, w in enumerate(filters):
-            cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            g, grad = back[:, cols], np.empty_like(w)
-            for o in range(len(w)):
-                at = where[:, cols] + o
-                grad[o] = np.einsum("bfd,bf->df", x[at], g)
-                rows.append(flat[at].ravel())
-                values.append((g[:, :, None] * w[o].T[None]).reshape(-1, DIM))
-            grads.append(grad)
-        grads += [back.sum(0), hidden.T @ error + 1e-5 * model.out]
-        for x_, g, m, v in zip(dense, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        g = error.sum()
+        grads, g, rows, values = gradients(model, [docs[i] for i in chosen], labels[chosen])
+        for x, d, m, v in zip(dense, grads, first, second, strict=True):
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b_first, b_second = b_first + 0.1 * (g - b_first), b_second + 0.01 * (g * g - b_second)
         model.out_bias -= rate * (b_first / (1 - 0.9**step)) / ((b_second / (1 - 0.99**step)) ** 0.5 + 1e-8)
-        rows, values = np.concatenate(rows), np.concatenate(values)
         for table, sums, ids in ((embed, squares[0], rows // STEMS), (stems, squares[1], rows % STEMS)):
             touched, inverse = np.unique(ids, return_inverse=True)
             total = np.zeros((len(touched), DIM))
@@ -221,20 +229,22 @@ def calibrate(model: Model, counts: list[tuple[str | None, int, int, int]]) -> N
 
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels nothing is learned from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> Model:
-    """Fit on labelled rows outside ``held_out``, at most MOST_POSITIVE and MOST_NEGATIVE of them, whole texts.
+    """Fit on labelled rows outside ``held_out``, at most MOST_POSITIVE and MOST_NEGATIVE of them, whole texts of
+    MOST_CHARS characters together.
 
     Labels that are null or not 0 or 1 are left out; of repeated labels the largest counts, of repeated documents
-    one. Without rows of both labels the score is a constant: the only label, or 0. All other labelled rows outside
-    ``held_out`` calibrate the thresholds.
+    the one whose text has the largest hash. Null and empty texts are texts without words. Without rows of both labels
+    (an empty table has none) the score is a constant: the only label, or 0. All other labelled rows outside ``held_out``
+    calibrate the thresholds. Columns of ``docs`` may have any names, only those given are read.
     """
     known = (
-        labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-        .groupBy(F.col(doc_id).cast("long").alias("_id"))
-        .agg(F.max(label).cast("int").alias("_label"))
+        labels.filter(col(label).isin(0, 1) & col(doc_id).isNotNull() & ~held_out(doc_id))
+        .groupBy(col(doc_id).cast("long").alias("_id"))
+        .agg(F.max(col(label)).cast("int").alias("_label"))
         .withColumn("_order", F.xxhash64("_id"))
     )
     chosen = known.filter("_label = 1").orderBy("_order").limit(MOST_POSITIVE).unionByName(known.filter("_label = 0").orderBy("_order").limit(MOST_NEGATIVE))
@@ -243,17 +253,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         buckets = _Buckets()
         return lambda texts: [[hashed(x, buckets) for x in texts]]
 
-    languages = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), languages.alias("_lang"))
-    rows = texts.join(F.broadcast(chosen), "_id")
-    found = map_text(rows, make, "_text", [T.StructField("_ids", T.ArrayType(T.IntegerType()))]).drop("_text").toArrow()
-    best = {i: (y, order, lang_, ids) for i, y, order, lang_, ids in zip(*(found.column(c).to_pylist() for c in ("_id", "_label", "_order", "_lang", "_ids")), strict=True)}
-    ranked = sorted(best.values(), key=lambda r: (r[1], r[0]))
-    cut = int(len(ranked) * CALIBRATION)
-    model = train([np.array(r[3], np.int64) for r in ranked[cut:]], np.array([r[0] for r in ranked[cut:]]))
+    languages = col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(col(doc_id).cast("long").alias("_id"), col(text).alias("_text"), languages.alias("_lang"))
+    content = F.xxhash64(F.coalesce("_text", F.lit("")))
+    sizes = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_order").agg(F.max(F.struct(content.alias("hash"), F.coalesce(F.length("_text"), F.lit(0)).alias("n"))).alias("t"))
+    picked, room = [], MOST_CHARS
+    for i, _, t in sorted(sizes.collect(), key=lambda r: (r[1], r[0])):  # numbers of MOST_POSITIVE + MOST_NEGATIVE rows
+        if t.n <= room:
+            picked.append((i, t.hash))
+            room -= t.n
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "_id long, _hash long")), "_id").filter(content == F.col("_hash")).join(F.broadcast(chosen), "_id")
+    found = map_text(rows.select("_id", "_label", "_order", "_text"), make, "_text", [T.StructField("_ids", T.ArrayType(T.IntegerType()))]).drop("_text").toArrow()
+    words = found.column("_ids").combine_chunks()
+    flat, edges = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+    best = {i: (order, i, y, k) for k, (i, y, order) in enumerate(zip(*(found.column(c).to_pylist() for c in ("_id", "_label", "_order")), strict=True))}
+    ranked = sorted(best.values())
+    used = ranked[int(len(ranked) * CALIBRATION) :]
+    model = train([flat[edges[k] : edges[k + 1]].astype(np.int64) for *_, k in used], np.array([y for _, _, y, _ in used]))
     if model.constant is None:
-        seen = {r[1] for r in ranked[cut:]}
-        trained = docs.sparkSession.createDataFrame([(i,) for i, r in best.items() if r[1] in seen], "_id long")
+        trained = docs.sparkSession.createDataFrame([(i,) for _, i, _, _ in used], "_id long")
         rest = known.join(F.broadcast(trained), "_id", "left_anti").select("_id", "_label")
         calibrate(model, score_counts(texts.join(sized_broadcast(rest), "_id"), model))
     return model
@@ -263,8 +281,8 @@ def classify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     """``docs`` with score (double, 0 to 1) of the whole text and rejected (boolean): the score reaches the threshold
     of the row's language (0.5 where the language, or null, has none).
 
-    Null and empty texts have no words and get the model's score for that. Rows are independent; columns named score
-    or rejected are replaced, others pass through.
+    Null and empty texts have no words and get the model's score for that. Rows are independent, an empty table gives
+    an empty result; columns named score or rejected (in any case) are replaced, others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * DIM floats
 
@@ -275,5 +293,6 @@ def classify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     scored = map_text(docs, make, text, [T.StructField("score", T.DoubleType())])
     cut = F.lit(0.5)
     for name, value in sorted(model.thresholds.items(), key=str):
-        cut = F.when(F.col(lang).eqNullSafe(F.lit(name)), F.lit(value)).otherwise(cut) if lang in docs.columns else cut
-    return scored.withColumn("rejected", F.col("score") >= cut)
+        cut = F.when(col(lang).eqNullSafe(F.lit(name)), F.lit(value)).otherwise(cut) if lang in docs.columns else cut
+    kept = others(docs.columns, "score", "rejected")
+    return scored.select(*map(col, kept), "score", (F.col("score") >= cut).alias("rejected"))

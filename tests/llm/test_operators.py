@@ -223,6 +223,55 @@ def test_toxicity_scoring_equals_training_features():
     assert np.allclose(model.score(docs), [plain(d) for d in docs], atol=1e-4)
 
 
+def test_toxicity_gradients_equal_finite_differences():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(1, toxicity.STEMS * 9, n) for n in (3, 9, 25, 1)]
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    model = toxicity.train(docs, y, steps=3, batch=8)
+    model.bias += 0.2
+
+    def loss():
+        p = np.array([model_score(d) for d in docs])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + toxicity.DECAY * (model.out**2).sum() / 2)
+
+    def model_score(doc):
+        ids = np.array([*doc, *[0] * toxicity.PAD])
+        x, n = model.embed[ids // toxicity.STEMS] + model.stems[ids % toxicity.STEMS], len(doc)
+        hidden = np.maximum(np.concatenate([sum(x[o : o + n] @ w[o] for o in range(len(w))).max(0) for w in model.filters]) + model.bias, 0)
+        return 1 / (1 + np.exp(-(hidden @ model.out + model.out_bias)))
+
+    grads, bias, rows, values = toxicity.gradients(model, docs, y)
+    word = int(docs[2][5])
+    table = np.zeros((2, toxicity.DIM))
+    for r, v in zip(rows.tolist(), values, strict=True):
+        table[0] += v * (r // toxicity.STEMS == word // toxicity.STEMS)
+        table[1] += v * (r % toxicity.STEMS == word % toxicity.STEMS)
+    places = [(a, g, i) for a, g in zip([*model.filters, model.bias, model.out], grads, strict=True) for i in (tuple(rng.integers(0, a.shape)) for _ in range(12))]
+    places += [(model.embed[word // toxicity.STEMS], table[0], (d,)) for d in range(4)] + [(model.stems[word % toxicity.STEMS], table[1], (d,)) for d in range(4)]
+    for array, grad, i in places:
+        kept, step = array[i], 1e-6
+        array[i] = kept + step
+        above = loss()
+        array[i] = kept - step
+        below = loss()
+        array[i] = kept
+        assert abs((above - below) / (2 * step) - grad[i]) < 1e-6
+    model.out_bias += 1e-6
+    above = loss()
+    model.out_bias -= 2e-6
+    assert abs((above - loss()) / 2e-6 - bias) < 1e-6
+
+
+def test_toxicity_repeated_ids_and_long_texts(spark, monkeypatch):
+    """Reruns agree where ids repeat, and texts beyond the room for training are calibrated on."""
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 4000)
+    rows = [(i % 90, f"word{i} awful" if i % 3 == 0 else f"word{i} fine " * (2000 if i == 7 else 1)) for i in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(x, labels) for x in (df, df.repartition(7)))
+    assert one.out_bias == two.out_bias and (one.embed == two.embed).all()
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (6, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
