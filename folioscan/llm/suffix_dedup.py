@@ -11,7 +11,9 @@ that occur twice matter.
    and the next smaller position in suffix order are the only candidates.
 4. Bytes under a match of ``length`` are removed, from all places or from all but the first.
 
-An anchor with very many different blocks is cut into parts, and each pair of parts is one task's work.
+An anchor with very many different blocks is not compared in one task: its blocks are cut into smaller ones by the
+anchors of longer strings, which fewer surroundings share, at last by whole windows. So work grows with the bytes of
+the blocks and never with their pairs.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, map_text, materialize, sid, sized_broadcast, skew_safe_left_join
+from .common import SLICE, col, distinct, fresh, map_text, materialize, others, release, sid, sized_broadcast, skew_safe_left_join
 
-#: Bytes of a text that are looked at together, of blocks in a task, and blocks of an anchor that make a part.
-STRETCH, BIN_BYTES, PART = 1 << 20, 1 << 21, 2000
+#: Bytes of a text that are looked at together, of blocks in a task, and different blocks of an anchor from which on longer
+#: anchors tell them apart.
+STRETCH, BIN_BYTES, MANY = 1 << 20, 1 << 21, 1000
+#: Bytes of the ranges that are sent to all tasks to be cut out of the texts; larger tables are joined by a shuffle.
+SENT_BYTES = 1 << 26
 
-
-
-def gram_size(length: int) -> int:
-    """Bytes of an anchor: long enough to be rare, short enough that anchors are far apart."""
-    return max(1, length * 8 // 25)
+def gram_sizes(length: int) -> list[int]:
+    """Bytes of an anchor: long enough to be rare, short enough that anchors are far apart; then longer ones, up to a
+    whole window."""
+    first = max(1, length * 8 // 25)
+    return sorted({first, (first + length) // 2, length})
 
 
 _random = np.random.default_rng(20)
@@ -99,7 +104,7 @@ def blocks(data: np.ndarray, length: int, gram: int) -> np.ndarray:
         end = np.r_[first[1:], len(least)] - 1 + length
         edge = np.zeros(width - 1, np.uint64)
         chosen = np.sort(grams[_sliding(np.concatenate([edge, least, edge]), width, False) == grams])
-        twice = np.unique(chosen[1:][chosen[1:] == chosen[:-1]])
+        twice = distinct(chosen[1:][chosen[1:] == chosen[:-1]])
         anchor = least[first]
         places = 1 + np.isin(anchor, twice)
         whole = _mix(hashes.of(first, end) ^ ((end - first).astype(np.uint64) << np.uint64(40)))
@@ -251,68 +256,96 @@ def _meet(length: int, earlier_only: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> DataFrame:
-    """(uid, spans): byte ranges to remove from each text. ``docs`` has uid, doc_id (not null) and text."""
+def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Blocks (anchor, block, uid, doc_id, lo, hi, n) of whole texts, or of their ranges ``lo`` to ``hi`` if ``docs`` has such."""
+    names = ["anchor", "block", "uid", "doc_id", "lo", "hi", "n"]
+    ranged = "lo" in docs.columns
 
     def find(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 uids, ids, made, owner = part.column(0).to_pylist(), part.column(1).to_pylist(), [], []
-                for i, x in enumerate(part.column(2).to_pylist()):
+                ranges = zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True) if ranged else ((None, None) for _ in uids)
+                for i, (x, (los, his)) in enumerate(zip(part.column(2).to_pylist(), ranges, strict=True)):
                     data = np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8)
-                    if len(data) >= length:
-                        made.append(blocks(data, length, gram_size(length)))
-                        owner.append(np.full(made[-1].shape[1], i))
+                    for lo, hi in zip(los, his, strict=True) if ranged else [(0, len(data))]:
+                        if hi - lo >= length:
+                            made.append(blocks(data[lo:hi], length, gram))
+                            made[-1][2:4] += np.uint64(lo)
+                            owner.append(np.full(made[-1].shape[1], i))
                 if made:
                     anchor, block, lo, hi, n = np.concatenate(made, axis=1).view(np.int64)
                     who = np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, block, np.array(uids)[who], np.array(ids)[who], lo, hi, n)], names=["anchor", "block", "uid", "doc_id", "lo", "hi", "n"])
-
-    schema = "anchor long, block long, uid long, doc_id long, lo long, hi long, n long"
-    every = materialize(docs.select("uid", "doc_id", "text").mapInArrow(find, schema), "suffix-blocks")
-    again = every.groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("rows"), (F.min("block") != F.max("block")).alias("mixed"), F.max("n").alias("most"))
-    again = again.filter("places > 1").select("anchor", "rows", (F.col("mixed") | (F.col("most") > 1)).alias("mixed"))
-    again = materialize(again, "suffix-anchors")
-    found = materialize(skew_safe_left_join(every, again, ["anchor"], "rows").filter("rows is not null"), "suffix-again")
-    # Equal blocks: all but the first, or all, are copies as a whole. The first of each kind stands for it.
-    kinds = found.filter("mixed or rows > 1").groupBy("anchor", "block").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid", "lo", "hi")).alias("first"), F.first("mixed").alias("mixed"), F.max("n").alias("places"))
-    kinds = materialize(kinds, "suffix-kinds")
-    copies = skew_safe_left_join(found.select("anchor", "block", "uid", "lo", "hi"), kinds.filter("copies > 1"), ["anchor", "block"], "copies").filter("copies is not null")
-    if keep_first:
-        copies = copies.filter((F.col("uid") != F.col("first.uid")) | (F.col("lo") != F.col("first.lo")))
-    copies = copies.select("uid", "lo", "hi")
-    # Kinds of anchors that have several kinds (or touch themselves) are compared; whole copies need no more, but
-    # others may match parts of them.
-    open_ = kinds.filter("mixed").select("anchor", "block", "first.*")
-    sizes = materialize(open_.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo")).alias("bytes")), "suffix-open")
-    total, wide = sizes.agg(F.sum("bytes"), F.count("*")).first()
-    if not wide:
-        cuts = copies
-    else:
-        bins = max(12, total // BIN_BYTES + 1)
-        large = sizes.filter(F.col("kinds") > PART).select("anchor", F.ceil(F.col("kinds") / PART).alias("parts"))
-        dealt = open_.join(sized_broadcast(large), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod("block", "parts")
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        dealt = dealt.withColumn("own", own).withColumn("other", other)
-        pair = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = dealt.select("uid", F.pmod(F.when(F.col("parts") > 1, pair).otherwise(F.xxhash64("anchor")), F.lit(bins)).alias("bin"), "lo", "hi").distinct()
-        wanted = materialize(dealt.groupBy("uid").agg(F.collect_list(F.struct("bin", "lo", "hi")).alias("parts")), "suffix-wanted")
-        joined = docs.join(sized_broadcast(wanted, limit=100_000), "uid").select("uid", "doc_id", "text", "parts")
-
-        def cut(batches) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    rows = []
-                    for r in batch.slice(at, SLICE).to_pylist():
-                        data = (r["text"] or "").encode("utf-8", "surrogatepass")
-                        rows += [(p["bin"], r["uid"], r["doc_id"], p["lo"], data[p["lo"] : p["hi"]]) for p in r["parts"]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["bin", "uid", "doc_id", "lo", "body"])
-
-        bodies = joined.mapInArrow(cut, "bin long, uid long, doc_id long, lo long, body binary")
-        cuts = copies.unionByName(bodies.groupBy("bin").applyInPandas(_meet(length, keep_first), "uid long, lo long, hi long"))
-    return cuts.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, block, np.array(uids)[who], np.array(ids)[who], lo, hi, n)], names=names)
+        release()
+
+    return docs.select("uid", "doc_id", "text", *(["lo", "hi"] if ranged else [])).mapInArrow(find, ", ".join(f"{n} long" for n in names))
+
+
+def _ranges(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row a uid with arrays of its ranges, as ints."""
+    found = rows.groupBy("uid").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in columns])).alias("r"))
+    return found.select("uid", *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def _with_texts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The texts that have ranges, beside them. The ranges are sent to all tasks if their bytes allow it."""
+    arrays = [c for c, kind in ranges.dtypes if kind.startswith("array")]
+    n, held = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size(arrays[0])), F.lit(0))).first()
+    small = 64 * n + (8 + 4 * held) * len(arrays) <= SENT_BYTES
+    return docs.select("uid", "doc_id", "text").join(F.broadcast(ranges) if small else ranges, "uid")
+
+
+def _cut_out(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(bin, uid, doc_id, lo, body): the bytes of each range."""
+    names = ["bin", "uid", "doc_id", "lo", "body"]
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = []
+                for r in batch.slice(at, SLICE).to_pylist():
+                    data = (r["text"] or "").encode("utf-8", "surrogatepass")
+                    rows += [(b, r["uid"], r["doc_id"], lo, data[lo:hi]) for b, lo, hi in zip(r["bin"], r["lo"], r["hi"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=names)
+
+    return _with_texts(docs, ranges).mapInArrow(cut, "bin long, uid long, doc_id long, lo long, body binary")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> DataFrame:
+    """(uid, lo, hi): arrays of the byte ranges to remove from each text. ``docs`` has uid, doc_id (not null) and text."""
+    cuts, todo, grams = None, docs, gram_sizes(length)
+    for gram in grams:
+        every = materialize(_find(todo, length, gram), "suffix-blocks")
+        again = every.groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("rows"), (F.min("block") != F.max("block")).alias("mixed"), F.max("n").alias("most"))
+        again = again.filter("places > 1").select("anchor", "rows", (F.col("mixed") | (F.col("most") > 1)).alias("mixed"))
+        again = materialize(again, "suffix-anchors")
+        found = materialize(skew_safe_left_join(every, again, ["anchor"], "rows").filter("rows is not null"), "suffix-again")
+        # Equal blocks: all but the first, or all, are copies as a whole. The first of each kind stands for it.
+        kinds = found.filter("mixed or rows > 1").groupBy("anchor", "block").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid", "lo", "hi")).alias("first"), F.first("mixed").alias("mixed"))
+        kinds = materialize(kinds, "suffix-kinds")
+        copies = skew_safe_left_join(found.select("anchor", "block", "uid", "lo", "hi"), kinds.filter("copies > 1"), ["anchor", "block"], "copies").filter("copies is not null")
+        if keep_first:
+            copies = copies.filter((F.col("uid") != F.col("first.uid")) | (F.col("lo") != F.col("first.lo")))
+        made = copies.select("uid", "lo", "hi")
+        # Kinds of anchors that have several kinds (or touch themselves) are compared; whole copies need no more, but
+        # others may match parts of them.
+        open_ = kinds.filter("mixed").select("anchor", "first.*")
+        sizes = materialize(open_.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo")).alias("bytes")), "suffix-open")
+        few = sizes if gram == grams[-1] else sizes.filter(F.col("kinds") <= MANY)
+        total, wide = few.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+        if wide:
+            bins = max(12, total // BIN_BYTES + 1)
+            dealt = open_.join(sized_broadcast(few.select("anchor"), wide), "anchor", "left_semi").select("uid", "lo", "hi", F.pmod(F.xxhash64("anchor"), F.lit(bins)).alias("bin"))
+            ranges = materialize(_ranges(dealt.distinct(), "bin", "lo", "hi"), "suffix-wanted")
+            made = made.unionByName(_cut_out(docs, ranges).groupBy("bin").applyInPandas(_meet(length, keep_first), "uid long, lo long, hi long"))
+        cuts = made if cuts is None else cuts.unionByName(made)
+        many = sizes.filter(F.col("kinds") > MANY).select("anchor") if gram < grams[-1] else None
+        if many is None or not (n := many.count()):
+            break
+        todo = _with_texts(docs, materialize(_ranges(open_.join(sized_broadcast(many, n), "anchor", "left_semi"), "lo", "hi"), "suffix-longer"))
+    return _ranges(cuts, "lo", "hi")
 
 
 def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,18 +355,22 @@ def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool =
     or another; with ``keep_first`` only if they begin earlier, by doc_id and place, so that the first copy stays.
     Matches may overlap themselves and never cross documents. n_spans counts maximal removed runs. A null text is
     empty, a null doc_id comes first, rows that repeat a doc_id are documents of their own (equal ones are copies of
-    each other and lose the same bytes). Other columns pass through; those named like an output are replaced.
+    each other and lose the same bytes). An empty table gives an empty result. Other columns pass through, whatever
+    they are called; those named like an output are replaced.
     """
-    marked = docs.withColumn("__uid", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
-    spans = repeated_spans(marked.select(F.col("__uid").alias("uid"), sid(doc_id).alias("doc_id"), F.col(text).alias("text")), length, keep_first)
-    spans = materialize(spans, "suffix-spans").select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"))
-    joined = marked.join(sized_broadcast(spans, limit=200_000), "__uid", "left").withColumn("__pair", F.struct(F.col(text).alias("text"), F.col("__spans").alias("spans")))
+    names = ["kept", "n_bytes", "n_removed", "n_spans"]
+    uid, pair, lo, hi = fresh(docs.columns, "__uid", "__pair", "__lo", "__hi")
+    marked = docs.withColumn(uid, F.xxhash64(col(doc_id), F.coalesce(col(text), F.lit(""))))
+    spans = materialize(repeated_spans(marked.select(F.col(uid).alias("uid"), sid(doc_id).alias("doc_id"), col(text).alias("text")), length, keep_first), "suffix-spans")
+    n, held = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("lo")), F.lit(0))).first()
+    spans = spans.select(F.col("uid").alias(uid), F.col("lo").alias(lo), F.col("hi").alias(hi))
+    joined = marked.join(F.broadcast(spans) if 64 * n + 8 * held <= SENT_BYTES else spans, uid, "left").withColumn(pair, F.struct(col(text).alias("text"), F.col(lo).alias("lo"), F.col(hi).alias("hi")))
 
     def make():
-        def one(pair: dict) -> tuple[bytes, int, int, int]:
-            data = (pair["text"] or "").encode("utf-8", "surrogatepass")
+        def one(row: dict) -> tuple[bytes, int, int, int]:
+            data = (row["text"] or "").encode("utf-8", "surrogatepass")
             out, at, runs, end = [], 0, 0, -1
-            for lo, hi in sorted((s["lo"], s["hi"]) for s in pair["spans"] or ()):
+            for lo, hi in sorted(zip(row["lo"] or (), row["hi"] or (), strict=True)):
                 if lo > end:
                     runs += 1
                     out.append(data[at:lo])
@@ -342,9 +379,7 @@ def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool =
             kept = b"".join(out)
             return kept, len(data), len(data) - len(kept), runs
 
-        return lambda pairs: tuple(zip(*map(one, pairs), strict=True)) or ([], [], [], [])
+        return lambda rows: tuple(zip(*map(one, rows), strict=True)) or ([], [], [], [])
 
-    names = ["kept", "n_bytes", "n_removed", "n_spans"]
     out = [T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in names]
-    kept = [c for c in docs.columns if c not in names]
-    return map_text(joined.select(*kept, "__pair"), make, "__pair", out).drop("__pair")
+    return map_text(joined.select(*map(col, others(docs.columns, *names)), pair), make, pair, out).drop(pair)

@@ -701,8 +701,9 @@ def test_suffix_query(spark, docs):
 
 @pytest.mark.parametrize("first", [False, True])
 def test_suffix_cases(spark, monkeypatch, first):
-    """Short strings, self-overlaps, passages in many surroundings, parts and bins, the first copy kept or not."""
-    monkeypatch.setattr(suffix_dedup, "PART", 5)
+    """Short strings, self-overlaps, passages in many surroundings, longer anchors, the first copy kept or not."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    monkeypatch.setattr(suffix_dedup, "SENT_BYTES", 500)
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcdefghij é"), n))
     passage, rows = word(70), []
