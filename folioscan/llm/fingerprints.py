@@ -13,15 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID
+from .common import col, fresh, materialize, others, sid, sized_broadcast
 
 K, S, WORD = 5, 2, 16
 #: Anchors of a fingerprint are not bounded.
 MOST = None
 #: Shared anchors count if their positions differ by at most so many words, or by SLOPE of the larger position.
 SLACK, SLOPE = 32, 0.2
-#: Rows of a range of documents in which neighbours are found, and the most ranges there are.
-RANGE_ROWS, MOST_RANGES, QUANTILES = 1000, 100_000, 64
+#: Rows of a range of documents in which neighbours are found, and the ranges that one cut makes (a power of two).
+RANGE_ROWS, RANGES = 1000, 4096
 
 
 def add_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
@@ -31,22 +31,22 @@ def add_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     all of its words. Of equal anchors the first place counts. Equal texts have equal fingerprints.
     """
     inner = K - S + 1
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^\s]{{1,{WORD}}}"), F.lit(0))
-    step = docs.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
-    short = F.when(F.size("__h") > 0, F.array(F.struct(F.xxhash64(F.col("__h")).alias("h"), F.lit(0).alias("p")))).otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))
-    step = step.withColumn("__s", F.zip_with("__h", F.slice("__h", 2, F.greatest(F.size("__h"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    at = lambda i, o: F.get(F.col("__s"), i + o)
+    h_, s_, a_ = fresh(docs.columns, "__h", "__s", "__a")
+    words = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(rf"[^\s]{{1,{WORD}}}"), F.lit(0))
+    step = docs.withColumn(h_, F.transform(words, lambda w: F.xxhash64(w)))
+    short = F.when(F.size(h_) > 0, F.array(F.struct(F.xxhash64(F.col(h_)).alias("h"), F.lit(0).alias("p")))).otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))
+    step = step.withColumn(s_, F.zip_with(h_, F.slice(h_, 2, F.greatest(F.size(h_), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    at = lambda i, o: F.get(F.col(s_), i + o)
 
     def anchored(i: Column) -> Column:
         least = F.least(*[at(i, o) for o in range(inner)])
         return (at(i, 0) == least) | (at(i, inner - 1) == least)
 
-    places = F.filter(F.sequence(F.lit(0), F.size("__h") - K), anchored)
+    places = F.filter(F.sequence(F.lit(0), F.size(h_) - K), anchored)
     anchors = F.transform(places, lambda i: F.struct(F.xxhash64(*[at(i, o) for o in range(inner)]).alias("h"), i.alias("p")))
-    step = step.withColumn("__a", F.when(F.size("__h") >= K, F.sort_array(anchors)).otherwise(short))
-    step = step.withColumn("__a", F.filter("__a", lambda x, i: (i == 0) | (x["h"] != F.get(F.col("__a"), i - 1)["h"])))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    return step.select(*kept, F.struct(F.col("__a.h").alias("hashes"), F.col("__a.p").alias("places")).alias(out))
+    step = step.withColumn(a_, F.when(F.size(h_) >= K, F.sort_array(anchors)).otherwise(short))
+    step = step.withColumn(a_, F.filter(a_, lambda x, i: (i == 0) | (x["h"] != F.get(F.col(a_), i - 1)["h"])))
+    return step.select(*map(col, others(docs.columns, out)), F.struct(F.col(f"{a_}.h").alias("hashes"), F.col(f"{a_}.p").alias("places")).alias(out))
 
 
 def as_string(fingerprint: str) -> Column:
@@ -79,47 +79,70 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(ha) == 0) & (F.size(hb) == 0), F.lit(1.0)).when((F.size(ha) == 0) | (F.size(hb) == 0), F.lit(0.0)).otherwise(2 * j / (1 + j))
 
 
-def _ranges(docs: DataFrame) -> tuple[Column, int]:
-    """Range of a row by ``_id`` (then ``_hash``), as an expression, and the number of ranges: about RANGE_ROWS rows each.
+def _place(bounds: Column, value: Column) -> Column:
+    """How many of the ascending ``bounds`` are not above ``value``: a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(RANGES.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= value), at + step).otherwise(at))
 
-    Between QUANTILES quantiles ids count as evenly spread; rows without an id are spread by their hash.
-    """
-    n, cuts = docs.agg(F.count("*"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).first()
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    cuts = sorted(set(cuts or [0]))
-    steps = [(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False)] or [(cuts[0], cuts[0] + 1)]
 
-    def search(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            a, b = steps[lo]
-            share = F.least(F.greatest((F.col("doc_id") - F.lit(a)) / F.lit(float(b - a)), F.lit(0.0)), F.lit(1.0))
-            return F.lit(float(lo)) + F.when(F.lit(lo + 1 < len(steps)), F.least(share, F.lit(1 - 1e-9))).otherwise(share)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(steps[mid][0]), search(lo, mid)).otherwise(search(mid, hi))
+def with_ranges(docs: DataFrame, id_: str, hash_: str, out: str) -> DataFrame:
+    """``docs`` with ``out``: a number (bigint) of the range of the row, about RANGE_ROWS rows each, in the order of id and
+    hash (a bigint that isn't null).
 
-    place = F.least(F.floor(search(0, len(steps)) / len(steps) * ranges), F.lit(ranges - 1))
-    nulls = F.floor((F.col("__hash") / F.lit(2.0**64) + 0.5) * ranges)
-    return F.when(F.col("doc_id").isNull(), nulls - ranges - 1).otherwise(place).cast("long"), ranges
+    Ranges are cut at quantiles of the ids, however they are spread; ranges that still hold too many rows are cut
+    again in the same way, and rows that share one id by their hashes.
+    """
+    ids = materialize(docs.select(F.col(id_).alias("id"), F.col(hash_).alias("hash")), "fingerprint-ids")
+    n = ids.count()
+    cuts = F.lit([]).cast("array<bigint>")
+    if n > RANGE_ROWS:
+        k = min(RANGES, n // RANGE_ROWS)
+        cuts = F.lit(sorted({int(x) for x in ids.agg(F.percentile_approx("id", [i / k for i in range(1, k)] or [0.5], 10 * RANGES)).first()[0]})).cast("array<bigint>")
+    first = lambda i: _place(cuts, i)
+    again = ids.withColumn("one", first(F.col("id"))).groupBy("one").agg(F.count("*").alias("rows"), F.percentile_approx("id", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"))
+    again = again.filter(F.col("rows") > 4 * RANGE_ROWS).select("one", F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(RANGES - 1), F.col("rows") / RANGE_ROWS).cast("int")), lambda i: F.get("cuts", F.floor(i * F.lit(RANGES) / (F.least(F.lit(RANGES - 1), F.col("rows") / RANGE_ROWS).cast("int") + 1)).cast("int") - 1))).alias("cuts"))
+    again = materialize(again, "fingerprint-cuts")
+    second = lambda c, i: F.coalesce(_place(c, i), F.lit(0))
+    # Keys are compared as structs: Spark would carry the search over to the other side of a join on plain columns.
+    same = lambda *pairs: F.struct(*[F.col(a) for a, _ in pairs]) == F.struct(*[F.col(b) for _, b in pairs])
+    cut_again = sized_broadcast(again.select(F.col("one").alias("one_"), "cuts"), limit=1000)
+    crowded = (
+        ids.withColumn("one", first(F.col("id"))).join(cut_again, same(("one", "one_"))).withColumn("two", second(F.col("cuts"), F.col("id")))
+        .groupBy("one", "two").agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        .filter((F.col("rows") > 4 * RANGE_ROWS) & (F.col("lo") == F.col("hi")))
+        .select("one", "two", F.ceil(F.col("rows") / RANGE_ROWS).alias("parts"))
+    )
+    crowded = materialize(crowded, "fingerprint-crowded")
+    one, two, one_, two_, cuts_, parts = fresh([*docs.columns, out], "__one", "__two", "__one_", "__two_", "__cuts", "__parts")
+    cut_again, crowded = again.select(F.col("one").alias(one_), F.col("cuts").alias(cuts_)), crowded.select(F.col("one").alias(one_), F.col("two").alias(two_), F.col("parts").alias(parts))
+    placed = docs.withColumn(one, first(F.col(id_))).join(sized_broadcast(cut_again, limit=1000), same((one, one_)), "left").drop(one_)
+    placed = placed.withColumn(two, second(F.col(cuts_), F.col(id_))).join(sized_broadcast(crowded), same((one, one_), (two, two_)), "left").drop(one_, two_)
+    three = F.coalesce(F.least(F.floor((F.col(hash_) / F.lit(2.0**64) + 0.5) * F.col(parts)), F.col(parts) - 1), F.lit(0)).cast("bigint")
+    number = (F.col(one).cast("bigint") * (RANGES + 1) + F.col(two)) * F.lit(1 << 36) + three
+    return placed.withColumn(out, number).drop(one, two, cuts_, parts)
 
 
 def with_next(docs: DataFrame, columns: list[str], make: Callable[[DataFrame], DataFrame] = lambda docs: docs) -> DataFrame:
     """``docs`` (with doc_id and text) and next_<column>: the columns of the next row by doc_id; after the last, the first.
 
-    A null doc_id comes before all others; rows that share a doc_id go by the hash of their text. Each range of ids
-    gets a copy of the row that begins the next one, so one shuffle of the rows finds all neighbours. ``make`` adds
-    columns after that shuffle, so that they need not be part of it.
+    A null doc_id comes before all others; rows that share a doc_id go by the hash of their text, equal rows in any
+    order. An empty table gives an empty result. Each range of ids gets a copy of the row that begins the next one, so
+    one shuffle of the rows finds all neighbours. ``make`` adds columns after that shuffle, so that they need not be part
+    of it. Columns may have any names; those named like an output are replaced.
     """
-    docs = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    place, _ = _ranges(docs)
-    docs = docs.withColumn("__range", place)
-    firsts = docs.groupBy("__range").agg(F.min(F.struct("__id", "__hash")).alias("first")).select("__range", "first.__id", "first.__hash")
-    around = Window.orderBy("__range")
+    outputs = [f"next_{c}" for c in columns]
+    docs = docs.select(*map(col, others(docs.columns, *outputs)))
+    id_, hash_, range_, before, copy, extra = fresh(docs.columns, "__id", "__hash", "__range", "__before", "__copy", "__extra")
+    docs = docs.withColumn(id_, sid("doc_id")).withColumn(hash_, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    docs = with_ranges(docs, id_, hash_, range_)
+    firsts = docs.groupBy(range_).agg(F.min(F.struct(F.col(id_).alias("i"), F.col(hash_).alias("h"))).alias("first")).select(range_, F.col("first.i").alias(id_), F.col("first.h").alias(hash_))
+    around = Window.orderBy(range_)
     everything = Window.partitionBy(F.lit(0))
-    firsts = firsts.withColumn("__before", F.coalesce(F.lag("__range").over(around), F.max("__range").over(everything)))
-    marked = docs.join(F.broadcast(firsts), ["__range", "__id", "__hash"], "left")  # 2 * MOST_RANGES rows at most
-    copied = marked.withColumn("__copy", F.explode(F.when(F.col("__before").isNull(), F.array(F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra")), F.struct(F.col("__before").alias("range"), F.lit(1).alias("extra"))))))
-    copied = copied.withColumn("__range", F.col("__copy.range")).withColumn("__extra", F.col("__copy.extra"))
-    copied = make(copied.repartition("__range"))
-    order = Window.partitionBy("__range").orderBy("__extra", "__id", "__hash")
-    return copied.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter("__extra = 0").drop("__id", "__hash", "__range", "__before", "__copy", "__extra")
+    firsts = materialize(firsts.withColumn(before, F.coalesce(F.lag(range_).over(around), F.max(range_).over(everything))), "fingerprint-firsts")
+    marked = docs.join(sized_broadcast(firsts), [range_, id_, hash_], "left")  # a row for about RANGE_ROWS rows
+    own = F.struct(F.col(range_).alias("range"), F.lit(0).alias("extra"))
+    copied = marked.withColumn(copy, F.explode(F.when(F.col(before).isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col(before).alias("range"), F.lit(1).alias("extra"))))))
+    copied = copied.withColumn(range_, F.col(f"{copy}.range")).withColumn(extra, F.col(f"{copy}.extra"))
+    copied = make(copied.repartition(range_))
+    order = Window.partitionBy(range_).orderBy(extra, id_, hash_)
+    return copied.withColumns({f"next_{c}": F.lead(col(c)).over(order) for c in columns}).filter(F.col(extra) == 0).drop(id_, hash_, range_, before, copy, extra)

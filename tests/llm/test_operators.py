@@ -621,6 +621,21 @@ def test_neighbours_over_ranges(spark, monkeypatch):
     assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
 
 
+@pytest.mark.parametrize("ranges", [2, 8, 4096])
+def test_neighbours_of_crowded_ids(spark, monkeypatch, ranges):
+    """Clustered ids and one id on very many rows: ranges hold about RANGE_ROWS rows all the same."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+    monkeypatch.setattr(fingerprints, "RANGES", ranges)
+    ids = [*range(100), *range(10**15, 10**15 + 300, 7), *[77] * 120, *[None] * 60, -(10**18)]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    rows = df.withColumn("h", F.xxhash64("text")).collect()
+    order = [r.text for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
+    assert {r.text: r.next_text for r in fingerprints.with_next(df, ["text"]).collect()} == dict(zip(order, [*order[1:], order[0]], strict=True))
+    placed = fingerprints.with_ranges(df.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("h")), "i", "h", "r")
+    most = max(n for _, n in placed.groupBy("r").count().collect())
+    assert ranges == 2 or most <= 40  # two cuts of two make few ranges
+
+
 def test_fingerprints_awkward(awkward, empty):
     made = fingerprints.add_fingerprint(awkward, "text", "score")
     assert made.count() == len(AWKWARD)
