@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WS, materialize, sized_broadcast
+from .common import NULL_ID, WS, col, fresh, materialize, sized_broadcast
 
 #: Ranges of the shuffled order in each source, and of the virtual time.
 RANGES = 4096
@@ -22,7 +22,7 @@ RANGES = 4096
 
 def word_count(text: str = "text") -> Column:
     """Number of runs of characters that are not white space (null: 0)."""
-    gaps = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^{WS}]+", "\x01")
+    gaps = F.regexp_replace(F.coalesce(col(text), F.lit("")), f"[^{WS}]+", "\x01")
     return (F.length(F.regexp_replace(gaps, f"[{WS}]+", ""))).cast("long")
 
 
@@ -63,15 +63,16 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, copies.
+    """One row per input row: doc_id, source, size, source_size, target, taken, copies, content (hash of the text).
 
     size: words of the text (null or empty: 0). taken: words that the mix takes of the row, repeats counted; the copy
     at which the budget ends counts in part. copies: how often the row is taken, in part or whole. Null sources are
-    one source, the last. Repeated rows are rows of their own (equal ones share what is taken in a fixed order, as
-    ties are broken by id and size only, they may swap). An empty table gives an empty result. The order depends on
-    doc_id and ``seed`` only, so reruns agree.
+    one source, the last. Repeated rows are rows of their own; those with one id go by size and the hash of the text, and
+    only rows that are equal in all that may swap. An empty table gives an empty result. The order depends on the rows
+    and ``seed`` only, so reruns agree.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    content = F.xxhash64(F.coalesce(col(text), F.lit("")))
+    base = docs.select(col(doc_id).cast("long").alias("doc_id"), col(source).cast("string").alias("source"), word_count(text).alias("size"), content.alias("content"))
     base = base.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     base = base.withColumn("row", F.monotonically_increasing_id())
     base = materialize(base.withColumn("range", F.conv(F.substring("place", 1, 3), 16, 10).cast("int")), "mix-sizes")
@@ -85,7 +86,7 @@ def mix(
         .join(key(ranges), ["_s", "_n", "range"])
         .join(sized_broadcast(key(plan)), ["_s", "_n"])
     )
-    inside = Window.partitionBy("_s", "_n", "range").orderBy("place", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_s", "_n", "range").orderBy("place", "doc_id", "size", "content", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.col("ahead") + F.sum("size").over(inside))
     copies = (
         placed.filter("size > 0 and target > 0")
@@ -113,12 +114,25 @@ def mix(
         base.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
         .join(sized_broadcast(key(plan)), ["_s", "_n"])
         .join(taken, "row", "left")
-        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"))
+        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), "content")
     )
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: ``docs`` with one row for each copy taken. Rows with the same doc_id are taken alike."""
-    mixed = mix(docs, **options).filter("copies > 0").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).agg(F.max("copies").alias("__copies"))
-    key = F.coalesce(F.col(options.get("doc_id", "doc_id")).cast("long"), F.lit(NULL_ID))
-    return docs.withColumn("__id", key).join(mixed, "__id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: ``docs`` with one row for each copy taken. Rows that are equal in id, source and text share their
+    copies evenly, the first ones rounded up; see ``mix`` for nulls and empty texts. Columns may have any names."""
+    mixed = mix(docs, doc_id=doc_id, text=text, source=source, **options)
+    names = fresh(docs.columns, "__id", "__source", "__content", "__copies", "__rows", "__copy")
+    id_, from_, content, copies, rows, copy = names
+    keys = [F.coalesce("doc_id", F.lit(NULL_ID)).alias(id_), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias(from_), F.col("content").alias(content)]
+    mixed = mixed.groupBy(*keys).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).filter(F.col(copies) > 0)
+    own = [F.coalesce(col(doc_id).cast("long"), F.lit(NULL_ID)), F.coalesce(F.concat(F.lit("s"), col(source).cast("string")), F.lit("")), F.xxhash64(F.coalesce(col(text), F.lit("")))]
+    marked = docs.withColumns(dict(zip((id_, from_, content), own, strict=True)))
+    once = marked.join(mixed.filter(F.col(rows) == 1), [id_, from_, content])
+    several = mixed.filter(F.col(rows) > 1)
+    if several.limit(1).count():  # equal rows: number them, and deal the copies out
+        among = Window.partitionBy(id_, from_, content).orderBy(F.lit(0))
+        dealt = marked.join(several, [id_, from_, content]).withColumn(copy, F.row_number().over(among))
+        share = F.floor((F.col(copies) + F.col(rows) - F.col(copy)) / F.col(rows))
+        once = once.unionByName(dealt.withColumn(copies, share).filter(F.col(copies) > 0).drop(copy))
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*map(col, docs.columns))
