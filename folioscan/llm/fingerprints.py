@@ -81,7 +81,7 @@ def likeness(a: str, b: str) -> Column:
 
 def _place(bounds: Column, value: Column) -> Column:
     """How many of the ascending ``bounds`` are not above ``value``: a binary search."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(RANGES.bit_length()))])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(RANGES.bit_length() + 2))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= value), at + step).otherwise(at))
 
 
@@ -101,7 +101,11 @@ def with_ranges(docs: DataFrame, id_: str, hash_: str, out: str) -> DataFrame:
     first = lambda i: _place(cuts, i)
     again = ids.withColumn("one", first(F.col("id"))).groupBy("one").agg(F.count("*").alias("rows"), F.percentile_approx("id", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts"))
     again = again.filter(F.col("rows") > 4 * RANGE_ROWS).select("one", F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(RANGES - 1), F.col("rows") / RANGE_ROWS).cast("int")), lambda i: F.get("cuts", F.floor(i * F.lit(RANGES) / (F.least(F.lit(RANGES - 1), F.col("rows") / RANGE_ROWS).cast("int") + 1)).cast("int") - 1))).alias("cuts"))
-    again = materialize(again, "fingerprint-cuts")
+    # Ids that many rows share get cuts of their own, before and after them.
+    heavy = ids.groupBy("id").count().filter(F.col("count") > 4 * RANGE_ROWS).withColumn("one", first(F.col("id")))
+    heavy = heavy.groupBy("one").agg(F.flatten(F.collect_list(F.array("id", F.col("id") + 1))).alias("more"))
+    again = materialize(again, "fingerprint-cuts").join(materialize(heavy, "fingerprint-heavy"), "one", "left")
+    again = materialize(again.select("one", F.array_sort(F.array_distinct(F.concat("cuts", F.coalesce("more", F.expr("cast(array() as array<bigint>)"))))).alias("cuts")), "fingerprint-cuts")
     second = lambda c, i: F.coalesce(_place(c, i), F.lit(0))
     # Keys are compared as structs: Spark would carry the search over to the other side of a join on plain columns.
     same = lambda *pairs: F.struct(*[F.col(a) for a, _ in pairs]) == F.struct(*[F.col(b) for _, b in pairs])
@@ -118,7 +122,7 @@ def with_ranges(docs: DataFrame, id_: str, hash_: str, out: str) -> DataFrame:
     placed = docs.withColumn(one, first(F.col(id_))).join(sized_broadcast(cut_again, limit=1000), same((one, one_)), "left").drop(one_)
     placed = placed.withColumn(two, second(F.col(cuts_), F.col(id_))).join(sized_broadcast(crowded), same((one, one_), (two, two_)), "left").drop(one_, two_)
     three = F.coalesce(F.least(F.floor((F.col(hash_) / F.lit(2.0**64) + 0.5) * F.col(parts)), F.col(parts) - 1), F.lit(0)).cast("bigint")
-    number = (F.col(one).cast("bigint") * (RANGES + 1) + F.col(two)) * F.lit(1 << 36) + three
+    number = (F.col(one).cast("bigint") * (8 * RANGES) + F.col(two)) * F.lit(1 << 36) + three
     return placed.withColumn(out, number).drop(one, two, cuts_, parts)
 
 
