@@ -127,7 +127,8 @@ def map_text(
     kept = others(df.columns, *[f.name for f in outputs])
     column = next((c for c in df.columns if c.lower() == column.lower()), column)
     read = kept if column in kept else [*kept, column]
-    schema = T.StructType([*[df.schema[c] for c in kept], *outputs])
+    # Names with dots can't go through mapInArrow, so columns go by number.
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*[df.schema[c] for c in kept], *outputs])])
     kinds = [ARROW[f.dataType.simpleString()] for f in outputs]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +137,13 @@ def map_text(
             made = apply(batch.column(read.index(column)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(read.index(c)) for c in kept], *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]],
-                names=[*kept, *[f.name for f in outputs]],
+                names=schema.names,
             )
         del apply
         release()
 
-    return df.select(*map(col, read)).mapInArrow(run, schema)
+    made = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(read)]).mapInArrow(run, schema)
+    return made.toDF(*kept, *[f.name for f in outputs])
 
 
 ARROW = {

@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NULL_ID, distinct, materialize, release, sid, sized_broadcast, skew_safe_left_join
+from .common import NULL_ID, col, distinct, fresh, map_text, materialize, release, sid, sized_broadcast, skew_safe_left_join
 from .components import components
 
 #: Contract values: words of a shingle, and the similarity in hundredths.
@@ -564,8 +565,9 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def linked_nodes(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (node, class_id, component_id, members) of each set, and (doc_id, n, node) of each row."""
-    docs = docs.select(sid(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """Written tables: (node, root, class_id, component_id, members) of each set, root being one of its component, and
+    (doc_id, n, node) of each row."""
+    docs = docs.select(sid(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     n_words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6  # a word and its space are six characters or so
     counted_bits = fragment_bits(n_words)
     found = materialize(summaries(docs, words, counted_bits, max(1.0, n_words / CHUNK)), "ngram-summaries")
@@ -595,5 +597,37 @@ def linked_nodes(docs: DataFrame, words: int, percent: int, doc_id: str, text: s
             roots = materialize(components(links.unionByName(more)), "ngram-roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    nodes = rooted.join(named, "root").select("node", F.col("doc_id").alias("class_id"), "component_id", "members")
+    nodes = rooted.join(named, "root").select("node", "root", F.col("doc_id").alias("class_id"), "component_id", "members")
     return materialize(nodes, "ngram-nodes"), rows
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each component of ``link_components``.
+
+    The row with the smallest doc_id stays (null comes first); where rows of one component share it, the one with the
+    smallest set hash, and one of equal rows. Rows without words all stay. Rows that share a doc_id with a dropped row but
+    not its component stay. Columns may have any names.
+    """
+    nodes, rows = linked_nodes(docs, words, percent, doc_id, text)
+    first = nodes.groupBy("root").agg(F.min(F.struct("class_id", "node")).alias("first")).select("first.*").withColumnRenamed("class_id", "kept_id")
+    nodes = materialize(nodes.select("node", "members").join(first, "node", "left"), "ngram-kept")
+    found = skew_safe_left_join(rows.filter("n > 0"), nodes, ["node"], "members")
+    gone = materialize(found.filter("kept_id is null or doc_id <> kept_id").select("doc_id", "node").distinct(), "ngram-gone")
+    id_, node, n, twin, same = fresh(docs.columns, "__id", "__node", "__n", "__twin", "__same")
+    marked = docs.withColumn(id_, sid(doc_id))
+    if not rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return marked.join(sized_broadcast(gone.select(F.col("doc_id").alias(id_))), id_, "left_anti").drop(id_)
+
+    def make():
+        known = _WordHashes()
+
+        def sets(texts):
+            found = [shingles(x, words, known) for x in texts]
+            return [set_id(s) if len(s) else None for s in found], [len(s) for s in found]
+
+        return sets
+
+    marked = map_text(marked, make, text, [T.StructField(node, T.LongType()), T.StructField(n, T.LongType())])
+    left = marked.join(sized_broadcast(gone.select(F.col("doc_id").alias(twin), F.col("node").alias(same))), (F.col(id_) == F.col(twin)) & F.col(node).eqNullSafe(F.col(same)), "left_anti")
+    once = left.filter(F.col(n) > 0).dropDuplicates([id_, node]).union(left.filter(F.col(n) == 0))
+    return once.select(*map(col, docs.columns))

@@ -156,13 +156,13 @@ def score(docs: DataFrame, models: DataFrame, text: str = "text", role: str = "r
     totals, vocabulary = {"background": sums[0], "target": sums[1]}, max(VOCABULARY, sums[2])
     out = [T.StructField("n_words", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score")]]
     kept = others(docs.columns, block, role, *[f.name for f in out])
-    block_, text_, role_ = fresh(kept, "__block", "__text", "__role")
+    numbered = [f"c{i}" for i in range(len(kept) + len(out))]  # names with dots can't go through cogroup
     known = _Ids()
 
     def losses(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        own, answers = _Block(docs.column(text_).to_pylist(), known), answers.sort_by("range")
+        own, answers = _Block(docs.column("text").to_pylist(), known), answers.sort_by("range")
         owner, means = np.repeat(np.arange(len(own.sizes)), own.sizes), []
-        roles = np.array(docs.column(role_).to_pylist(), np.int64)
+        roles = np.array(docs.column("role").to_pylist(), np.int64)
         for name, number in (("target", TARGET), ("background", BACKGROUND)):
             n = np.concatenate([_unpack(x.as_py()).astype(np.int64) for x in answers.column(name)])
             word, context, pair, total = n[own.word], n[own.context], n[own.pair], np.full(len(owner), totals[name])
@@ -175,11 +175,12 @@ def score(docs: DataFrame, models: DataFrame, text: str = "text", role: str = "r
             means.append(np.bincount(owner, loss, len(own.sizes)) / np.maximum(own.sizes, 1))
         release()
         made = [own.sizes, *means, means[1] - means[0]]
-        return pa.table([*[docs.column(c) for c in kept], *[pa.array(x, ARROW[f.dataType.simpleString()]) for x, f in zip(made, out, strict=True)]], [*kept, *[f.name for f in out]])
+        return pa.table([*[docs.column(c) for c in numbered[: len(kept)]], *[pa.array(x, ARROW[f.dataType.simpleString()]) for x, f in zip(made, out, strict=True)]], numbered)
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], *out])
-    read = docs.select(col(block).alias(block_), col(text).alias(text_), col(role).alias(role_), *map(col, kept))
-    return read.groupBy(block_).cogroup(models.select("block", "range", "background", "target").groupBy("block")).applyInArrow(losses, schema)
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(numbered, [*[docs.schema[c] for c in kept], *out], strict=True)])
+    read = docs.select(col(block).alias("block"), col(text).alias("text"), col(role).alias("role"), *[col(c).alias(n) for c, n in zip(kept, numbered, strict=False)])
+    scored = read.groupBy("block").cogroup(models.select("block", "range", "background", "target").groupBy("block")).applyInArrow(losses, schema)
+    return scored.toDF(*kept, *[f.name for f in out])
 
 
 def with_roles(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", role: str = "role") -> DataFrame:

@@ -134,5 +134,5 @@ def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
         among = Window.partitionBy(id_, from_, content).orderBy(F.lit(0))
         dealt = marked.join(several, [id_, from_, content]).withColumn(copy, F.row_number().over(among))
         share = F.floor((F.col(copies) + F.col(rows) - F.col(copy)) / F.col(rows))
-        once = once.unionByName(dealt.withColumn(copies, share).filter(F.col(copies) > 0).drop(copy))
+        once = once.union(dealt.withColumn(copies, share).filter(F.col(copies) > 0).drop(copy))
     return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*map(col, docs.columns))

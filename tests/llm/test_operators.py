@@ -188,6 +188,58 @@ def test_jaccard_groups(spark, monkeypatch):
     assert got == linked(rows) and len({c for _, _, c in got}) > 3
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """A row that shares its id with a dropped one but links with nothing stays; rows without words stay."""
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, t), (2, t + " more"), (2, "a text of its own altogether"), (3, "x " + t), (3, "x " + t), (None, "one two"), (None, "one two"), (None, None), (None, None), (5, ""), (4, "some other words here too"), (4, "some other words here too")]
+    df = spark.createDataFrame([(i, x, "s") for i, x in rows], "doc_id long, text string, `a.b` string")
+    out = jaccard.drop_near_duplicates(df)
+    want = Counter([(1, t), (2, "a text of its own altogether"), (None, "one two"), (None, None), (None, None), (5, ""), (4, "some other words here too")])
+    assert out.columns == df.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    some = df.filter("doc_id in (1, 2, 5)").filter("text <> 'a text of its own altogether'")
+    assert Counter((r.doc_id, r.text) for r in jaccard.drop_near_duplicates(some).collect()) == Counter([(1, t), (5, "")])
+
+
+NAMES = ["Score", "a.b", "__s", "__id", "__hash", "__x", "Kept", "c d`e", "N_Lines", "__m_email", "__uid", "node", "TEXT2"]
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    """Columns that are called like outputs in another case, like helpers, or with dots, spaces and quotes."""
+    import corpus_pipeline as P
+
+    rows = [(*r, *range(len(NAMES))) for r in AWKWARD]
+    schema = ", ".join(["doc_id long, text string, lang string, source string", *[f"`{n.replace('`', '``')}` int" for n in NAMES]])
+    df = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (6, 0, 1), (7, 1, 0)], "doc_id long, toxic int, quality int")
+    whole = {n: i for i, n in enumerate(NAMES)}
+    made = {
+        "bpe": (bpe.encode(df, PATH, PATTERN), ()),
+        "toxicity": (toxicity.classify(df, toxicity.fit(df, labels)), ("score",)),
+        "pii": (pii.find_personal_data(df), ()),
+        "exact": (exact_dedup.drop_exact_duplicates(df), ()),
+        "near": (jaccard.drop_near_duplicates(df), ()),
+        "mix": (mixing.take(df), ()),
+        "lm": (lm_scoring.score_by_quality(df, labels), ("score",)),
+        "syncmers": (fingerprints.add_fingerprint(fingerprints.with_next(df, ["text"]), "text", "print"), ()),
+        "lines": (line_dedup.drop_repeated_lines(df), ("n_lines",)),
+        "suffix": (suffix_dedup.drop_repeated_strings(df), ("kept",)),
+    }
+    for name, (out, replaced) in made.items():
+        got = out.toPandas()
+        assert len({c.lower() for c in got.columns}) == len(got.columns), name
+        for n, value in whole.items():
+            if n.lower() not in replaced:
+                assert len(got) and (got[n] == value).all(), (name, n)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for k, docs in enumerate((df, df.limit(0))):
+        for j, (_, stage) in enumerate(P.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(path := str(tmp_path / f"{k}-{j}"))
+            docs = spark.read.parquet(path)
+            assert j == 4 or docs.columns == df.columns
+        assert (docs.count() > 0) == (k == 0)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7)] + [(200, x) for x in range(201, 260)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
