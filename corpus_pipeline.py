@@ -11,36 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from folioscan.llm.common import materialize, sid, sized_broadcast, table
+from folioscan.llm.common import col, materialize, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts at the threshold of their language."""
+    """Documents that the classifier accepts at the threshold of their language. Null and empty texts are scored as texts
+    without words, a null language has the common threshold, rows that repeat are judged alike; without labels of both
+    kinds nothing goes. An empty table stays empty, columns may have any names."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return toxicity.classify(docs, model).filter(~F.col("rejected")).select(*map(col, docs.columns)) if model.constant is None else docs
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
+    """Of texts that are equal but for runs of white space the one with the smallest doc_id; null and empty texts are
+    equal, a null doc_id stays only where all of its group are null. Other columns decide nothing."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are linked by five-word shingles at 0.75 or more, the smallest doc_id."""
-    groups = materialize(jaccard.link_components(docs.select("doc_id", "text")), "pipeline-groups")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(sid().alias("_gone")).distinct()
-    return docs.join(sized_broadcast(gone), sid() == F.col("_gone"), "left_anti")
+    """Of each group of documents that are linked by five-word shingles at 0.75 or more, the smallest doc_id (null first).
+    Texts without words stay; rows that share an id are judged by their own texts."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources with weights 5, 2, 1: one row for each copy that it takes of a document."""
+    """The mix of sources with weights 5, 2, 1: one row for each copy that it takes of a document. Null sources are one
+    source, the last; texts without words are never taken."""
     return mixing.take(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the ids of the whole text (packed little-endian unsigned 32-bit integers)."""
+    """doc_id, source, n_tokens and the ids of the whole text (packed little-endian unsigned 32-bit integers). A null text
+    has no ids; rows are independent."""
     encoded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
