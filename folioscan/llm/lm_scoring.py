@@ -13,11 +13,11 @@ answers meet the block's texts. So tables grow with the corpus, and memory only
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +40,7 @@ _words = re.compile(r"\w+|[^\w\s]").findall
 
 class _Ids(dict):
     def __missing__(self, word: str) -> int:
-        out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1 or 1
+        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1 or 1
         if len(self) < 300_000:
             self[word] = out
         return out
@@ -48,7 +48,10 @@ class _Ids(dict):
 
 def word_ids(text: str | None, known: dict) -> np.ndarray:
     """0, which begins a text, then the 63-bit hashes of its words (runs of word characters, or single signs) in lower case."""
-    return np.array([0, *map(known.__getitem__, _words((text or "").lower()))], np.int64)
+    words = _words((text or "").lower())
+    out = np.zeros(len(words) + 1, np.int64)
+    out[1:] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return out
 
 
 def _mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
