@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -107,10 +109,20 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[new]
 
 
-def release() -> None:
-    """Give memory of a finished task back: workers are kept, and other stages need the room."""
+#: What workers keep from task to task, by the owner's name: functions that give it up.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release(owner: str = "") -> None:
+    """Give memory of a finished task back, and what operators other than ``owner`` keep: workers live on, and other
+    stages need the room."""
+    for name, clear in KEPT.items():
+        if name != owner:
+            clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_text(
@@ -118,11 +130,12 @@ def map_text(
     make: Callable[[], Callable[[list], Sequence]],
     column: str,
     outputs: Sequence[T.StructField],
+    owner: str = "",
 ) -> DataFrame:
     """Append ``outputs`` computed from ``column`` batch by batch.
 
     ``make`` runs once in each task and returns a function from a list of values to one list (or Arrow array) an
-    output. Input columns named like an output (in any case) are replaced; all other columns pass through.
+    output; what ``owner`` keeps from task to task stays. Input columns named like an output (in any case) are replaced; all other columns pass through.
     """
     kept = others(df.columns, *[f.name for f in outputs])
     column = next((c for c in df.columns if c.lower() == column.lower()), column)
@@ -132,6 +145,7 @@ def map_text(
     kinds = [ARROW[f.dataType.simpleString()] for f in outputs]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
         apply = make()
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             made = apply(batch.column(read.index(column)).to_pylist())
@@ -140,7 +154,7 @@ def map_text(
                 names=schema.names,
             )
         del apply
-        release()
+        release(owner)
 
     made = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(read)]).mapInArrow(run, schema)
     return made.toDF(*kept, *[f.name for f in outputs])

@@ -106,6 +106,7 @@ def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    release()
     known = _WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
