@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from functools import lru_cache
 
 import pandas as pd
@@ -214,11 +216,14 @@ def singular(word: str) -> str:
     return word[:-1] if len(word) > 3 and word[-1] in "sx" else word
 
 
+@functools.lru_cache(1 << 17)
 def stem(word: str) -> str:
     return snowball(singular(word))
 
 
 @F.pandas_udf(T.StringType())
 def stem_column(words: pd.Series) -> pd.Series:
-    """Stems of lower-case words. Meant for rows that are distinct already, such as words counted by document."""
-    return words.map(stem, na_action="ignore")
+    """Stems of lower-case words. Each different word of a batch is looked up once, and frequent ones are remembered."""
+    codes, different = pd.factorize(words)
+    stems = pd.Series([*map(stem, different), None], dtype=object)
+    return stems.take(codes).reset_index(drop=True)  # a null has code -1

@@ -89,7 +89,8 @@ _SNAPSHOTS = f"""files as ({_DOC_FILES}), known as (select * from files where id
     actions as (select coalesce(n.path, k.path) as path, k.id as id,
                 case when k.path is null then 'new' when n.path is null then 'removed' when n.size = k.size and n.mtime = k.mtime then 'unchanged' else 'changed' end as action
                 from now n full join known k on n.path = k.path)"""
-_HTML = r"<(?:\s*script/*(?:\s[^>]*)?>.*?(?:</script[^>]*(?:>|\z)|\z)|\s*style/*(?:\s[^>]*)?>.*?(?:</style[^>]*(?:>|\z)|\z)|([^>]*)>)"
+#: Pieces of HTML: scripts and styles, tags, an open tag up to the end, text.
+_PIECES = r"(?is)<\s*script/*(?:\s[^>]*)?>.*?(?:</script[^>]*(?:>|\z)|\z)|<\s*style/*(?:\s[^>]*)?>.*?(?:</style[^>]*(?:>|\z)|\z)|<[^>]*>|<.*|[^<]+"
 
 
 def _named(text: str) -> str:
@@ -99,12 +100,10 @@ def _named(text: str) -> str:
 
 
 def _html() -> str:
-    s, e = "\ue000", "\ue001"
-    block = rf"{s}\s*(?:p|/p|div|/div|br|li|/li|tr|/tr|h[1-6]|/h[1-6])/*(?:\s[^{e}]*)?{e}"
-    marked = rf"regexp_replace(html, '{_HTML}', '{s}\1{e}', 'gis')"
-    lines = f"regexp_replace({marked}, '{block}', chr(10), 'gis')"
-    plain = f"regexp_replace(regexp_replace({lines}, '{s}[^{e}]*{e}', '', 'gs'), '<.*', '', 's')"
-    return f"select page_id, {_named(plain)} as text from pages"
+    block = r"(?is)<\s*(?:p|/p|div|/div|br|li|/li|tr|/tr|h[1-6]|/h[1-6])/*(?:\s[^>]*)?>"
+    piece = f"case when left(t, 1) <> '<' then t when regexp_full_match(t, '{block}') then chr(10) else '' end"
+    plain = f"array_to_string(list_transform(regexp_extract_all(html, '{_PIECES}'), lambda t: {piece}), '')"
+    return f"select page_id, {_named('plain')} as text from (select page_id, {plain} as plain from pages)"
 
 
 ORACLES: dict[str, str] = {

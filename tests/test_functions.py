@@ -71,6 +71,10 @@ def test_markup(spark):
     for text, want in (("&#65;&#x42;&nbsp;&amp;lt;", "AB &lt;"), ("&#38;amp;", "&amp;"), ("&#xD800;", "&#xD800;"), ("a & b;", "a & b;"), ("&lt;&copy;", "<&copy;")):
         assert one(spark, markup.decode_entities(F.col("t")), t=text) == want == markup.decode_text(text)
     assert one(spark, markup.html_text(F.col("t")), t="a<b") == "a" == markup.html_to_text("a<b")
+    for t in ("<p>icon \ue000 price 42 euro <b>bold</b>", "\ue001<i \ue000>\ue002a\ue002</i>\ue000c", "\ue000p\ue001 <br>x"):
+        assert one(spark, markup.html_text(F.col("t")), t=t) == markup.html_to_text(t)
+        assert one(spark, markup.xml_text(F.col("t")), t=t) == markup.xml_to_text(t)
+    assert "price 42 euro" in one(spark, markup.html_text(F.col("t")), t="<p>icon \ue000 price 42 euro <b>bold</b>")
 
 
 def test_secret_names(spark):
