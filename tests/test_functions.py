@@ -17,8 +17,8 @@ def stems(text):
 
 
 def test_plural_and_case_give_one_stem():
-    assert stems("Les CONTRATS de location") == stems("contrat location")
-    for a, b in (("loyer", "loyers"), ("contrat", "contrats"), ("crêpe", "crêpes")):
+    assert stems("Les JARDINS de ville") == stems("jardin ville")
+    for a, b in (("verger", "vergers"), ("jardin", "jardins"), ("forêt", "forêts")):
         assert stem(a) == stem(b)
 
 
@@ -35,16 +35,16 @@ def test_raw_snowball():
 
 
 def test_query_drops_fillers():
-    q = parse_query("mon contrat de location de l'an dernier")
-    assert {"contrat", "location"} <= set(q.terms) and not {"de", "mon"} & set(q.terms)
+    q = parse_query("mon jardin de ville de l'an passé")
+    assert {"jardin", "ville"} <= set(q.terms) and not {"de", "mon"} & set(q.terms)
     assert parse_query("le la").terms == ("le", "la")  # nothing else is left
     assert parse_query("").terms == ()
     assert worth_searching("ab") and not worth_searching(" a ")
 
 
 def test_snippet_ignores_accents():
-    found = snippet("Le dossier de l'élève Martin est complet.", parse_query("eleve").folded)
-    assert "\x01élève\x02" in found
+    found = snippet("Le moteur de l'hélice Alpha est neuf.", parse_query("helice").folded)
+    assert "\x01hélice\x02" in found
     assert snippet("rien", parse_query("eleve").folded) is None
     long = snippet("é " * 500 + "Martin" + " à" * 500, parse_query("martin").folded)
     assert long.startswith("…") and long.endswith("…") and "\x01Martin\x02" in long
