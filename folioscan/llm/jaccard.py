@@ -41,7 +41,7 @@ from .components import components
 #: Contract values: words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: Shingles that a Python worker holds before it passes them on, and entries of a fragment.
-CHUNK, FRAGMENT = 1_000_000, 4_000_000
+CHUNK, FRAGMENT = 600_000, 2_000_000
 #: Sets of a chunk that hold an n-gram, from which on they are counted there.
 LOCAL = 16
 #: N-grams that FREQUENT sets hold are last in a set's prefix order, most frequent last: the MOST_FREQUENT most frequent of
@@ -231,10 +231,11 @@ def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFram
         held = np.zeros(len(known), np.int64)
         held[np.searchsorted(known, grams[starts])] = times
         held[np.searchsorted(known, marked)] += np.bincount(mark, read("k", np.int32), len(marked)).astype(np.int64)
-        own = np.repeat(held[np.searchsorted(known, grams[starts])], times)
-        owner = (pairs & _LOW).astype(np.int64)
-        shared = np.bincount(owner[own > 1], minlength=len(nodes))
-        weight = np.bincount(owner, np.log2(own), len(nodes))
+        own = np.repeat(held[np.searchsorted(known, grams[starts])].astype(np.int32), times)
+        owner = (pairs[own > 1] & _LOW).astype(np.uint32)
+        shared = np.bincount(owner, minlength=len(nodes))
+        weight = np.bincount(owner, np.log2(own[own > 1]), len(nodes))
+        del pairs, grams, own, owner
         often = np.flatnonzero(held >= least)
         often = often[np.argsort(-held[often], kind="stable")[:MOST_FREQUENT]]
         keys = (np.uint64(f) << np.uint64(32) | known[often].astype(np.uint64)).view(np.int64)
@@ -242,6 +243,7 @@ def summaries(docs: DataFrame, words: int, bits: int, chunks: float) -> DataFram
         bins = _fragment(nodes[some].view(np.uint64), bits)
         some = some[np.argsort(bins, kind="stable")]
         packed = [(b, *[x[some[lo:hi]].astype(k).tobytes() for x, k in ((nodes, np.int64), (shared, np.int32), (weight, np.float32))]) for b, lo, hi in _runs(np.sort(bins))]
+        release()
         return pd.concat(
             [
                 pd.DataFrame(packed, columns=["n", "nodes", "shared", "weights"]).assign(kind=1, doc_id=0, node=0, local=0, p=0.0),
