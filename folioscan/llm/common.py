@@ -169,3 +169,6 @@ ARROW = {
     "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()),
 }
+_RUN = "struct<start:bigint,length:bigint,period:bigint>"
+ARROW[_RUN] = pa.struct([pa.field(n, pa.int64()) for n in ("start", "length", "period")])
+ARROW[f"array<{_RUN}>"] = pa.list_(ARROW[_RUN])

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, jaccard, line_dedup, lm_scoring, mixing, pii, suffix_dedup, toxicity
+from . import bpe, centroids, exact_dedup, fingerprints, jaccard, line_dedup, lm_scoring, mixing, packing, pii, runs, suffix_dedup, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +103,46 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_sha256().alias("centroid_sha256"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents of the contract: in some of them the words from one on repeat a period."""
+    h, word = F.crc32(F.col("doc_id").cast("string").cast("binary")), r"[^\x20\x09-\x0D]+"
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(word), F.lit(0)))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(repeated, F.lit(1), rest)), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("collapsed"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")), "collapsed")
+    best = F.col("best")
+    return found.withColumn("best", runs.longest("runs")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(runs.runs_text("runs"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path(TOKENIZER))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,9 +161,39 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit_packing": op13_best_fit_packing,
     "pipeline": pipeline,
 }
 
+
+
+def _lloyd_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, one pair of common table expressions each. ``c0`` are the first centroids."""
+    gap = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = f"select *, {gap}::bigint as d from v, c%d"
+    steps = [
+        f"""a{r} as materialized (select i, v, arg_min(k, (d, k)) as k from ({nearest % r}) group by i, v),
+            s{r} as (select k, j, sum(v[j])::bigint as s, count(*) as n from a{r}, range(1, 65) t(j) group by k, j),
+            m{r} as (select k, list((s - ((s % n) + n) % n) // n order by j) as c from s{r} group by k),
+            c{r + 1} as materialized (select k, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (k))"""
+        for r in range(rounds)
+    ]
+    return rf"""
+        with v as materialized (
+               select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+               where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+             c0 as materialized (
+               select row_number() over (order by h, v) - 1 as k, v as c
+               from (select sha256('2:' || coalesce(vec_id::varchar, '')) as h, v from v order by h, v limit {clusters})),
+             {", ".join(steps)},
+             f as materialized (select vec_id, i, arg_min(k, (d, k)) as k, min(d) as d, arg_min(c, (d, k)) as c from ({nearest % rounds}) group by vec_id, i)
+        select vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia,
+               (sum(d) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+        from f"""
+
+
 #: DuckDB SQL for the same rows, where SQL can say it.
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -162,6 +233,7 @@ ORACLES = {
         select doc_id, count(*)::bigint as n_lines, count(*) filter (lost)::bigint as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by n) filter (not lost), '')) as kept_sha256
         from m group by doc_id""",
+    "op11_centroid_clustering": _lloyd_sql(),
 }
 
 
