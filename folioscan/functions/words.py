@@ -44,6 +44,14 @@ def is_indexed_word(word: Column) -> Column:
     return ~is_stop(word) & (F.length(word) <= LONGEST)
 
 
+def query_words(text: Column) -> Column:
+    """The different words that a query searches for, in order, as ``parse_query`` finds them: no stop words and query
+    fillers; if nothing is left, all words of two characters up."""
+    every = words(text)
+    kept = F.filter(every, lambda w: ~is_stop(w) & ~w.isin(*QUERY_STOP_WORDS))
+    return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(F.filter(every, lambda w: F.length(w) >= 2)))
+
+
 def light_stem(word: Column) -> Column:
     """Plural stripping: words of more than three characters lose one final s or x."""
     return F.when(F.length(word) > 3, F.regexp_replace(word, "[sx]$", "")).otherwise(word)

@@ -11,8 +11,11 @@ from ..functions.snippet import snippet_column
 from ..functions.stemmer import singular, stem
 from ..functions.words import QUERY_STOP_WORDS, fold_text, is_stop_word, split_words
 from ..plans.postings import phrases, scored
+from ..sources.tables import lookup
 
 DEFAULT_LIMIT = 10
+#: Texts (of 3 MB at most) that are sent to the tasks which show them; more are joined by a shuffle.
+MOST_SENT = 50
 
 
 @dataclass(frozen=True)
@@ -67,9 +70,15 @@ def ranked(found: DataFrame, files: DataFrame, limit: int) -> DataFrame:
 
 
 def hits(top: DataFrame, files: DataFrame, texts: DataFrame, query: Query, limit: int) -> DataFrame:
-    """path, name, ext, size, mtime, snippet, score, rank of the ranked files. Bodies are fetched for these only."""
-    few = F.broadcast(top.select("file_id", "score", "rank"))  # ``limit`` rows
-    found = files.withColumnRenamed("id", "file_id").join(few, "file_id")
-    bodies = texts.join(F.broadcast(top.select("file_id")), "file_id", "left_semi")
+    """path, name, ext, size, mtime, snippet, score, rank of the ranked files.
+
+    The ranked rows are collected, ``limit`` of them at most, and their ids looked up: of tables that are kept by id
+    (``write_keyed``) only the parts that hold them are read.
+    """
+    spark, rows = files.sparkSession, top.select("file_id", "score", "rank").limit(limit).collect()
+    ids = [r.file_id for r in rows]
+    few = F.broadcast(spark.createDataFrame(rows, "file_id long, score double, rank int"))
+    found = lookup(files, "id", ids).withColumnRenamed("id", "file_id").join(few, "file_id")
+    bodies = F.broadcast(lookup(texts, "file_id", ids)) if len(ids) <= MOST_SENT else lookup(texts, "file_id", ids)
     shown = found.join(bodies, "file_id", "left")
     return shown.select("path", "name", "ext", "size", "mtime", snippet_column(F.col("body"), query.folded).alias("snippet"), "score", "rank").orderBy("rank")

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import display, markup, words
 from ..operators import search
 from ..operators.search import matching, parse_query, ranked
-from ..sources import names
+from ..sources import names, tables
+from . import blocks as K
 from . import postings as P
 from . import sync as S
 
@@ -240,6 +242,53 @@ def search_text_before_name_only(spark, sf_dir):
 PART_QUERY = "blue src1 edinst"
 
 
+def _search_blocks(spark, sf_dir, files: DataFrame, text: str, mode: str, limit: int = 30) -> DataFrame:
+    q = parse_query(text, "light")
+    blocked, blocks, totals = K.indexed(files, document_texts(spark, sf_dir), "light")
+    top, every = K.best_files(blocked, blocks, q.terms, q.stems, totals, limit, mode)
+    return top.select("rank", F.col("file_id").alias("id"), "n_terms", F.round("score", 6).alias("score"), F.lit(every).alias("every_word"))
+
+
+def search_top_and(spark, sf_dir):
+    return _search_blocks(spark, sf_dir, document_files(spark, sf_dir), BOTH, "and")
+
+
+def search_top_or(spark, sf_dir):
+    return _search_blocks(spark, sf_dir, document_files(spark, sf_dir), ANY, "or")
+
+
+def search_top_fallback(spark, sf_dir):
+    return _search_blocks(spark, sf_dir, document_files(spark, sf_dir), NOWHERE, "fallback")
+
+
+def search_top_text_first(spark, sf_dir):
+    return _search_blocks(spark, sf_dir, all_files(spark, sf_dir), PART_QUERY, "or")
+
+
+def search_many(spark, sf_dir):
+    """What users of conversations say, each turn as a query over documents and pictures."""
+    said = _table(spark, sf_dir, "conversations").filter("role = 'user'")
+    queries = said.select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), "text")
+    blocked, _, totals = K.indexed(all_files(spark, sf_dir), document_texts(spark, sf_dir), "light")
+    found = K.best_files_of_many(blocked, queries, totals, 10, "fallback", "light")
+    return found.withColumnRenamed("file_id", "id").withColumn("score", F.round("score", 6))
+
+
+def hit_lookup(spark, sf_dir):
+    """Files and whole texts of the hits, looked up in tables that are kept by id."""
+    folder, q = f"{tables.shared_dir(spark)}/keyed-{uuid.uuid4().hex}", parse_query(ANY, "light")
+    files, texts = all_files(spark, sf_dir), document_texts(spark, sf_dir)
+    blocked, blocks, totals = K.indexed(files, texts, "light")
+    tables.write_keyed(files, f"{folder}/files", "id", ["path"])
+    tables.write_keyed(texts, f"{folder}/texts", "file_id")
+    files, texts = (spark.read.parquet(f"{folder}/{n}") for n in ("files", "texts"))
+    top, _ = K.best_files(blocked, blocks, q.terms, q.stems, totals, 30, "or")
+    ranks = [(r.file_id, r.rank) for r in top.collect()]  # 30 rows
+    ids = [i for i, _ in ranks]
+    shown = tables.lookup(files, "id", ids).join(tables.lookup(texts, "file_id", ids).withColumnRenamed("file_id", "id"), "id")
+    return shown.join(F.broadcast(spark.createDataFrame(ranks, "id long, rank int")), "id").select("rank", "id", "path", "size", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def search_stemmed(spark, sf_dir):
     return _search(spark, sf_dir, document_files(spark, sf_dir), ANY, "or", "french")
 
@@ -278,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         word_counts, stop_filtered_terms, plural_stripped_terms, accent_folded_terms, name_words, html_text, html_entities, xml_text,
         sensitive_names, excluded_paths, extension_status, roots, total_files, index_stats, known_files, sync_plan, sync_report, forget_root,
         root_adoption, root_overlap, status_migration, posting_list, doc_lengths, doc_freq, search_and, search_or, search_fallback,
-        search_text_before_name_only, search_hits, search_stemmed, search_passages, hit_display,
+        search_text_before_name_only, search_top_and, search_top_or, search_top_fallback, search_top_text_first, search_many,
+        search_hits, hit_lookup, search_stemmed, search_passages, hit_display,
     )
 }

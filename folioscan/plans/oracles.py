@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from ..functions.words import STOP_WORDS, _FROM, _TO
-from ..operators.search import parse_query
-from ..sources import names as N
 from . import catalogue as C
 
+# Fixed values, written here once more, so that one that is missing in the library shows.
+STOP_WORDS = """le la les un une des du de et ou en au aux ce ces cet cette mon ma mes ton ta tes son sa ses notre nos votre vos leur leurs
+    je tu il elle on nous vous ils elles qui que quoi dont où ne pas plus sur sous dans par pour avec sans chez est sont été être avoir ai as
+    avons ont se ça cela ceci mais donc car ni si the of and to in is for with""".split()
+QUERY_STOP_WORDS = "fichier fichiers dossier dossiers document documents cherche chercher trouve trouver retrouve retrouver moi veux besoin".split()
+_FROM, _TO = "àâäáãéèêëîïíôöóõùûüúçñÿ", "aaaaaeeeeiiioooouuuucny"
+SECRET_NAMES = "id_rsa id_ed25519 id_ecdsa .htpasswd credentials credentials.csv accesskeys.csv rootkey.csv passwords.csv logins.csv".split()
+SECRET_ENDINGS = [*".pem .key .p12 .pfx .kdbx .keychain .keychain-db .gpg _credentials.csv _accesskeys.csv".split(), " passwords.csv"]
+SECRET_BEGINNINGS, SECRET_PARTS = (".env", "bitwarden_export"), ("recovery-codes", "backup-codes")
+EXCLUDED_FOLDERS = ("node_modules", "__pycache__", "venv", "site-packages", "$recycle.bin", "system volume information")
+BUNDLE_ENDINGS, HOME_FOLDERS = (".app", ".framework", ".photoslibrary"), ("library", "appdata")
+READABLE = "txt md markdown csv tsv log rst html htm pdf docx pptx xlsx odt ods odp".split()
+#: Words of the registered searches that are looked for, and their stems.
+TERMS = {
+    C.BOTH: (("edinst", "edinst"), ("onst", "onst")),
+    C.ANY: (("edinst", "edinst"), ("lyer", "lyer"), ("quees", "quee")),
+    C.NOWHERE: (("onst", "onst"), ("zzzqqq", "zzzqqq")),
+    C.PART_QUERY: (("blue", "blue"), ("src1", "src1"), ("edinst", "edinst")),
+}
+
 
 def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -39,8 +56,7 @@ def _index(files: str) -> str:
 
 
 def _phrases(text: str) -> str:
-    q = parse_query(text, "light")
-    rows = [f"({2 * i + k}, {i}, '{c}', {w}, strip_accents('{x}'))" for i, (t, s) in enumerate(zip(q.terms, q.stems, strict=True)) for k, (c, w, x) in enumerate((("name", "8.0::double", t), ("stems", "1.0::double", s)))]
+    rows = [f"({2 * i + k}, {i}, '{c}', {w}, strip_accents('{x}'))" for i, (t, s) in enumerate(TERMS[text]) for k, (c, w, x) in enumerate((("name", "8.0::double", t), ("stems", "1.0::double", s)))]
     return f"phrases(phrase, term, col, weight, prefix) as (values {', '.join(rows)})"
 
 
@@ -57,7 +73,7 @@ def _found(files: str, text: str) -> str:
 
 
 def _search(files: str, text: str, mode: str, limit: int = 30) -> str:
-    n = len(parse_query(text, "light").terms)
+    n = len(TERMS[text])
     keep = {"and": f"n_terms = {n}", "or": "true", "fallback": f"n_terms = {n} or not exists (select * from found where n_terms = {n})"}[mode]
     every = {"and": "true", "or": "false", "fallback": f"exists (select * from found where n_terms = {n})"}[mode]
     return rf"""{_found(files, text)},
@@ -66,6 +82,32 @@ def _search(files: str, text: str, mode: str, limit: int = 30) -> str:
         select rank::int as rank, id, n_terms, round(score, 6) as score, {every} as every_word from top where rank <= {limit}"""
 
 
+#: Words of the users' turns as queries: without stop words and fillers, or if none is left all of two characters up.
+_ASKED = rf"""said as (select conv_id || '/' || turn as query_id, list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(w)) as ws from conversations where role = 'user'),
+    kept as (select query_id, ws, list_filter(ws, lambda w: length(w) >= 2 and w not in ({_quoted(STOP_WORDS)}) and w not in ({_quoted(QUERY_STOP_WORDS)})) as ks from said),
+    terms as (select query_id, unnest(list_distinct(case when len(ks) > 0 then ks else list_filter(ws, lambda w: length(w) >= 2) end)) as word from kept),
+    phrases as (select query_id, word as term, 'name' as col, 8.0::double as weight, strip_accents(word) as prefix from terms
+                union all select query_id, word, 'stems', 1.0::double, strip_accents({_LIGHT}) from terms)"""
+
+
+def _search_many(files: str, limit: int = 10) -> str:
+    return rf"""with {_index(files)}, {_ASKED},
+        pairs as (select q.col, q.prefix, t.token from (select distinct col, prefix from phrases) q join (select distinct col, token from postings) t
+                  on q.col = t.col and left(q.prefix, 1) = left(t.token, 1) and starts_with(t.token, q.prefix)),
+        held as materialized (select x.col, x.prefix, p.file_id, sum(p.tf)::double as tf from pairs x join postings p using (col, token) group by all),
+        totals as (select count(*)::double as n, avg(n_name + n_stems)::double as mean from lengths),
+        idf as (select col, prefix, greatest(ln((n - df + 0.5::double) / (df + 0.5::double)), 0) as raw from (select col, prefix, count(*)::double as df from held group by all), totals),
+        found as (select q.query_id, h.file_id, count(distinct q.term) as n_terms,
+                         sum(case when raw > 0 then raw else 1e-6::double end * weight * tf * 2.2::double / (weight * tf + 1.2::double * (0.25::double + 0.75::double * (n_name + n_stems) / mean))) as score
+                  from phrases q join held h using (col, prefix) join idf using (col, prefix) join lengths using (file_id), totals group by all),
+        best as (select f.*, max(n_terms) over (partition by query_id) = w.n as every_word, w.n as wanted
+                 from found f join (select query_id, count(distinct word) as n from terms group by 1) w using (query_id)),
+        top as (select query_id, file_id as id, n_terms, score, every_word,
+                       row_number() over (partition by query_id order by status = 'ok' desc, round(score, 9) desc, id) as rank
+                from best join files on files.id = best.file_id where not every_word or n_terms = wanted)
+        select query_id, rank::int as rank, id, n_terms, round(score, 6) as score, every_word from top where rank <= {limit}"""
+
+
 _MADE = f"""select p_partkey as id,
     case when p_partkey % 3 = 0 then ending else p_name || ending end as name, p_partkey % 2 = 0 as is_folder,
     case when p_partkey % 4 = 0 then '/home/me' else '/data' end as parent, p_size::bigint * 4000000 as size,
@@ -78,9 +120,9 @@ def _ends(column: str, endings) -> str:
 
 
 _SECRET = (
-    f"(n in ({_quoted(N.SECRET_NAMES)}) or {_ends('n', N.SECRET_ENDINGS)}"
-    + "".join(f" or starts_with(n, '{b}')" for b in N.SECRET_BEGINNINGS)
-    + "".join(f" or contains(n, '{p}')" for p in N.SECRET_PARTS)
+    f"(n in ({_quoted(SECRET_NAMES)}) or {_ends('n', SECRET_ENDINGS)}"
+    + "".join(f" or starts_with(n, '{b}')" for b in SECRET_BEGINNINGS)
+    + "".join(f" or contains(n, '{p}')" for p in SECRET_PARTS)
     + ")"
 )
 _EXT = r"lower(regexp_extract(name, '^.+\.([^.]*)$', 1))"
@@ -116,10 +158,10 @@ ORACLES: dict[str, str] = {
     "html_entities": f"select entity, count(*) as n, {_named('entity')} as decoded from (select unnest(regexp_extract_all(html, '&[a-z]+;')) as entity from pages) group by 1",
     "xml_text": "select doc_id, replace(text, chr(10), chr(10) || ' ') || chr(10) as text from documents",
     "sensitive_names": f"select id, name, {_SECRET} as sensitive from (select *, lower(name) as n from ({_MADE}))",
-    "excluded_paths": f"""select id, name, starts_with(name, '.') or (is_folder and (n in ({_quoted(N.EXCLUDED_FOLDERS)}) or {_ends('n', N.BUNDLE_ENDINGS)}
-        or (n in ({_quoted(N.HOME_FOLDERS)}) and parent = '/home/me'))) as excluded from (select *, lower(name) as n from ({_MADE}))""",
-    "extension_status": f"""select id, ext, ext in ({_quoted(N.READABLE)}) as readable,
-        case when ext not in ({_quoted(N.READABLE)}) then 'name_only' when size > {N.MOST_BYTES} then 'too_large' when text is null then 'unreadable'
+    "excluded_paths": f"""select id, name, starts_with(name, '.') or (is_folder and (n in ({_quoted(EXCLUDED_FOLDERS)}) or {_ends('n', BUNDLE_ENDINGS)}
+        or (n in ({_quoted(HOME_FOLDERS)}) and parent = '/home/me'))) as excluded from (select *, lower(name) as n from ({_MADE}))""",
+    "extension_status": f"""select id, ext, ext in ({_quoted(READABLE)}) as readable,
+        case when ext not in ({_quoted(READABLE)}) then 'name_only' when size > {150 * 1024 * 1024} then 'too_large' when text is null then 'unreadable'
              when trim(text, ' ' || chr(10)) = '' then 'empty' else 'ok' end as status from (select *, {_EXT} as ext from ({_MADE}))""",
     "roots": f"select root, count(*) as files from ({_ALL_FILES}) group by root order by root",
     "total_files": f"select count(*) as files from ({_ALL_FILES})",
@@ -144,6 +186,12 @@ ORACLES: dict[str, str] = {
     "search_fallback": _search(_DOC_FILES, C.NOWHERE, "fallback"),
     "search_text_before_name_only": _search(_ALL_FILES, C.PART_QUERY, "or"),
     "search_hits": f"select t.rank, f.path, f.name, f.ext, f.size, f.mtime, t.score from ({_search(_DOC_FILES, C.ANY, 'or', 10)}) t join ({_DOC_FILES}) f using (id)",
+    "search_top_and": _search(_DOC_FILES, C.BOTH, "and"),
+    "search_top_or": _search(_DOC_FILES, C.ANY, "or"),
+    "search_top_fallback": _search(_DOC_FILES, C.NOWHERE, "fallback"),
+    "search_top_text_first": _search(_ALL_FILES, C.PART_QUERY, "or"),
+    "search_many": _search_many(_ALL_FILES),
+    "hit_lookup": f"select t.rank, t.id, f.path, f.size, md5(d.text) as body_md5 from ({_search(_ALL_FILES, C.ANY, 'or')}) t join ({_ALL_FILES}) f using (id) join documents d on d.doc_id = t.id",
     "hit_display": f"""select id, case when s < 1024 then s || ' B' when s < 1048576 then floor(s / 1024 + 0.5)::bigint || ' KB' else printf('%.1f', floor(s::double / 1048576 * 10 + 0.5) / 10) || ' MB' end as size,
         size // 1024 as kb, case when id % 7 = 0 then '' else strftime(make_timestamp(mtime * 1000000), '%-d %b %Y') end as date,
         name as short_name, substr(root, 2) || ' › a › b' as location, greatest(size - 500, 0) as read_in_full

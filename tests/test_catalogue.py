@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "part", "pages"):
+    for t in ("documents", "part", "pages", "conversations"):
         con.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
     return con
 
