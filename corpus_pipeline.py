@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from folioscan.llm.common import col, materialize, table
+from folioscan.llm.common import col, fresh, materialize, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -21,7 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words, a null language has the common threshold, rows that repeat are judged alike; without labels of both
     kinds nothing goes. An empty table stays empty, columns may have any names."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, model).filter(~F.col("rejected")).select(*map(col, docs.columns)) if model.constant is None else docs
+    if model.constant is not None:
+        return docs
+    clashing = [c for c in docs.columns if c.lower() in ("score", "rejected")]
+    held = dict(zip(clashing, fresh([*docs.columns, "score", "rejected"], *clashing), strict=True))
+    scored = toxicity.classify(docs.withColumnsRenamed(held), model)
+    return scored.filter(~F.col("rejected")).select(*[col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
