@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a row group of a keyed table: what a lookup reads for one key at most.
@@ -42,16 +42,20 @@ def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def write_keyed(df: DataFrame, path: str, key: str, also: Sequence[str] = (), row_group: int = ROW_GROUP, mode: str = "error") -> None:
+def write_keyed(df: DataFrame, path: str, key: str, also: Sequence[str] = (), row_group: int = ROW_GROUP) -> None:
     """Write ``df`` sorted by ``key`` over all files, in small row groups, with Bloom filters on it and on ``also``.
 
     A lookup by key then reads the row groups whose range holds it; one by another column those whose filter does.
     """
-    writer = df.repartitionByRange(key).sortWithinPartitions(key).write.mode(mode).option("parquet.block.size", row_group)
+    keyed_writer(df.repartitionByRange(key).sortWithinPartitions(key), key, also, row_group).parquet(path)
+
+
+def keyed_writer(df: DataFrame, key: str, also: Sequence[str] = (), row_group: int = ROW_GROUP) -> DataFrameWriter:
+    writer = df.write.option("parquet.block.size", row_group)
     writer = writer.option("parquet.bloom.filter.adaptive.enabled", True)
     for column in (key, *also):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
-    writer.parquet(path)
+    return writer
 
 
 def one_of(column: str, values: Sequence) -> Column:
