@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,7 +69,8 @@ def fold_text(text: str) -> str:
 @lru_cache(1)
 def _latin_folding() -> tuple[str, str]:
     """Latin letters with diacritics and their base letters, as index tokens are folded. Made from the Unicode
-    decompositions; a few letters with two marks keep them, other scripts are not touched."""
+    decompositions; a few letters with two marks keep them. Letters with marks of other scripts stay as they are, as the
+    tokenizer that these tokens have to agree with leaves them; it only joins variants of Greek letters."""
     keep = set("ǡǣǯǽǿ")
     pairs = []
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
@@ -77,8 +78,10 @@ def _latin_folding() -> tuple[str, str]:
         base = unicodedata.normalize("NFD", c)[0]
         if c != base and c.lower() not in keep and base.isascii() and base.isalpha() and c == c.lower():
             pairs.append((c, base.lower()))
-    pairs += [("ſ", "s"), ("ẛ", "s"), ("ς", "σ")]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    # Variants of letters.
+    pairs += zip("ſẛςϐϑϕϖϰϱϵ\u1fbe", "ssσβθφπκρει", strict=True)
+    # The dot that a lower-cased İ has is dropped: it has no counterpart.
+    return "".join(a for a, _ in pairs) + "\u0307", "".join(b for _, b in pairs)
 
 
 def index_fold(token: Column) -> Column:
@@ -89,7 +92,7 @@ def index_fold(token: Column) -> Column:
 
 def index_fold_text(token: str) -> str:
     source, target = _latin_folding()
-    return token.lower().translate(str.maketrans(source, target))
+    return token.lower().translate(str.maketrans(source[: len(target)], target, source[len(target) :]))
 
 
 def name_stem(name: Column) -> Column:
@@ -102,7 +105,7 @@ def name_words(name: Column) -> Column:
     return F.array_join(words(name_stem(name)), " ")
 
 
-_PY_WORD = re.compile(r"[^\W_]+")
+_PY_WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 def split_words(text: str) -> list[tuple[int, int]]:

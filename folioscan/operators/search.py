@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.snippet import snippet_column
+from ..functions.snippet import among, by_stem, passage, window
 from ..functions.stemmer import singular, stem
-from ..functions.words import QUERY_STOP_WORDS, fold_text, is_stop_word, split_words
-from ..plans.postings import phrases, scored
+from ..functions.words import QUERY_STOP_WORDS, fold, fold_text, is_stop_word, light_stem, split_words, words
+from ..plans.postings import STEMMERS, phrases, scored
 from ..sources.tables import lookup
 
 DEFAULT_LIMIT = 10
@@ -25,6 +27,7 @@ class Query:
     terms: tuple[str, ...]
     stems: tuple[str, ...]
     folded: tuple[str, ...]
+    stemmer: str = "french"
 
 
 def parse_query(text: str, stemmer: str = "french") -> Query:
@@ -33,7 +36,7 @@ def parse_query(text: str, stemmer: str = "french") -> Query:
     terms = [w for w in every if not is_stop_word(w) and w not in QUERY_STOP_WORDS] or [w for w in every if len(w) >= 2]
     terms = tuple(dict.fromkeys(terms))
     stems = tuple(map(stem if stemmer == "french" else singular, terms))
-    return Query(terms, stems, tuple(map(fold_text, stems)))
+    return Query(terms, stems, tuple(map(fold_text, stems)), stemmer)
 
 
 def worth_searching(text: str) -> bool:
@@ -79,6 +82,29 @@ def hits(top: DataFrame, files: DataFrame, texts: DataFrame, query: Query, limit
     ids = [r.file_id for r in rows]
     few = F.broadcast(spark.createDataFrame(rows, "file_id long, score double, rank int"))
     found = lookup(files, "id", ids).withColumnRenamed("id", "file_id").join(few, "file_id")
-    bodies = F.broadcast(lookup(texts, "file_id", ids)) if len(ids) <= MOST_SENT else lookup(texts, "file_id", ids)
+    bodies = with_passages(lookup(texts, "file_id", ids), query)
+    bodies = F.broadcast(bodies) if len(ids) <= MOST_SENT else bodies
     shown = found.join(bodies, "file_id", "left")
-    return shown.select("path", "name", "ext", "size", "mtime", snippet_column(F.col("body"), query.folded).alias("snippet"), "score", "rank").orderBy("rank")
+    return shown.select("path", "name", "ext", "size", "mtime", "snippet", "score", "rank").orderBy("rank")
+
+
+def with_passages(texts: DataFrame, query: Query) -> DataFrame:
+    """(file_id, snippet) of (file_id, body): the passage of each text, null if it has none of the words.
+
+    Words are matched by stems. Where these are no Column function, the different words of the texts (of a result), and
+    then those of the windows, as these may begin and end within a word, are stemmed in rows of their own.
+    """
+    if query.stemmer == "light":
+        matches = by_stem(light_stem, query.folded)
+        return texts.select("file_id", passage(window(F.col("body"), matches), matches).alias("snippet"))
+    whole = _with_found(texts.select("file_id", "body"), F.col("body"), query)
+    shown = whole.select("file_id", window(F.col("body"), among(F.col("found"))).alias("shown"))
+    return _with_found(shown, F.col("shown.text"), query).select("file_id", passage(F.col("shown"), among(F.col("found"))).alias("snippet"))
+
+
+def _with_found(rows: DataFrame, text: Column, query: Query) -> DataFrame:
+    """``rows`` with ``found``: the different words of their text that match."""
+    word = rows.select("file_id", F.explode(F.array_distinct(words(text))).alias("word"))
+    stemmed = word.withColumn("stem", fold(STEMMERS[query.stemmer](F.col("word"))))
+    matched = stemmed.filter(reduce(or_, [F.col("stem").startswith(s) for s in query.folded], F.lit(False)))
+    return rows.join(matched.groupBy("file_id").agg(F.collect_set("word").alias("found")), "file_id", "left")

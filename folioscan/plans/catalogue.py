@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import display, markup, words
 from ..operators import search
+from ..operators.index import SearchIndex
 from ..operators.search import matching, parse_query, ranked
 from ..sources import names, tables
+from ..streaming.follow import EVENT, follow_documents
 from . import blocks as K
 from . import postings as P
 from . import sync as S
@@ -170,6 +172,41 @@ def sync_report(spark, sf_dir):
     return S.report(S.changes(*_snapshots(spark, sf_dir)))
 
 
+def _documents_in_two_steps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Files with text as they are first, and what comes, changes (their text is null where they vanish) afterwards."""
+    files, i = document_files(spark, sf_dir).join(document_texts(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("body").alias("text")), "id"), F.col("id")
+    longer = F.when(i % 10 == 1, F.concat("text", F.lit(" zzzqqq"))).when(i % 10 != 7, F.col("text"))
+    return files.filter(i % 10 != 3), files.filter((i % 10).isin(1, 3, 7)).withColumn("text", longer)
+
+
+def _index_at(spark) -> SearchIndex:
+    return SearchIndex.open(spark, f"{tables.shared_dir(spark).removeprefix('file://')}/index-{uuid.uuid4().hex}", "light")
+
+
+def _indexed_files(index: SearchIndex) -> DataFrame:
+    return index.files.select("path", "size", "mtime", "status", "tokens")
+
+
+def incremental_index(spark, sf_dir):
+    """The files of an index after new, changed and vanished documents were taken into it."""
+    index, (first, then) = _index_at(spark), _documents_in_two_steps(spark, sf_dir)
+    columns = ["path", "name", "ext", F.length("text").cast("long").alias("size"), "mtime", "status", "root", "text"]
+    index.replace(first.select(*columns), first.limit(0))
+    index.replace(then.filter("text is not null").select(*columns), then.filter("text is null"))
+    return _indexed_files(index)
+
+
+def streamed_index(spark, sf_dir):
+    """The same from a stream of events, some of which repeat and come too late."""
+    index, (first, then) = _index_at(spark), _documents_in_two_steps(spark, sf_dir)
+    folder = f"{tables.shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    event = lambda df, version: df.select("path", F.lit(version).cast("long").alias("version"), "mtime", "root", F.col("text").isNull().alias("gone"), "text")
+    for df in (event(first, 1), event(then, 2), event(first.filter(F.col("id") % 10 == 7), 1)):
+        df.write.mode("append").parquet(folder)
+    follow_documents(spark.readStream.schema(EVENT).parquet(folder), index, f"{folder}-checkpoint").awaitTermination()
+    return _indexed_files(index).drop("size")
+
+
 def known_files(spark, sf_dir):
     return all_files(spark, sf_dir).filter(F.col("root") == "/src1").select("id", "path", "size", "mtime")
 
@@ -300,14 +337,46 @@ def search_hits(spark, sf_dir):
     return search.hits(ranked(found, files, 10), files, texts, q, 10).withColumn("score", F.round("score", 6)).withColumn("parts", F.size(display.parts(F.col("snippet")))).drop("snippet", "parts")
 
 
-def search_passages(spark, sf_dir):
-    files, texts, q = document_files(spark, sf_dir), document_texts(spark, sf_dir), parse_query(ANY)
-    posted = P.postings(files, texts)
-    found, _ = matching(posted, P.lengths(files, posted), q, "or")
-    shown = search.hits(ranked(found, files, 10), files, texts, q, 10)
+def _passages(spark, sf_dir, stemmer: str) -> DataFrame:
+    files, texts, q = document_files(spark, sf_dir), document_texts(spark, sf_dir), parse_query(ANY, stemmer)
+    blocked, blocks, totals = K.indexed(files, texts, stemmer)
+    top, _ = K.best_files(blocked, blocks, q.terms, q.stems, totals, 10, "or")
+    shown = search.hits(top, files, texts, q, 10)
     return shown.select("rank", "path", "snippet", display.bold(F.col("snippet")).alias("bold"), F.size(display.parts(F.col("snippet"))).alias("n_parts"))
 
 
+def search_passages(spark, sf_dir):
+    return _passages(spark, sf_dir, "light")
+
+
+def search_stemmed_passages(spark, sf_dir):
+    return _passages(spark, sf_dir, "french")
+
+
+def all_passages(spark, sf_dir):
+    """The passage of every document for one query, whether it is a hit or not."""
+    q = parse_query(ANY, "light")
+    return search.with_passages(document_texts(spark, sf_dir), q)
+
+
+def stem_vocabulary(spark, sf_dir):
+    """A vocabulary of stems that grows: words of one source first, then those that the other documents add."""
+    files, texts = document_files(spark, sf_dir), document_texts(spark, sf_dir)
+    of = lambda rows: P.word_rows(rows, texts.join(rows.select(F.col("id").alias("file_id")), "file_id", "left_semi")).filter("col = 'stems'")
+    known = tables.written(P.new_stems(of(files.filter("root = '/src1'")), "light"), "stems")
+    added = P.new_stems(of(files), "light", known)
+    return known.withColumn("step", F.lit(1)).unionByName(added.withColumn("step", F.lit(2)))
+
+
+def owning_roots(spark, sf_dir):
+    """Roots within roots: sources, some of their folders, and two that only begin alike."""
+    files = document_files(spark, sf_dir)
+    paths = files.select(F.concat("root", F.lit("/"), (F.col("id") % 4).cast("string"), F.lit("/"), (F.col("id") % 3).cast("string"), F.lit("/"), "name").alias("path"))
+    roots_ = files.select("root").unionByName(files.filter("id % 4 < 2").select(F.concat("root", F.lit("/"), (F.col("id") % 4).cast("string")).alias("root")))
+    roots_ = roots_.unionByName(files.filter("id % 12 = 1").select(F.concat("root", F.lit("/1/1")).alias("root"))).filter("root not like '/src2%'")
+    return S.owning_roots(paths, roots_.distinct())
+
+
 def hit_display(spark, sf_dir):
     files = document_files(spark, sf_dir)
     return files.select(
@@ -325,9 +394,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         word_counts, stop_filtered_terms, plural_stripped_terms, accent_folded_terms, name_words, html_text, html_entities, xml_text,
-        sensitive_names, excluded_paths, extension_status, roots, total_files, index_stats, known_files, sync_plan, sync_report, forget_root,
-        root_adoption, root_overlap, status_migration, posting_list, doc_lengths, doc_freq, search_and, search_or, search_fallback,
+        sensitive_names, excluded_paths, extension_status, roots, total_files, index_stats, known_files, sync_plan, incremental_index, streamed_index, sync_report, forget_root,
+        root_adoption, root_overlap, owning_roots, stem_vocabulary, status_migration, posting_list, doc_lengths, doc_freq, search_and, search_or, search_fallback,
         search_text_before_name_only, search_top_and, search_top_or, search_top_fallback, search_top_text_first, search_many,
-        search_hits, hit_lookup, search_stemmed, search_passages, hit_display,
+        search_hits, hit_lookup, search_stemmed, search_passages, search_stemmed_passages, all_passages, hit_display,
     )
 }

@@ -55,6 +55,12 @@ def _index(files: str) -> str:
                     from files f left join postings p on p.file_id = f.id group by f.id)"""
 
 
+def _kept_index(columns: str) -> str:
+    """Files of the index after some documents came, some changed and some vanished."""
+    now = "select * replace (case when doc_id % 10 = 1 then text || ' zzzqqq' else text end as text, case when doc_id % 10 = 1 then length(text) + 7 else length(text) end as n_chars) from main.documents where doc_id % 10 <> 7"
+    return f"with documents as ({now}), {_index(_DOC_FILES)} select {columns} from files join lengths on file_id = id"
+
+
 def _phrases(text: str) -> str:
     rows = [f"({2 * i + k}, {i}, '{c}', {w}, strip_accents('{x}'))" for i, (t, s) in enumerate(TERMS[text]) for k, (c, w, x) in enumerate((("name", "8.0::double", t), ("stems", "1.0::double", s)))]
     return f"phrases(phrase, term, col, weight, prefix) as (values {', '.join(rows)})"
@@ -108,6 +114,23 @@ def _search_many(files: str, limit: int = 10) -> str:
         select query_id, rank::int as rank, id, n_terms, round(score, 6) as score, every_word from top where rank <= {limit}"""
 
 
+def _passages(rows: str) -> str:
+    """(file_id, snippet) of rows (file_id, text): bytes from 90 before the first matched word to 220 after it."""
+    low = "lower(t)"
+    stem = f"translate(case when length({low}) > 3 then regexp_replace({low}, '[sx]$', '') else {low} end, '{_FROM}', '{_TO}')"
+    matched = " or ".join(f"starts_with({stem}, '{s}')" for _, s in TERMS[C.ANY])
+    pieces = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+    return rf"""rows as ({rows}), cut as (select file_id, regexp_extract_all(text, '{pieces}') as ts from rows),
+        met as (select *, list_position(list_transform(ts, lambda t: {matched}), true) as i from cut),
+        sides as (select file_id, ts[i] as word, array_to_string(ts[1:i - 1], '') as b, array_to_string(ts[i + 1:], '') as a from met where i > 0),
+        shown as (select *, coalesce(list_filter(range(1, 91), lambda k: strlen(right(b, k)) >= 90)[1], length(b)) as nb,
+                  coalesce(list_filter(range(1, 221), lambda k: strlen(left(a, k)) >= 220)[1], length(a)) as na from sides),
+        flat as (select *, trim(regexp_replace(right(b, nb) || word || left(a, na), '\s+', ' ', 'g')) as text from shown),
+        passages as (select file_id, case when nb < length(b) then '…' else '' end
+                     || array_to_string(list_transform(regexp_extract_all(text, '{pieces}'), lambda t: case when {matched} then chr(1) || t || chr(2) else t end), '')
+                     || case when na < length(a) then '…' else '' end as snippet from flat)"""
+
+
 _MADE = f"""select p_partkey as id,
     case when p_partkey % 3 = 0 then ending else p_name || ending end as name, p_partkey % 2 = 0 as is_folder,
     case when p_partkey % 4 = 0 then '/home/me' else '/data' end as parent, p_size::bigint * 4000000 as size,
@@ -172,6 +195,8 @@ ORACLES: dict[str, str] = {
     "sync_plan": f"with {_SNAPSHOTS} select path, action, id from actions",
     "sync_report": f"""with {_SNAPSHOTS} select count(*) filter (action <> 'removed') as seen, count(*) filter (action in ('new', 'changed')) as indexed,
         count(*) filter (action = 'unchanged') as unchanged, count(*) filter (action = 'removed') as removed from actions""",
+    "incremental_index": _kept_index("path, size, mtime, status, n_name + n_stems as tokens"),
+    "streamed_index": _kept_index("path, mtime, status, n_name + n_stems as tokens"),
     "forget_root": f"""with f as ({_ALL_FILES}) select 'files' as part, count(*) as n from f where root <> '/src1'
         union all select 'texts', count(*) from documents where source <> 'src1' union all select 'removed', count(*) from f where root = '/src1'""",
     "root_adoption": f"select case when root in ('/src1', '/src2') then '/' else root end as root, count(*) as files from ({_DOC_FILES}) group by 1",
@@ -191,6 +216,16 @@ ORACLES: dict[str, str] = {
     "search_top_fallback": _search(_DOC_FILES, C.NOWHERE, "fallback"),
     "search_top_text_first": _search(_ALL_FILES, C.PART_QUERY, "or"),
     "search_many": _search_many(_ALL_FILES),
+    "search_passages": f"""with top as ({_search(_DOC_FILES, C.ANY, 'or', 10)}), {_passages("select d.doc_id as file_id, d.text from documents d join top on top.id = d.doc_id")}
+        select t.rank, f.path, p.snippet, replace(replace(p.snippet, chr(1), chr(27) || '[1m'), chr(2), chr(27) || '[0m') as bold,
+               len(regexp_extract_all(p.snippet, chr(1) || '[^' || chr(2) || ']*' || chr(2) || '|[^' || chr(1) || ']+'))::int as n_parts
+        from top t join ({_DOC_FILES}) f using (id) left join passages p on p.file_id = t.id""",
+    "all_passages": f"with {_passages('select doc_id as file_id, text from documents')} select d.doc_id as file_id, snippet from documents d left join passages on file_id = d.doc_id",
+    "stem_vocabulary": f"""with {_index(_DOC_FILES)}, every as (select f.root, word from (select * from named union all select * from body) t join files f on f.id = t.id where {_KEPT}),
+        w as (select word, min(case when root = '/src1' then 1 else 2 end)::int as step from every group by word) select word, {_LIGHT} as stem, step from w""",
+    "owning_roots": f"""with f as ({_DOC_FILES}), paths as (select root || '/' || id % 4 || '/' || id % 3 || '/' || name as path from f),
+        known as (select distinct * from (select root from f union all select root || '/' || id % 4 from f where id % 4 < 2 union all select root || '/1/1' from f where id % 12 = 1) where root not like '/src2%')
+        select path, arg_max(root, length(root)) as root, count(root) as roots from paths left join known on path = root or starts_with(path, root || '/') group by path""",
     "hit_lookup": f"select t.rank, t.id, f.path, f.size, md5(d.text) as body_md5 from ({_search(_ALL_FILES, C.ANY, 'or')}) t join ({_ALL_FILES}) f using (id) join documents d on d.doc_id = t.id",
     "hit_display": f"""select id, case when s < 1024 then s || ' B' when s < 1048576 then floor(s / 1024 + 0.5)::bigint || ' KB' else printf('%.1f', floor(s::double / 1048576 * 10 + 0.5) / 10) || ' MB' end as size,
         size // 1024 as kb, case when id % 7 = 0 then '' else strftime(make_timestamp(mtime * 1000000), '%-d %b %Y') end as date,

@@ -2,7 +2,7 @@
 
 postings: (file_id, col, token, tf), where col is ``name`` (words of the file name as they are) or ``stems`` (stems of
 the name's and the text's words). lengths: (file_id, n_name, n_stems). Words are counted by file before they are
-stemmed, so the stemmer sees each word of a file once and the shuffle carries counts.
+stemmed, so the shuffle carries counts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem_column
 from ..functions.words import index_fold, index_fold_text, is_indexed_word, light_stem, name_stem, words
+from ..sources.tables import sized_broadcast, written
 
 #: Weights of matches in the name and in the stems, and the usual BM25 constants.
 WEIGHTS = {"name": 8.0, "stems": 1.0}
@@ -32,10 +33,28 @@ def word_rows(files: DataFrame, texts: DataFrame) -> DataFrame:
     return rows(named, "name").unionByName(rows(named.unionByName(read), "stems").filter(is_indexed_word(F.col("word"))))
 
 
-def postings(files: DataFrame, texts: DataFrame, stemmer: str = "french") -> DataFrame:
+def new_stems(words_: DataFrame, stemmer: str, known: DataFrame | None = None) -> DataFrame:
+    """(word, stem) of the different words in ``words_`` that the vocabulary ``known`` (word, stem) doesn't have yet."""
+    different = words_.select("word").distinct()
+    if known is not None:
+        different = different.join(known.select("word"), "word", "left_anti")
+    return different.select("word", STEMMERS[stemmer](F.col("word")).alias("stem"))
+
+
+def postings(files: DataFrame, texts: DataFrame, stemmer: str = "french", known: DataFrame | None = None) -> DataFrame:
+    """Postings of the files. A stemmer that is no Column function sees each different word once, in a vocabulary that is
+    written and joined by word; words that the vocabulary ``known`` has are not stemmed again."""
     counted = word_rows(files, texts).groupBy("file_id", "col", "word").agg(F.count("*").alias("n"))
     name = counted.filter("col = 'name'").withColumn("token", index_fold(F.col("word")))
-    stems = counted.filter("col = 'stems'").withColumn("token", index_fold(STEMMERS[stemmer](F.col("word"))))
+    stems = counted.filter("col = 'stems'")
+    if stemmer == "light":
+        stems = stems.withColumn("token", index_fold(light_stem(F.col("word"))))
+    else:
+        counted = written(counted, "index-words")
+        name, stems = counted.filter("col = 'name'").withColumn("token", index_fold(F.col("word"))), counted.filter("col = 'stems'")
+        vocabulary = written(new_stems(stems, stemmer, known), "index-stems")
+        vocabulary = vocabulary if known is None else vocabulary.unionByName(known.select("word", "stem"))
+        stems = stems.join(sized_broadcast(vocabulary), "word").withColumn("token", index_fold(F.col("stem"))).drop("stem").select(*counted.columns, "token")
     return name.unionByName(stems).groupBy("file_id", "col", "token").agg(F.sum("n").alias("tf"))
 
 
