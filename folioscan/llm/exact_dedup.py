@@ -1,25 +1,28 @@
 """Exact duplicates through an extendible-hash index on shared files. DataFrame operations only.
 
-1. Every row becomes an entry: 64-bit key of the normalised text, its SHA-256, the document id. Entries of one key are
-   pre-aggregated, so copies never gather in one task.
+1. Every row has a 64-bit key, the hash of its normalised text.
 2. A directory over the top bits of the keys starts with as many slots as the keys need at least and is doubled until no
    bucket is overfull; a bucket that needed no split keeps its smaller depth and several slots.
-3. Texts whose key several rows have are dealt out: the directory names the bucket, and the task that owns the bucket
-   chains, for each key, the texts that differ in any byte. Owners write their buckets as files of the index.
-4. Rows look their key up in the index and find themselves in its chain. A key without a chain is that of one row.
+3. Texts whose key several rows have are dealt to the buckets that the directory names. Copies are combined where they
+   are, in PARTS parts of a text, so that many copies are few rows. The task that owns a bucket goes through its keys in
+   order, compares the bytes of neighbours, and chains the texts of a key that differ. It writes them as its bucket.
+4. Rows look their bucket up in the directory, their key up in the bucket, and find themselves in its chain. A key
+   without a chain is that of one row.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, col, fresh, materialize, sized_broadcast, skew_safe_left_join
 
 #: Distinct keys in a bucket before it splits.
-BUCKET_KEYS = 100_000
+BUCKET_KEYS = 5_000
+#: Rows of one text that reach the owner of its bucket at most.
+PARTS = 64
 
 
 def normalised(text: str = "text") -> Column:
@@ -27,6 +30,10 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(col(text), F.lit("")), f"[{WS}]+", " ")
 
 
+def hash_key(norm: str = "norm") -> Column:
+    return F.xxhash64(norm)
+
+
 def _slot(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
@@ -60,18 +67,26 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     null). Rows that repeat both doc_id and text are one document: they share ``kept`` and each counts in
     group_size. An empty table gives an empty result; other columns are not read.
     """
-    norm = docs.select(col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    norm = docs.select(col(doc_id).cast("long").alias("doc_id"), normalised(text).alias("norm")).withColumn("key", hash_key())
     entries = materialize(norm.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-entries")
     groups = materialize(entries.groupBy("key").agg(F.count("*").alias("rows")), "dedup-keys")
     slots, depth = directory(groups, bucket_keys)
-    slots = materialize(slots, "dedup-directory")
-    # All bytes of the texts are compared, copies are counted where they are.
-    texts = norm.join(sized_broadcast(groups.filter("rows > 1").select("key")), "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    dealt = texts.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").withColumn("slot", _slot(depth)).join(sized_broadcast(slots, 1 << depth), "slot")
-    chain = F.collect_list(F.struct("sha", "keep_id", "group_size")).alias("chain")  # different texts with one 64-bit key
-    owned = dealt.repartition("bucket").groupBy("bucket", "key").agg(F.sum("group_size").alias("rows"), chain)
-    index = materialize(owned.sortWithinPartitions("bucket", "key"), "dedup-index")
-    found = skew_safe_left_join(entries, index.select("key", "rows", "chain"), ["key"], "rows")
+    slots = sized_broadcast(materialize(slots, "dedup-directory"), 1 << depth)
+    to_bucket = lambda rows: rows.withColumn("slot", _slot(depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
+    several = sized_broadcast(groups.filter("rows > 1").select("key"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
+    dealt = to_bucket(norm.join(several, "key", "left_semi")).groupBy("bucket", "key", "norm", part)
+    dealt = dealt.agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # The owner's walk: neighbours with the same bytes have the same place in the chain.
+    owned = dealt.repartition("bucket")
+    order = Window.partitionBy("bucket", "key").orderBy("norm")
+    other = F.lag("norm").over(order).isNull() | (F.lag("norm").over(order) != F.col("norm"))
+    placed = owned.withColumn("other", other.cast("int")).withColumn("place", F.sum("other").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    texts = placed.groupBy("bucket", "key", "place").agg(F.first("norm").alias("norm"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    buckets = materialize(texts.sortWithinPartitions("bucket", "key", "place"), "dedup-buckets")
+    chain = F.collect_list(F.struct(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")).alias("chain")  # different texts with one 64-bit key
+    index = materialize(buckets.groupBy("bucket", "key").agg(F.sum("group_size").alias("rows"), chain), "dedup-index")
+    found = skew_safe_left_join(materialize(to_bucket(entries), "dedup-dealt"), index, ["bucket", "key"], "rows")
     found = found.withColumn("own", F.get(F.filter("chain", lambda x: x["sha"] == F.col("sha")), F.lit(0)))
     keep = F.when(F.col("own").isNotNull(), F.col("own.keep_id")).otherwise(F.col("doc_id"))
     return found.select(

@@ -480,6 +480,22 @@ def test_directory_splits(spark):
     assert exact_dedup.directory(even, 5000)[1] == 0
 
 
+def test_exact_dedup_of_texts_that_share_a_key(spark, docs, monkeypatch):
+    """The owner of a bucket tells the texts of one key apart by their bytes, and joins the parts of one text."""
+    rows = [*docs, *[(10_000 + i, docs[0][1]) for i in range(300)], (20_000, " a"), (20_001, "b "), (20_002, "  a"), (20_003, "b\t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(map(tuple, exact_dedup.exact_duplicates(df).collect()))
+    assert max(r[2] for r in want) > 300
+    monkeypatch.setattr(exact_dedup, "hash_key", lambda norm="norm": F.xxhash64(F.length(norm) % 5))
+    assert Counter(map(tuple, exact_dedup.exact_duplicates(df, bucket_keys=2).collect())) == want
+
+
+def test_exact_dedup_finds_nothing_without_its_directory(spark, docs, monkeypatch):
+    df, right = spark.createDataFrame(docs, "doc_id long, text string"), exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (right(*a)[0].limit(0), right(*a)[1]))
+    assert exact_dedup.exact_duplicates(df).count() == 0
+
+
 def test_exact_dedup_through_small_buckets(spark, docs):
     rows = [(i, t) for i, t in docs] + [(10_000 + i, (t or "").replace(" ", "  ")) for i, t in docs[:50]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
