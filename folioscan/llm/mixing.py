@@ -26,6 +26,13 @@ def word_count(text: str = "text") -> Column:
     return (F.length(F.regexp_replace(gaps, f"[{WS}]+", ""))).cast("long")
 
 
+def place(seed: str, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Where a row stands in the shuffled order, 32 hexadecimal digits: by its id and its text, so that rows that share an
+    id, or have none, are spread like others."""
+    own = F.md5(F.coalesce(col(text), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(col(doc_id).cast("string"), F.lit("")), own).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, max_passes: int) -> DataFrame:
     """Per source: source, source_size, target. ``sizes`` has one row a source (source, source_size).
 
@@ -72,8 +79,7 @@ def mix(
     and ``seed`` only, so reruns agree.
     """
     content = F.xxhash64(F.coalesce(col(text), F.lit("")))
-    base = docs.select(col(doc_id).cast("long").alias("doc_id"), col(source).cast("string").alias("source"), word_count(text).alias("size"), content.alias("content"))
-    base = base.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    base = docs.select(col(doc_id).cast("long").alias("doc_id"), col(source).cast("string").alias("source"), word_count(text).alias("size"), content.alias("content"), place(seed, doc_id, text).alias("place"))
     base = base.withColumn("row", F.monotonically_increasing_id())
     base = materialize(base.withColumn("range", F.conv(F.substring("place", 1, 3), 16, 10).cast("int")), "mix-sizes")
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("words"))

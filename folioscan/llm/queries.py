@@ -202,7 +202,7 @@ ORACLES = {
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256
         from n join g using (t)""",
     "op6_mixing": r"""
-        with d as (select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) as place,
+        with d as (select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as place,
                           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
              s as (select source, sum(size)::bigint as source_size from d group by source),
              w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight,

@@ -506,6 +506,13 @@ def test_exact_dedup_through_small_buckets(spark, docs):
 # Mixing
 
 
+def test_rows_without_an_id_are_spread(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    ranges = rows.groupBy(F.substring(mixing.place("mix"), 1, 3)).count().agg(F.count("*"), F.max("count")).first()
+    assert ranges[0] > 3900 and ranges[1] < 30
+    assert {(r.taken, r.copies) for r in mixing.mix(rows).collect()} == {(2, 1)}
+
+
 def test_mixing_awkward(awkward, empty):
     rows = mixing.mix(awkward).collect()
     assert len(rows) == len(AWKWARD) and mixing.mix(empty).count() == 0
