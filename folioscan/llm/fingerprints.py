@@ -1,9 +1,14 @@
 """Document fingerprints from closed syncmers. DataFrame functions only.
 
-Words (at most WORD characters each, so that text without spaces has some too) are hashed; of each run of K words,
-the S-word runs inside it are compared, and the K-run is an anchor if the smallest of them is its first or its last.
-That depends on nothing outside the K words, so equal passages have equal anchors wherever they stand. A fingerprint
-has all anchors of its text, about half as many as the text has words, and their word positions.
+Words are hashed; of each run of K words, the S-word runs inside it are compared, and the K-run is an anchor if the
+smallest of them is its first or its last. That depends on nothing outside the K words, so equal passages have equal
+anchors wherever they stand. A fingerprint has all anchors of its text, about half as many as the text has words, and
+their word positions.
+
+Text without spaces has words too: a run of more than WORD characters stands for those of its strings of GRAM
+characters (fewer at its end) whose hash is 0 modulo SHARE, so an insertion changes only the strings that hold it.
+Words say little about a short text: one of at most SHORT characters also has anchors of characters, by which two
+such texts are compared.
 """
 
 from __future__ import annotations
@@ -15,52 +20,83 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh, materialize, others, sid, sized_broadcast
 
-K, S, WORD = 5, 2, 16
-#: Anchors of a fingerprint are not bounded.
-MOST = None
+K, S = 5, 2
+#: Longest word; length of the strings that stand for a longer one, of which one in SHARE does.
+WORD, GRAM, SHARE = 16, 8, 4
+#: Longest text with anchors of characters, their length and that of the runs inside them.
+SHORT, SIGNS_K, SIGNS_S = 320, 4, 2
 #: Shared anchors count if their positions differ by at most so many words, or by SLOPE of the larger position.
 SLACK, SLOPE = 32, 0.2
 #: Rows of a range of documents in which neighbours are found, and the ranges that one cut makes (a power of two).
 RANGE_ROWS, RANGES = 1000, 4096
+#: Crowded ranges whose cuts one broadcast holds (32 kB each).
+CUTS_SENT = 1000
 
 
-def add_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """``docs`` with ``out``: struct of hashes (array<bigint>, ascending) and places (array<int>).
+#: Group 1: a word behind its white space, or the string that begins at each character of a longer one.
+_TOKENS = rf"(?=(\s\S{{1,{WORD}}}(?!\S)|\S{{1,{GRAM}}}))(?:\s\S{{1,{WORD}}}(?!\S)|\S)"
 
-    A null or empty text, or one of white space only, has none; a text of fewer than K words has one anchor, for
-    all of its words. Of equal anchors the first place counts. Equal texts have equal fingerprints.
-    """
-    inner = K - S + 1
-    h_, s_, a_ = fresh(docs.columns, "__h", "__s", "__a")
-    words = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(rf"[^\s]{{1,{WORD}}}"), F.lit(0))
-    step = docs.withColumn(h_, F.transform(words, lambda w: F.xxhash64(w)))
-    short = F.when(F.size(h_) > 0, F.array(F.struct(F.xxhash64(F.col(h_)).alias("h"), F.lit(0).alias("p")))).otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))
-    step = step.withColumn(s_, F.zip_with(h_, F.slice(h_, 2, F.greatest(F.size(h_), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    at = lambda i, o: F.get(F.col(s_), i + o)
+
+def _anchors(hashes: str, pairs: str, k: int, s: int) -> Column:
+    """Closed syncmers of ``hashes`` as structs of h and p (their place), sorted; ``pairs``: hashes of its runs of ``s``."""
+    inner = k - s + 1
+    at = lambda i, o: F.get(F.col(pairs), i + o)
 
     def anchored(i: Column) -> Column:
         least = F.least(*[at(i, o) for o in range(inner)])
         return (at(i, 0) == least) | (at(i, inner - 1) == least)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(h_) - K), anchored)
+    places = F.filter(F.sequence(F.lit(0), F.size(hashes) - k), anchored)
     anchors = F.transform(places, lambda i: F.struct(F.xxhash64(*[at(i, o) for o in range(inner)]).alias("h"), i.alias("p")))
-    step = step.withColumn(a_, F.when(F.size(h_) >= K, F.sort_array(anchors)).otherwise(short))
-    step = step.withColumn(a_, F.filter(a_, lambda x, i: (i == 0) | (x["h"] != F.get(F.col(a_), i - 1)["h"])))
-    return step.select(*map(col, others(docs.columns, out)), F.struct(F.col(f"{a_}.h").alias("hashes"), F.col(f"{a_}.p").alias("places")).alias(out))
+    one = F.array(F.struct(F.xxhash64(F.col(hashes)).alias("h"), F.lit(0).alias("p")))
+    none = F.expr("cast(array() as array<struct<h:bigint,p:int>>)")
+    return F.when(F.size(hashes) >= k, F.sort_array(anchors)).when(F.size(hashes) > 0, one).otherwise(none)
+
+
+def add_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` with ``out``: struct of hashes (array<bigint>, ascending) and places (array<int>) of anchors of words, and of
+    sign_hashes and sign_places, the same for characters, empty in texts of more than SHORT characters.
+
+    A null or empty text, or one of white space only, has none; a text of fewer than K words (SIGNS_K characters
+    without white space) has one anchor, for all of them, and so has a text for whose long words no string stands.
+    Of equal anchors the first place counts. Equal texts have equal fingerprints.
+    """
+    names = fresh(docs.columns, "__words", "__pairs", "__anchors", "__signs", "__sign_pairs", "__sign_anchors")
+    words, pairs, anchors, signs, sign_pairs, sign_anchors = names
+    whole = F.coalesce(col(text), F.lit(""))
+    spaced = F.regexp_extract_all(F.concat(F.lit(" "), whole), F.lit(_TOKENS), F.lit(1))
+    # White space begins the words: 9 to 13 and 32. Strings are taken by their hash.
+    hashes = F.transform(spaced, lambda t: F.when(F.ascii(t).isin(9, 10, 11, 12, 13, 32), F.xxhash64(F.substring(t, 2, WORD))).otherwise(F.when(F.pmod(F.xxhash64(t), F.lit(SHARE)) == 0, F.xxhash64(t))))
+    step = docs.withColumn(words, F.filter(hashes, lambda h: h.isNotNull()))
+    step = step.withColumn(words, F.when((F.size(words) == 0) & F.rlike(whole, F.lit(r"\S")), F.array(F.xxhash64(whole))).otherwise(F.col(words)))
+    characters = F.regexp_extract_all(F.when(F.length(whole) <= SHORT, whole).otherwise(""), F.lit(r"\S"), F.lit(0))
+    step = step.withColumn(signs, F.transform(characters, lambda c: F.xxhash64(c)))
+    for own, two in ((words, pairs), (signs, sign_pairs)):
+        step = step.withColumn(two, F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    step = step.withColumns({anchors: _anchors(words, pairs, K, S), sign_anchors: _anchors(signs, sign_pairs, SIGNS_K, SIGNS_S)})
+    first = lambda c: F.filter(c, lambda x, i: (i == 0) | (x["h"] != F.get(F.col(c), i - 1)["h"]))
+    step = step.withColumns({c: first(c) for c in (anchors, sign_anchors)})
+    made = F.struct(*[F.col(f"{c}.{f}").alias(n) for c, f, n in ((anchors, "h", "hashes"), (anchors, "p", "places"), (sign_anchors, "h", "sign_hashes"), (sign_anchors, "p", "sign_places"))])
+    return step.select(*map(col, others(docs.columns, out)), made.alias(out))
 
 
 def as_string(fingerprint: str) -> Column:
-    """hash:place of each anchor in order of the hashes, comma-joined, in hexadecimal."""
-    h, p = F.col(f"{fingerprint}.hashes"), F.col(f"{fingerprint}.places")
-    return F.lower(F.array_join(F.zip_with(h, p, lambda a, b: F.concat_ws(":", F.hex(a), F.hex(b))), ","))
+    """hash:place of each anchor in order of the hashes, comma-joined, in hexadecimal; after a | those of characters, if any."""
+    parts = []
+    for kind in ("", "sign_"):
+        h, p = (F.col(f"{fingerprint}.{kind}{x}") for x in ("hashes", "places"))
+        parts.append(F.lower(F.array_join(F.zip_with(h, p, lambda a, b: F.concat_ws(":", F.hex(a), F.hex(b))), ",")))
+    return F.when(parts[1] == "", parts[0]).otherwise(F.concat_ws("|", *parts))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of anchors in common, 0 to 1, at matching places; 1 for two empty fingerprints, 0 for one.
+    """Share of anchors in common, 0 to 1, at matching places; 1 for two empty fingerprints, 0 for one. Anchors of characters
+    are compared if both have some, else those of words.
 
     With J the share of the anchors of either that both have, 2 J / (1 + J) is intersection to mean size.
     """
-    ha, hb, pa, pb = (F.col(f"{x}.{y}") for y in ("hashes", "places") for x in (a, b))
+    signs = (F.size(f"{a}.sign_hashes") > 0) & (F.size(f"{b}.sign_hashes") > 0)
+    ha, hb, pa, pb = (F.when(signs, F.col(f"{x}.sign_{y}")).otherwise(F.col(f"{x}.{y}")) for y in ("hashes", "places") for x in (a, b))
     pairs = lambda h, p: F.zip_with(h, p, lambda x, y: F.struct(x.alias("h"), y.alias("p")))
 
     def compared(merged: Column) -> Column:
@@ -117,9 +153,14 @@ def with_ranges(docs: DataFrame, id_: str, hash_: str, out: str) -> DataFrame:
         .select("one", "two", F.ceil(F.col("rows") / RANGE_ROWS).alias("parts"))
     )
     crowded = materialize(crowded, "fingerprint-crowded")
-    one, two, one_, two_, cuts_, parts = fresh([*docs.columns, out], "__one", "__two", "__one_", "__two_", "__cuts", "__parts")
+    one, two, one_, two_, cuts_, parts, more = fresh([*docs.columns, out], "__one", "__two", "__one_", "__two_", "__cuts", "__parts", "__more")
+    parts_of_cuts = -(-again.count() // CUTS_SENT)
     cut_again, crowded = again.select(F.col("one").alias(one_), F.col("cuts").alias(cuts_)), crowded.select(F.col("one").alias(one_), F.col("two").alias(two_), F.col("parts").alias(parts))
-    placed = docs.withColumn(one, first(F.col(id_))).join(sized_broadcast(cut_again, limit=1000), same((one, one_)), "left").drop(one_)
+    placed = docs.withColumn(one, first(F.col(id_))).withColumn(cuts_, F.lit(None).cast("array<bigint>"))
+    # At most RANGES rows of 32 kB each, sent in parts: the texts stay where they are.
+    for part in range(parts_of_cuts):
+        sent = cut_again.filter(F.pmod(one_, F.lit(parts_of_cuts)) == part).withColumnRenamed(cuts_, more)
+        placed = placed.join(F.broadcast(sent), same((one, one_)), "left").withColumn(cuts_, F.coalesce(cuts_, more)).drop(one_, more)
     placed = placed.withColumn(two, second(F.col(cuts_), F.col(id_))).join(sized_broadcast(crowded), same((one, one_), (two, two_)), "left").drop(one_, two_)
     three = F.coalesce(F.least(F.floor((F.col(hash_) / F.lit(2.0**64) + 0.5) * F.col(parts)), F.col(parts) - 1), F.lit(0)).cast("bigint")
     number = (F.col(one).cast("bigint") * (8 * RANGES) + F.col(two)) * F.lit(1 << 36) + three

@@ -634,9 +634,10 @@ def edited(docs):
     return out
 
 
-def anchors(text):
+def anchors(text, signs=False):
     signed = lambda n: n - (1 << 64) if n >> 63 else n
     pack = lambda n: struct.pack("<q", n)
+    hashed = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
 
     def chain(values):  # Spark's xxhash64 of several longs: each is hashed with the last result as its seed
         seed = 42
@@ -644,8 +645,15 @@ def anchors(text):
             seed = xxhash.xxh64_intdigest(pack(v), seed)
         return signed(seed)
 
-    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)]
-    k, s = fingerprints.K, fingerprints.S
+    runs = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    if signs:
+        words, k, s = [hashed(c) for r in runs for c in r] if len(text) <= fingerprints.SHORT else [], fingerprints.SIGNS_K, fingerprints.SIGNS_S
+    else:
+        words, k, s = [], fingerprints.K, fingerprints.S
+        for r in runs:
+            strings = [hashed(r[i : i + fingerprints.GRAM]) for i in range(len(r))]
+            words += [hashed(r)] if len(r) <= fingerprints.WORD else [h for h in strings if h % fingerprints.SHARE == 0]
+        words = words or [hashed(text)] * bool(runs)
     if len(words) < k:
         return {(chain(words), 0)} if words else set()
     inner = [chain(words[i : i + s]) for i in range(len(words) - s + 1)]
@@ -654,7 +662,12 @@ def anchors(text):
         part = inner[i : i + k - s + 1]
         if min(part) in (part[0], part[-1]):
             found.setdefault(chain(part), i)
-    return set(sorted(found.items())[: fingerprints.MOST])
+    return set(found.items())
+
+
+def written(text):
+    parts = [",".join(f"{h % (1 << 64):x}:{p:x}" for h, p in sorted(anchors(text, signs))) for signs in (False, True)]
+    return "|".join(parts) if parts[1] else parts[0]
 
 
 def test_fingerprints_query(spark, docs):
@@ -664,10 +677,12 @@ def test_fingerprints_query(spark, docs):
         text = dict(docs)[r.doc_id]
         assert r.n_chars == len(text) and r.edited_sha256 == sha(want[r.doc_id][0])
         for got, of in ((r.fingerprint, text), (r.edited_fingerprint, want[r.doc_id][0])):
-            assert got == ",".join(f"{h % (1 << 64):x}:{p:x}" for h, p in sorted(anchors(of)))
+            assert got == written(of)
         assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 and (text != want[r.doc_id][1] or r.near_next == 1)
     long = [r for r in rows if r.n_chars > 1500 and dict(docs)[r.doc_id] != want[r.doc_id][1]]
     assert np.mean([r.near_edited for r in long]) > 0.35 > 0.2 > np.mean([r.near_next for r in long])
+    short = [r for r in rows if 12 <= r.n_chars <= fingerprints.SHORT]
+    assert short and all(r.near_edited > 0 for r in short)
 
 
 def test_fingerprints_keep_all_anchors(spark):
@@ -689,6 +704,24 @@ def test_fingerprints_keep_all_anchors(spark):
     assert 0.94 < got[0, 1].like < 0.96 and got[2, 3].like > 0.8
 
 
+def test_fingerprints_without_spaces(spark):
+    """Near copies of texts without spaces are found wherever something was inserted; other texts stay apart."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(*bounds, 1200))) for bounds in ((97, 123), (0x4E00, 0x5200), (0x3041, 0x3090), (0x1F300, 0x1F600)) for _ in range(5)]
+    rows = []
+    for i, t in enumerate(texts):
+        other = texts[(i + 1) % len(texts)]
+        rows += [(i, t, "x" + t, 1), (i, t, t[:600] + "xy" + t[600:], 1), (i, t, t[:300] + "x" + t[300:900] + t[905:], 1), (i, t, other, 0)]
+    rows += [(99, "a" * 5000, "a" * 5000, 1), (99, "a" * 17 + " b", "c" * 17 + " d", 0), (99, "\x01" * 40, " ", 0), (99, "word " * 3 + "z" * 16, "word " * 3 + "z" * 16, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string, near int")
+    made = fingerprints.add_fingerprint(fingerprints.add_fingerprint(df, "text", "a"), "other", "b")
+    got = made.select("*", fingerprints.as_string("a").alias("as_a"), fingerprints.likeness("a", "b").alias("like")).collect()
+    for r in got:
+        assert r.as_a == written(r.text)
+    found = [r.like >= 0.75 for r in got if r.near]
+    assert np.mean(found) >= 0.9 and max(r.like for r in got if not r.near) < 0.5
+
+
 def test_neighbours_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     ids = [*range(0, 300, 3), *range(10_000, 10_050), None, -5, 10**12]
@@ -701,6 +734,7 @@ def test_neighbours_over_ranges(spark, monkeypatch):
 @pytest.mark.parametrize("ranges", [2, 8, 4096])
 def test_neighbours_of_crowded_ids(spark, monkeypatch, ranges):
     """Clustered ids and one id on very many rows: ranges hold about RANGE_ROWS rows all the same."""
+    monkeypatch.setattr(fingerprints, "CUTS_SENT", 1)
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
     monkeypatch.setattr(fingerprints, "RANGES", ranges)
     ids = [*range(100), *range(10**15, 10**15 + 300, 7), *[77] * 120, *[None] * 60, -(10**18)]
