@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +125,7 @@ def twice_seen(docs: DataFrame, min_chars: int, lines: int) -> tuple[DataFrame,
 
 
 def suspects(docs: DataFrame, twice: DataFrame, segments: int, min_chars: int) -> DataFrame:
-    """(doc_id, hi, lo, key): lines that the twice-seen filter knows, each once a row of ``docs``."""
+    """(doc_id, place, hi, lo, key): lines that the twice-seen filter knows, each once a row of ``docs``."""
     total = twice.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 8
     rounds = _width(total) // 8 // ROUND_BYTES + 1
 
@@ -145,16 +145,17 @@ def suspects(docs: DataFrame, twice: DataFrame, segments: int, min_chars: int) -
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     part, keys, owners = batch.slice(at, SLICE), [], []
-                    for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for n, x in enumerate(part.column(1).to_pylist()):
                         new = _keys(x, min_chars)
                         keys += new
-                        owners += [i] * len(new)
+                        owners += [n] * len(new)
                     digests = _digests(keys)
                     chosen = np.flatnonzero(bloom.knows(digests[:, 0]))
                     hi, lo = digests[chosen].view(np.int64).T
-                    yield pa.RecordBatch.from_arrays([pa.array([owners[i] for i in chosen], pa.int64()), pa.array(hi), pa.array(lo), pa.array([keys[i] for i in chosen], pa.binary())], names=["doc_id", "hi", "lo", "key"])
+                    rows = pa.array([owners[i] for i in chosen], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(hi), pa.array(lo), pa.array([keys[i] for i in chosen], pa.binary())], names=["doc_id", "place", "hi", "lo", "key"])
 
-        found.append(materialize(docs.mapInArrow(run, "doc_id long, hi long, lo long, key binary"), "line-suspects"))
+        found.append(materialize(docs.mapInArrow(run, "doc_id long, place long, hi long, lo long, key binary"), "line-suspects"))
         shared.unpersist()
     every = found[0]
     for more in found[1:]:
@@ -162,10 +163,14 @@ def suspects(docs: DataFrame, twice: DataFrame, segments: int, min_chars: int) -
     return every
 
 
+def _place_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(col(text), F.lit("")))
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: str = "last", doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Written tables: (key, hi, lo, docs, keeper) of lines of at least ``min_docs`` documents, and all suspects
-    (doc_id, hi, lo, key)."""
-    docs = docs.select(sid(doc_id).alias("doc_id"), col(text).alias("text"))
+    (doc_id, place, hi, lo, key); ``place`` is the hash of the text, as rows may share an id."""
+    docs = docs.select(sid(doc_id).alias("doc_id"), col(text).alias("text"), _place_of(text).alias("place"))
     lines = docs.agg(F.count("*") + F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))).first()[0] or 1
     found = suspects(docs, *twice_seen(docs, min_chars, int(lines)), min_chars)
     chosen = F.max("doc_id") if keep == "last" else F.min("doc_id")
@@ -185,12 +190,13 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     groups, found = repeated_lines(docs, min_chars, min_docs, keep, doc_id, text)
     out = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(text, T.StringType())]
     kept = others(docs.columns, *[f.name for f in out])
-    id_, pair = fresh(docs.columns, "__id", "__pair")
+    id_, place, pair, keys = fresh(docs.columns, "__id", "__place", "__pair", "__keys")
     if groups.count() <= MOST_SENT:
         return _drop_in_place(docs, groups, min_chars, kept, out, pair, doc_id, text)
     lost = skew_safe_left_join(found, groups.select("key", "docs", "keeper"), ["key"], "docs").filter("keeper is not null and doc_id <> keeper")
-    lost = materialize(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "line-drops").select(F.col("doc_id").alias(id_), "keys")
-    joined = docs.withColumn(id_, sid(doc_id)).join(lost, id_, "left").select(*map(col, kept), F.struct(col(text).alias("text"), F.col("keys")).alias(pair))
+    # By id and text, so that a set never holds more lines than one text has.
+    lost = materialize(lost.groupBy("doc_id", "place").agg(F.collect_set("key").alias("__keys")), "line-drops").select(F.col("doc_id").alias(id_), F.col("place").alias(place), F.col("__keys").alias(keys))
+    joined = docs.withColumn(id_, sid(doc_id)).withColumn(place, _place_of(text)).join(lost, [id_, place], "left").select(*map(col, kept), F.struct(col(text).alias("text"), F.col(keys).alias("keys")).alias(pair))
 
     def make():
         def one(row: dict) -> tuple[int, int, str]:

@@ -779,6 +779,21 @@ def test_lines_awkward(awkward, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark, monkeypatch):
+    """Drops of rows that share an id, or have none, are kept by text; both ways to drop lines agree."""
+    line = lambda k: f"a line that several documents hold {k}"
+    rows = [(7, f"own {k}\n{line(k % 40)}\n{line(k % 3)}") for k in range(200)] + [(None, f"{line(k % 40)}\nrest {k % 2}") for k in range(100)] + [(9, line(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda: Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(df).collect())
+    near, seen, make = told(), [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "MOST_SENT", 0)
+    monkeypatch.setattr(line_dedup, "materialize", lambda d, name: seen.append((name, made := make(d, name))) or made)
+    assert told() == near and sum(near.values()) == len(rows)
+    assert all(text == (f"own {text.split()[1]}" if i == 7 else text) for i, _, _, text in near)
+    drops = [d for name, d in seen if name == "line-drops"]
+    assert len(drops) == 1 and max(len(r["__keys"]) for r in drops[0].collect()) <= 2
+
+
 def test_line_filters_in_rounds_and_shuffled(spark, docs, monkeypatch):
     """Several segments, the filter in rounds, and more repeated lines than may be sent to all tasks."""
     monkeypatch.setattr(line_dedup, "SEGMENT_LINES", 50)
