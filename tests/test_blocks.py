@@ -70,6 +70,26 @@ def test_many_queries_are_as_one_by_one(spark, corpus):
     assert K.best_files_of_many(blocked, queries.limit(0), totals, 5).count() == 0
 
 
+def test_many_queries_meet_files_in_shards(spark, corpus, monkeypatch):
+    """Queries times blocks are no rows of a table: cells of a shard and a chunk are added up in one task each."""
+    blocked, _, totals = corpus[3]
+    monkeypatch.setattr(K, "SHARD_FILES", 60)
+    monkeypatch.setattr(K, "CHUNK_QUERIES", 3)
+    texts = ["mari", "marit lozo", "mero meri lorit", "zzz mari", "marit marits", "lozottins meritta"]
+    queries, names = spark.createDataFrame([*enumerate(texts)], "query_id long, text string"), []
+    written = K.written
+    monkeypatch.setattr(K, "written", lambda df, name: names.append((name, written(df, name))) or names[-1][1])
+    found = K.best_files_of_many(blocked, queries, totals, 7, "fallback", "light")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.file_id, r.n_terms, round(r.score, 9), r.every_word))
+    for i, text in enumerate(texts):
+        want, every = expected(corpus, text, "fallback", 7)
+        assert sorted(got[i]) == sorted((*w, every) for w in want)
+    assert dict(names)["search-found"].count() <= totals[0]  # one row a file
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prefixes_meet_tokens_by_equality(spark):
     tokens = spark.createDataFrame([("stems", t) for t in ("a", "ab", "abcdefghij", "abcdefgh", "abcdefghxx", "été", "")], "col string, token string")
     prefixes = spark.createDataFrame([("stems", p) for p in ("a", "abcdefgh", "abcdefghi", "é", "b", "")] + [("name", "a")], "col string, prefix string")
