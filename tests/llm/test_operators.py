@@ -98,6 +98,18 @@ def test_every_token_encodes_to_itself(coder):
     assert all(own.encode_piece(b) == [i] and own.merged(b) == [i] for b, i in list(own.ranks.items())[::7])
 
 
+def test_pieces_need_no_table_of_prefixes(coder):
+    """Whole pieces are encoded token by token, with steps back where the longest token leads nowhere."""
+    own, other = bpe.BytePairEncoder(coder[0].ranks, PATTERN), coder[1]
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeinrstlouhé")) for _ in range(n)) for n in [*range(1, 40)] * 20] + ["a" * 700, "é" * 300, "=" * 1001]
+    assert all(own.encode_piece(w.encode()) == other.encode_ordinary(w) for w in words)
+    # Here "abc" comes first, but the merges give "ab", "cd".
+    small = bpe.BytePairEncoder({b: i for i, b in enumerate([b"a", b"b", b"c", b"d", b"cd", b"ab", b"abc"])}, PATTERN)
+    assert small.encode_piece(b"abcd") == small.merged(b"abcd") == [5, 4]
+    assert "backwards" not in own.__dict__
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab'srelvdmt  \n\t\r\x1c\x85é1٣²,.!中😀", max_size=50), st.integers(0, 50), st.text(alphabet="ab 'é\n", max_size=6))
 def test_bpe_texts_appends_and_edits(coder, text, at, new):
