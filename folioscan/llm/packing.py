@@ -10,12 +10,15 @@ go to which sequences; Spark numbers the pieces of each length, hot ones in many
 from __future__ import annotations
 
 import os
+import re
+import string
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,19 +28,29 @@ from .common import KEPT, col, fresh, materialize, others, release
 #: Stretches of text whose ids a worker remembers, and their greatest length. Others are encoded each time.
 CACHE, CACHE_CHARS = 400_000, 40
 #: Characters of documents that are encoded together (a longer document is alone).
-CHARS = 1 << 21
+CHARS = 1 << 22
 #: Pieces of one length that one task numbers on average.
 RANGE_ROWS = 2_000
 
 PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
 
 
+#: Texts with white space (what ``str.isspace`` holds of) side by side or at the beginning, as Arrow's patterns write it.
+_SPACES = r"(\A|[{0}])[{0}]".replace("{0}", r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+#: The end of a word: Latin letters and digits, which are the same in all versions of Unicode.
+_WORD_END = r"[A-Za-z0-9À-ÖØ-öø-ɏ]\z"
+#: Safe places of texts that have such: at single spaces and before single line breaks.
+_SAFE = re.compile(r"(?<!\s)(?: (?!\s)|(?=\n(?!\s)))")
+
+
 class Tokens:
     """Ids of texts as the tokenizer gives them, little-endian unsigned 32-bit integers.
 
-    The library takes as long for a word that it has seen as for a new one, so texts are cut where a single space stands
-    between two other characters (there a match of the byte-level pattern begins, whatever surrounds it), and the ids of
-    stretches are remembered. New stretches are encoded together: only their first token begins with a space.
+    The library takes as long for a word that it has seen as for a new one. So texts are cut where a space or a line
+    break stands alone (there a match of the byte-level pattern begins, whatever surrounds it), Arrow finds the different
+    stretches of many texts, and only those that are not remembered are encoded, together. A stretch that begins with a
+    line break stands for itself, any other for a space and itself. Punctuation at the end of a stretch is a match of its
+    own, so it is encoded apart and the word before it is the same with and without.
     """
 
     def __init__(self, definition: str):
@@ -48,9 +61,11 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.line = np.array([self.tokenizer.id_to_token(i) == "Ċ" for i in range(size)])
         self.known: dict[str, bytes] = {}
-        #: Whether a space begins a match, which holds of byte-level tokenizers that split by their pattern.
-        self.cuts = all(self._whole(f"{a} {b}") == self._whole(a) + self._whole(f" {b}") for a in "a1.'é" for b in "a1.'é")
+        #: Whether spaces, line breaks and punctuation begin matches, which holds of byte-level tokenizers that split by
+        #: their pattern.
+        self.cuts = self.line.sum() == 1 and all(self._whole("".join(x)) == b"".join(map(self._whole, x)) for a in "a1.'é" for x in [*[(a, s + b) for b in "a1.'é" for s in (" ", "\n")], *[(a, p) for p in string.punctuation if a.isalnum()], ("\n", a)])
 
     def _ids(self, text: str) -> np.ndarray:
         # The fast way gives the same ids and leaves out where they stand in the text.
@@ -59,32 +74,69 @@ class Tokens:
     def _whole(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        ids = self._ids(" " + " ".join(words))
-        starts = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+    def _together(self, text: str, first: np.ndarray) -> list[bytes]:
+        """Ids of the stretches of ``text``: each starts with one of the tokens ``first`` and has no other."""
+        ids = self._ids(text)
+        starts = (np.flatnonzero(first[ids]) * 4).tolist()
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return [self._whole(t) for t in texts]
-        cut = [_stretches(t) for t in texts]
-        known = self.known
-        new = list({w for words in cut for w in words[1:] if w not in known})
-        plain = [w for w in new if w and " " not in w and not w[0].isspace() and not w[-1].isspace()]
-        if plain:
-            known.update(zip(plain, self._together(plain), strict=True))
-        known.update((w, self._whole(" " + w)) for w in new if w not in known)
-        out = [self._whole(words[0]) + b"".join(map(known.__getitem__, words[1:])) for words in cut]
-        for w in new[max(0, CACHE - (len(known) - len(new))) :] if len(known) > CACHE else [w for w in new if len(w) > CACHE_CHARS]:
+    def _learn(self, new: list[str]) -> None:
+        lines, words, odd = [], [], []
+        for w in new:
+            own = w[1:] if w[:1] == "\n" else w
+            plain = own and not own[0].isspace() and not own[-1].isspace() and " " not in own and (own is w or "\n" not in own)
+            (odd if not plain else words if own is w else lines).append(w)
+        if words:
+            self.known.update(zip(words, self._together(" " + " ".join(words), self.spaced), strict=True))
+        if lines:
+            self.known.update(zip(lines, self._together("".join(lines), self.line), strict=True))
+        self.known.update((w, self._whole(w if w[:1] == "\n" else " " + w)) for w in odd)
+
+    def _stretches(self, keys: pa.Array) -> pa.Array:
+        """Ids of stretches."""
+        known, trimmed = self.known, pc.utf8_rtrim(keys, string.punctuation)
+        ends = pc.match_substring_regex(trimmed, _WORD_END)
+        sizes = np.where(ends, pc.subtract(pc.binary_length(keys), pc.binary_length(trimmed)), 0)
+        offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset :][: len(keys) + 1]
+        upto = np.cumsum(sizes)
+        own = np.repeat(offsets[1:] - upto, sizes) + np.arange(sizes.sum())
+        marks = pa.Array.from_buffers(pa.string(), len(keys), [None, pa.py_buffer(np.r_[0, upto].astype(np.int32)), pa.py_buffer(np.frombuffer(keys.buffers()[2] or b"", np.uint8)[own])]).dictionary_encode()
+        coded = pc.if_else(ends, trimmed, keys).dictionary_encode()
+        words, kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), ["\n" + m for m in marks.dictionary.to_pylist()]
+        before, new = len(known), [w for w in dict.fromkeys([*kinds, *words]) if w not in known]
+        self._learn(new)
+        parts = [pa.array([known[w] for w in words], pa.binary()).take(coded.indices), pa.array([known[k][4:] for k in kinds], pa.binary()).take(marks.indices)]
+        for w in new[max(0, CACHE - before) :] if len(known) > CACHE else [w for w in new if len(w) > CACHE_CHARS]:
             del known[w]
-        return out
-
+        return pc.binary_join_element_wise(*parts, b"")
+
+    def packed(self, texts: pa.Array, tail: bytes = b"") -> tuple[pa.Buffer | None, np.ndarray]:
+        """The ids of all texts (no nulls), each followed by ``tail``, and where they begin, with the end of the last one."""
+        wide = np.asarray(pc.match_substring_regex(texts, _SPACES)) if self.cuts else np.ones(len(texts), bool)
+        # Each text gives "", the line break with its first stretch, and its other stretches.
+        lines = pc.binary_join_element_wise(pa.scalar(""), texts.filter(pa.array(~wide)), "\n")
+        words = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+        odd = [_SAFE.split(t) if self.cuts else [t] for t in texts.filter(pa.array(wide)).to_pylist()]
+        if odd:
+            words = pa.concat_arrays([words, pa.array([["", "\n", *x[1:]] for x in odd], words.type)])
+            words = words.take(pa.array(np.argsort(np.r_[np.flatnonzero(~wide), np.flatnonzero(wide)])))
+        coded = words.flatten().dictionary_encode()
+        ids, codes = self._stretches(coded.dictionary), np.append(coded.indices, 0)
+        starts = np.r_[0, np.cumsum(pc.list_value_length(words))]
+        firsts = [x[4:] for x in ids.take(pa.array(codes[starts[:-1] + 1])).to_pylist()]
+        for i, x in zip(np.flatnonzero(wide).tolist(), odd, strict=True):
+            firsts[i] = self._whole(x[0])  # may begin with white space, which a line break before it would change
+        # What stands for "" before a text ends the one before it.
+        codes[starts] = len(ids)
+        codes[starts[:-1] + 1] = len(ids) + 1 + np.arange(len(texts))
+        stream = pa.concat_arrays([ids, pa.array([tail, *firsts], pa.binary())]).take(pa.array(codes))
+        return stream.buffers()[2], np.frombuffer(stream.buffers()[1], np.int32)[starts + 1]
 
-def _stretches(text: str) -> list[str]:
-    from .bpe import _SAFE_SPACE, _WIDE_SPACE
-
-    return _SAFE_SPACE.split(text) if _WIDE_SPACE.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        data, at = self.packed(pa.array(texts, pa.string()))
+        data = data.to_pybytes() if data else b""
+        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -108,20 +160,17 @@ def token_pieces(df: DataFrame, tokenizer: str, size: int = 2048, end: int = 0,
     schema = T.StructType([*[T.StructField(n, df.schema[c].dataType) for n, c in zip(names, kept, strict=True)], *PIECE])
 
     def cut(batch: pa.RecordBatch, coder: Tokens) -> pa.RecordBatch:
-        rows, numbers, starts, lengths, pieces = [], [], [], [], []
-        for row, data in enumerate(coder.encode([t or "" for t in batch.column(len(kept)).to_pylist()])):
-            data += tail
-            n = len(data) // 4
-            at, first = 0, (n - 1) % size + 1
-            for number, stop in enumerate(range(first, n + 1, size)):
-                rows.append(row)
-                numbers.append(number)
-                starts.append(at)
-                lengths.append(stop - at)
-                pieces.append(data[4 * at : 4 * stop])
-                at = stop
+        data, at = coder.packed(batch.column(len(kept)).fill_null(""), tail)
+        n = np.diff(at).astype(np.int64) // 4
+        counts, first = (n - 1) // size + 1, (n - 1) % size + 1
+        rows = np.repeat(np.arange(len(n)), counts)
+        numbers = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = np.where(numbers, first[rows] + (numbers - 1) * size, 0)
+        lengths = np.where(numbers, size, first[rows])
+        ends = np.append(at[rows] + 4 * starts, at[-1]).astype(np.int32)  # pieces follow each other without gaps
+        pieces = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), data])
         taken = batch.select(list(range(len(kept)))).take(pa.array(rows, pa.int64()))
-        made = [pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary())]
+        made = [pa.array(numbers.astype(np.int32)), pa.array(starts), pa.array(lengths), pieces]
         return pa.RecordBatch.from_arrays([*taken.columns, *made], names=schema.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Centroid clustering, periodic runs and packing against brute force, on awkward tables, and with one hot key."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -290,6 +291,25 @@ def test_ids_are_made_without_their_places(tokenizer):
     assert fast.calls
 
 
+def test_a_word_is_encoded_once_whatever_ends_or_precedes_it(tokenizer):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        coder = packing.Tokens(f.read())
+    seen, ids = [], coder._ids
+    coder._ids = lambda text: seen.append(text) or ids(text)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    texts = [" ".join(["x", *(w + mark for w in words)]) for mark in ("", ",", ".", "!!", ").", "'")] + ["\n".join(w + mark for w in words) for mark in ("", ".", ";")]
+    assert coder.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(map(len, seen)) < 2.5 * sum(len(w) + 1 for w in words)  # once after a space and once after a line break
+
+
+def test_ids_around_white_space_and_punctuation(tokenizer):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        coder = packing.Tokens(f.read())
+    parts = ["", "a", "é.", "1,", "'s", "don't", "##", "中!", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c"]
+    texts = ["".join(x) for n in range(4) for x in itertools.product(parts, repeat=n)]
+    assert coder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_forgetting_remembered_words(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "CACHE", 5)
     with open(TOKENIZER, encoding="utf-8") as f:
