@@ -14,22 +14,25 @@ that occur twice matter.
 An anchor with very many different blocks is not compared in one task: its blocks are cut into smaller ones by the
 anchors of longer strings, which fewer surroundings share, at last by whole windows. So work grows with the bytes of
 the blocks and never with their pairs.
+
+The same goes for passages of words: then a text is the row of its words' 64-bit hashes in place of its bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SLICE, col, distinct, fresh, map_text, materialize, others, release, sid, sized_broadcast, skew_safe_left_join
 
-#: Bytes of a text that are looked at together, of blocks in a task, and different blocks of an anchor from which on longer
+#: Bytes (or words) of a text that are looked at together, of blocks in a task, and different blocks of an anchor from which on longer
 #: anchors tell them apart.
 STRETCH, BIN_BYTES, MANY = 1 << 20, 1 << 21, 1000
 #: Bytes of the ranges that are sent to all tasks to be cut out of the texts; larger tables are joined by a shuffle.
@@ -47,6 +50,7 @@ _BYTE = _random.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -64,17 +68,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hash of any stretch of some bytes in constant time, the same wherever the stretch stands."""
+    """Hash of any stretch of some bytes, or words' hashes, in constant time, the same wherever the stretch stands."""
 
     def __init__(self, data: np.ndarray):
         up, self.back = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * up[:-1], out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start])
 
 
+def in_bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def in_words(text: str | None) -> np.ndarray:
+    """Hashes of the words, which white space of the contracts ends."""
+    data = in_bytes(text)
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    out, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):
+        base = start[at]
+        to = int(np.searchsorted(end, base + STRETCH, "right"))
+        if to > at:
+            out[at:to] = Hashes(data[base : end[to - 1]]).of(start[at:to] - base, end[at:to] - base)
+        else:  # a word longer than a stretch
+            out[at] = int.from_bytes(blake2b(data[base : end[at]], digest_size=8).digest(), "little")
+        at = max(to, at + 1)
+    return out
+
+
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Minimum (or maximum) of every ``width`` neighbours, from running ones within blocks of ``width``."""
     pick, fill = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
@@ -113,19 +138,22 @@ def blocks(data: np.ndarray, length: int, gram: int) -> np.ndarray:
 
 
 class Suffixes:
-    """Suffixes of ``data`` sorted by their first ``depth`` bytes or more (beyond the end: zeros).
+    """Suffixes of ``data`` sorted by their first ``depth`` bytes (or words) or more (beyond the end: zeros).
 
-    Ranks by the first 8 bytes give ranks by the first 24, and so on: three ranks of 21 bits make one sort key.
+    Ranks by the first 8 bytes (or the first word) give ranks by the first 24, and so on: three ranks of 21 bits make
+    one sort key.
     """
 
     def __init__(self, data: np.ndarray, depth: int, starts: np.ndarray | None = None):
         self.data = data
         n = len(data)
-        padded = np.r_[data, np.zeros(8, np.uint8)]
-        key = np.zeros(n, np.uint64)
-        for i in range(8):
-            key = key << np.uint64(8) | padded[i : n + i]
-        self.levels, width = [], 8
+        key, width = data, 1
+        if data.dtype == np.uint8:
+            padded = np.r_[data, np.zeros(8, np.uint8)]
+            key, width = np.zeros(n, np.uint64), 8
+            for i in range(8):
+                key = key << np.uint64(8) | padded[i : n + i]
+        self.levels = []
         while True:
             ordered, inverse = np.unique(key, return_inverse=True)
             times = 3 if len(ordered) < (1 << 21) - 1 else 2
@@ -223,22 +251,22 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[last] + length
 
 
-def _meet(length: int, earlier_only: bool):
-    """One bin: blocks (uid, doc_id, lo, bytes) to spans (uid, lo, hi) to remove."""
+def _meet(length: int, earlier_only: bool, kind: np.dtype):
+    """One bin: blocks (uid, doc_id, lo, bytes or words' hashes) to spans (uid, lo, hi) to remove."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "uid", "lo"])
         ids, lows, bodies = pdf["uid"].to_numpy(), pdf["lo"].to_numpy(), pdf["body"].tolist()
         pieces, owners, bases, at, end = [], [], [], 0, -1
         segments: list[list[int]] = []  # place in the buffer, uid, offset in the document, length
-        for u, lo, body in zip(ids, lows, bodies, strict=True):
+        for u, lo, body in zip(ids, lows, (np.frombuffer(b, kind) for b in bodies), strict=True):
             if segments and segments[-1][1] == u and lo <= end:  # overlaps the last one: its places count once
                 body = body[end - lo :]
                 segments[-1][3] += len(body)
             else:
                 segments.append([at, u, lo, len(body)])
                 end = lo
-            pieces.append(np.frombuffer(body, np.uint8))
+            pieces.append(body)
             at += len(body)
             end += len(body)
         data = np.concatenate(pieces)
@@ -256,7 +284,7 @@ def _meet(length: int, earlier_only: bool):
     return run
 
 
-def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _find(docs: DataFrame, length: int, gram: int, units: Callable[[str | None], np.ndarray]) -> DataFrame:
     """Blocks (anchor, block, uid, doc_id, lo, hi, n) of whole texts, or of their ranges ``lo`` to ``hi`` if ``docs`` has such."""
     names = ["anchor", "block", "uid", "doc_id", "lo", "hi", "n"]
     ranged = "lo" in docs.columns
@@ -268,7 +296,7 @@ def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 uids, ids, made, owner = part.column(0).to_pylist(), part.column(1).to_pylist(), [], []
                 ranges = zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True) if ranged else ((None, None) for _ in uids)
                 for i, (x, (los, his)) in enumerate(zip(part.column(2).to_pylist(), ranges, strict=True)):
-                    data = np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8)
+                    data = units(x)
                     for lo, hi in zip(los, his, strict=True) if ranged else [(0, len(data))]:
                         if hi - lo >= length:
                             made.append(blocks(data[lo:hi], length, gram))
@@ -297,8 +325,8 @@ def _with_texts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return docs.select("uid", "doc_id", "text").join(F.broadcast(ranges) if small else ranges, "uid")
 
 
-def _cut_out(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(bin, uid, doc_id, lo, body): the bytes of each range."""
+def _cut_out(docs: DataFrame, ranges: DataFrame, units: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """(bin, uid, doc_id, lo, body): the bytes (or words' hashes) of each range."""
     names = ["bin", "uid", "doc_id", "lo", "body"]
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
@@ -306,18 +334,19 @@ def _cut_out(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 rows = []
                 for r in batch.slice(at, SLICE).to_pylist():
-                    data = (r["text"] or "").encode("utf-8", "surrogatepass")
-                    rows += [(b, r["uid"], r["doc_id"], lo, data[lo:hi]) for b, lo, hi in zip(r["bin"], r["lo"], r["hi"], strict=True)]
+                    data = units(r["text"])
+                    rows += [(b, r["uid"], r["doc_id"], lo, data[lo:hi].tobytes()) for b, lo, hi in zip(r["bin"], r["lo"], r["hi"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=names)
 
     return _with_texts(docs, ranges).mapInArrow(cut, "bin long, uid long, doc_id long, lo long, body binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> DataFrame:
-    """(uid, lo, hi): arrays of the byte ranges to remove from each text. ``docs`` has uid, doc_id (not null) and text."""
-    cuts, todo, grams = None, docs, gram_sizes(length)
+def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False, units: Callable[[str | None], np.ndarray] = in_bytes) -> DataFrame:
+    """(uid, lo, hi): arrays of the ranges to remove from each text, in bytes or other ``units``. ``docs`` has uid, doc_id
+    (not null) and text."""
+    cuts, todo, grams, kind = None, docs, gram_sizes(length), units("").dtype
     for gram in grams:
-        every = materialize(_find(todo, length, gram), "suffix-blocks")
+        every = materialize(_find(todo, length, gram, units), "suffix-blocks")
         again = every.groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("rows"), (F.min("block") != F.max("block")).alias("mixed"), F.max("n").alias("most"))
         again = again.filter("places > 1").select("anchor", "rows", (F.col("mixed") | (F.col("most") > 1)).alias("mixed"))
         again = materialize(again, "suffix-anchors")
@@ -336,10 +365,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
         few = sizes if gram == grams[-1] else sizes.filter(F.col("kinds") <= MANY)
         total, wide = few.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
         if wide:
-            bins = max(12, total // BIN_BYTES + 1)
+            bins = max(12, total * kind.itemsize // BIN_BYTES + 1)
             dealt = open_.join(sized_broadcast(few.select("anchor"), wide), "anchor", "left_semi").select("uid", "lo", "hi", F.pmod(F.xxhash64("anchor"), F.lit(bins)).alias("bin"))
             ranges = materialize(_ranges(dealt.distinct(), "bin", "lo", "hi"), "suffix-wanted")
-            made = made.unionByName(_cut_out(docs, ranges).groupBy("bin").applyInPandas(_meet(length, keep_first), "uid long, lo long, hi long"))
+            made = made.unionByName(_cut_out(docs, ranges, units).groupBy("bin").applyInPandas(_meet(length, keep_first, kind), "uid long, lo long, hi long"))
         cuts = made if cuts is None else cuts.unionByName(made)
         many = sizes.filter(F.col("kinds") > MANY).select("anchor") if gram < grams[-1] else None
         if many is None or not (n := many.count()):
@@ -348,9 +377,30 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     return _ranges(cuts, "lo", "hi")
 
 
-def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _with_spans(docs: DataFrame, spans: DataFrame, uid: str, *names: str) -> DataFrame:
+    """``docs`` with the arrays lo and hi of their spans, called ``names``. The spans are sent to all tasks if their bytes allow it."""
+    n, held = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("lo")), F.lit(0))).first()
+    spans = spans.select(F.col("uid").alias(uid), *[F.col(c).alias(name) for c, name in zip(("lo", "hi"), names, strict=True)])
+    return docs.join(F.broadcast(spans) if 64 * n + 8 * held <= SENT_BYTES else spans, uid, "left")
+
+
+def _covered(lo: str, hi: str) -> Column:
+    """How much the union of some spans covers."""
+
+    def add(so_far: Column, span: Column) -> Column:
+        more = F.greatest(F.lit(0), span[hi] - F.greatest(so_far["end"], span[lo]))
+        return F.struct(F.greatest(so_far["end"], span[hi]).alias("end"), (so_far["n"] + more).alias("n"))
+
+    spans = F.coalesce(F.array_sort(F.arrays_zip(lo, hi)), F.array())
+    return F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), add)["n"].cast("long")
+
+
+def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with kept (binary: the remaining bytes), n_bytes, n_removed and n_spans (long).
 
+    With ``words`` also n_repeated_words (long): how many words of the text lie under that many words in a row that also
+    begin elsewhere, whatever their bytes and the white space between them. These words stay in kept.
+
     A byte is removed if it lies under ``length`` bytes of the input that also begin elsewhere, in the same document
     or another; with ``keep_first`` only if they begin earlier, by doc_id and place, so that the first copy stays.
     Matches may overlap themselves and never cross documents. n_spans counts maximal removed runs. A null text is
@@ -359,12 +409,15 @@ def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool =
     they are called; those named like an output are replaced.
     """
     names = ["kept", "n_bytes", "n_removed", "n_spans"]
-    uid, pair, lo, hi = fresh(docs.columns, "__uid", "__pair", "__lo", "__hi")
+    counted = ["n_repeated_words"] if words else []
+    uid, pair, lo, hi, first, last = fresh(docs.columns, "__uid", "__pair", "__lo", "__hi", "__first", "__last")
     marked = docs.withColumn(uid, F.xxhash64(col(doc_id), F.coalesce(col(text), F.lit(""))))
-    spans = materialize(repeated_spans(marked.select(F.col(uid).alias("uid"), sid(doc_id).alias("doc_id"), col(text).alias("text")), length, keep_first), "suffix-spans")
-    n, held = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("lo")), F.lit(0))).first()
-    spans = spans.select(F.col("uid").alias(uid), F.col("lo").alias(lo), F.col("hi").alias(hi))
-    joined = marked.join(F.broadcast(spans) if 64 * n + 8 * held <= SENT_BYTES else spans, uid, "left").withColumn(pair, F.struct(col(text).alias("text"), F.col(lo).alias("lo"), F.col(hi).alias("hi")))
+    texts = marked.select(F.col(uid).alias("uid"), sid(doc_id).alias("doc_id"), col(text).alias("text"))
+    joined = _with_spans(marked, materialize(repeated_spans(texts, length, keep_first), "suffix-spans"), uid, lo, hi)
+    joined = joined.withColumn(pair, F.struct(col(text).alias("text"), F.col(lo).alias("lo"), F.col(hi).alias("hi")))
+    if words:
+        spans = materialize(repeated_spans(texts, words, keep_first, in_words), "suffix-word-spans")
+        joined = _with_spans(joined, spans, uid, first, last).withColumn(counted[0], _covered(first, last))
 
     def make():
         def one(row: dict) -> tuple[bytes, int, int, int]:
@@ -382,4 +435,4 @@ def drop_repeated_strings(docs: DataFrame, length: int = 400, keep_first: bool =
         return lambda rows: tuple(zip(*map(one, rows), strict=True)) or ([], [], [], [])
 
     out = [T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in names]
-    return map_text(joined.select(*map(col, others(docs.columns, *names)), pair), make, pair, out).drop(pair)
+    return map_text(joined.select(*map(col, others(docs.columns, *names, *counted)), *counted, pair), make, pair, out).drop(pair)

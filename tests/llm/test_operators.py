@@ -868,6 +868,60 @@ def test_suffix_cases(spark, monkeypatch, first):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == sorted(removed(rows, 40, first))
 
 
+def repeated_words(docs, length, first=False):
+    data = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in docs]
+    seen = defaultdict(list)
+    for k in sorted(range(len(docs)), key=lambda k: docs[k][0]):
+        for a in range(len(data[k]) - length + 1):
+            seen[tuple(data[k][a : a + length])].append((k, a))
+    out = {}
+    for k, words in enumerate(data):
+        under = set()
+        for a in range(len(words) - length + 1):
+            places = seen[tuple(words[a : a + length])]
+            if len(places) > 1 and not (first and places[0] == (k, a)):
+                under |= set(range(a, a + length))
+        out[docs[k][0]] = len(under)
+    return out
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_suffix_word_passages(spark, monkeypatch, first):
+    """Passages counted in words, of less bytes than are removed, between other words and white space."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    rng = np.random.default_rng(6)
+    word = lambda n: ["".join(rng.choice(list("abcdeé"), 3)) for _ in range(n)]
+    join = lambda words: "".join(w + str(rng.choice([" ", "\n", "\t ", "\r\n"])) for w in words)
+    passage, rows = word(20), []
+    for i in range(30):
+        rows.append((i, join(word(int(rng.integers(0, 20))) + passage[int(rng.integers(0, 6)) : int(rng.integers(10, 20))] + word(int(rng.integers(0, 9))))))
+    rows += [(100, "of " * 30), (101, "of " * 11), (102, "of " * 60), (103, rows[3][1]), (104, None), (105, " \n"), (106, "x".join(passage)), (107, join(word(15) * 2))]
+    got = suffix_dedup.drop_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), 400, first, words=12).collect()
+    want = repeated_words(rows, 12, first)
+    assert {r.doc_id: r.n_repeated_words for r in got} == want and sum(map(bool, want.values())) > 12
+    assert all(r.n_removed == 0 for r in got)
+
+
+def test_suffix_query_finds_short_passages(spark, tmp_path):
+    """Over 50 words of less than 400 bytes: not removed, as the contract says, but counted."""
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = word(51)
+    rows = [(0, f"{word(80)} {passage}"), (1, f"{passage} {word(9)}"), (2, word(200)), (3, f"{word(30)} {passage[:-6]} {word(30)}"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_repeated_words) for r in Q.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 51), 1: (0, 51), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+
+
+def test_words_of_long_texts_have_one_hash_each(monkeypatch):
+    text = " ".join(["ab", "é" * 40, "ab", "c", "é" * 40, "x" * 200, "x" * 200, "ab"] * 5) + "\n"
+    whole = suffix_dedup.in_words(text)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 100)
+    for got in (whole, suffix_dedup.in_words(text)):
+        assert len(got) == 40 and len(set(got.tolist())) == 4 and len({got[0], got[2], got[7], got[8]}) == 1 and got[1] == got[4] and got[5] == got[6]
+    assert len(suffix_dedup.in_words(None)) == len(suffix_dedup.in_words(" \n")) == 0
+
+
 def test_long_texts_are_cut_into_stretches(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000).astype(np.uint8)
