@@ -242,10 +242,12 @@ def repeated(data: np.ndarray, starts: np.ndarray, length: int, earlier_only: bo
     return np.sort(kept[np.searchsorted(kept - shift, sa[found])])
 
 
-def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Union of [s, s + length) over sorted starts."""
+def _spans(starts: np.ndarray, length: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Union of [s, s + length) over sorted starts, for each owner apart."""
     new = np.ones(len(starts), bool)
     new[1:] = starts[1:] > starts[:-1] + length
+    if owner is not None:
+        new[1:] |= owner[1:] != owner[:-1]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(starts)].astype(np.int64) - 1
     return starts[first], starts[last] + length
@@ -273,13 +275,13 @@ def _meet(length: int, earlier_only: bool, kind: np.dtype):
         starts = np.concatenate([np.arange(s, s + n - length + 1) for s, _, _, n in segments])
         hit = repeated(data, starts, length, earlier_only)
         begins = np.array([s[0] for s in segments])
+        if not len(hit):
+            return pd.DataFrame({"uid": [], "lo": [], "hi": []})
         which = np.searchsorted(begins, hit, "right") - 1
-        out = []
-        for k in np.unique(which):
-            lo, hi = _spans(hit[which == k], length)
-            shift = segments[k][2] - segments[k][0]
-            out.append(pd.DataFrame({"uid": segments[k][1], "lo": lo + shift, "hi": hi + shift}))
-        return pd.concat(out) if out else pd.DataFrame({"uid": [], "lo": [], "hi": []})
+        lo, hi = _spans(hit, length, which)
+        of = which[np.searchsorted(hit, lo)]
+        shift = (np.array([s[2] for s in segments]) - begins)[of]
+        return pd.DataFrame({"uid": np.array([s[1] for s in segments])[of], "lo": lo + shift, "hi": hi + shift})
 
     return run
 
